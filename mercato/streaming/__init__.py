@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The reports are date-ranged batch jobs refreshed by a daily job (see
+``mercato.sinks.snapshot``); there is no stream, watermark or state store to
+model, so no streaming layer is built.
+"""
