@@ -46,8 +46,15 @@ UNION_SPLIT = (date(2024, 1, 15), date(2024, 1, 10))
 BRANCH_REGION = 1
 
 
+_TABLES: dict[tuple[int, str], Tables] = {}
+
+
 def _tables(spark: SparkSession, sf_dir: str) -> Tables:
-    return Tables(spark, sf_dir)
+    """Table handles per session and directory, resolved once (like catalog tables)."""
+    key = (id(spark), sf_dir)
+    if key not in _TABLES:
+        _TABLES[key] = Tables(spark, sf_dir)
+    return _TABLES[key]
 
 
 def _range(bounds: tuple[str, str]) -> DateRange:
