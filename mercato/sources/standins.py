@@ -26,6 +26,8 @@ stock item                             part on p_partkey = user_id
 =====================================  ==========================================
 
 Identifiers keep their native (integer) types so joins stay on numeric keys.
+Projections are written as SQL expressions (one call into the JVM per table)
+and memoised per table set.
 """
 
 from __future__ import annotations
@@ -33,7 +35,6 @@ from __future__ import annotations
 from datetime import date, datetime
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from mercato.plans.sales import SalesRules
 from mercato.plans.shipments import ShipmentRules
@@ -53,87 +54,87 @@ SHIPMENT_RULES = ShipmentRules(status="F", brands=("1", "29", "26"), suppliers=S
 STOCK_RULES = StockRules(company="1", brand_group=None, suppliers=STANDIN_SUPPLIERS, months_back=1)
 
 
-def _party(t: Tables) -> DataFrame:
-    return (t["customer"].join(t["nation"], F.col("c_nationkey") == F.col("n_nationkey"))
-            .select(F.col("c_custkey").alias("customer_id"), F.col("n_name").alias("uf_target")))
+def _customer_nation(t: Tables) -> DataFrame:
+    return t["customer"].join(t["nation"], t["customer"]["c_nationkey"] == t["nation"]["n_nationkey"])
 
 
-def sales_roles(t: Tables) -> dict[str, DataFrame]:
-    o, li, p, s = t["orders"], t["lineitem"], t["part"], t["supplier"]
+def _sales_roles(t: Tables) -> dict[str, DataFrame]:
     return {
-        "header": o.select(
-            F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("customer_id"),
-            F.col("o_orderdate").alias("sales_date"),
-            F.substring("o_orderpriority", 1, 1).alias("brand"),
-            F.col("o_orderstatus").alias("order_status"),
-            F.col("o_orderdate").alias("load_part")),
-        "party": _party(t),
-        "line": li.select(
-            F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("sku"),
-            F.col("l_quantity").alias("quantity"), F.col("l_suppkey").alias("branch_id")),
-        "items": p.select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("ean"),
-                          F.col("p_brand").alias("supplier_id")),
-        "branches": s.select(F.col("s_suppkey").alias("branch_id"), F.col("s_name").alias("cnpj")),
+        "header": t["orders"].selectExpr(
+            "o_orderkey as order_id", "o_custkey as customer_id", "o_orderdate as sales_date",
+            "substring(o_orderpriority, 1, 1) as brand", "o_orderstatus as order_status",
+            "o_orderdate as load_part"),
+        "party": _customer_nation(t).selectExpr("c_custkey as customer_id", "n_name as uf_target"),
+        "line": t["lineitem"].selectExpr(
+            "l_orderkey as order_id", "l_partkey as sku", "l_quantity as quantity", "l_suppkey as branch_id"),
+        "items": t["part"].selectExpr("p_partkey as item_id", "p_name as ean", "p_brand as supplier_id"),
+        "branches": t["supplier"].selectExpr("s_suppkey as branch_id", "s_name as cnpj"),
     }
 
 
-def shipment_roles(t: Tables) -> dict[str, DataFrame]:
-    o, li, p, s, n = t["orders"], t["lineitem"], t["part"], t["supplier"], t["nation"]
+def sales_roles(t: Tables) -> dict[str, DataFrame]:
+    return t.derived("sales_roles", _sales_roles)
+
+
+def _shipment_roles(t: Tables) -> dict[str, DataFrame]:
+    supplier_nation = t["supplier"].join(t["nation"], t["supplier"]["s_nationkey"] == t["nation"]["n_nationkey"])
     return {
-        "header": o.select(
-            F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("customer_id"),
-            F.col("o_orderdate").alias("sales_date"), F.col("o_orderstatus").alias("order_status"),
-            F.col("o_orderkey").alias("nf_id"), F.col("o_orderdate").alias("nf_issuance"),
-            F.col("o_orderpriority").alias("nf_serie"), F.col("o_orderdate").alias("load_part")),
-        "plants": s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(
-            F.col("s_suppkey").alias("plant_id"), F.col("s_name").alias("warehouse_cnpj"),
-            F.col("n_name").alias("warehouse_uf")),
-        "labels": t["customer"].join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(
-            F.col("c_custkey").alias("customer_id"), F.col("c_name").alias("delivery_city"),
-            F.col("n_name").alias("delivery_uf")),
-        "lines": li.select(
-            F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("item_id"),
-            F.col("l_suppkey").alias("plant_id"), F.col("l_shipdate").alias("dispatch_date"),
-            F.col("l_orderkey").alias("program_id"), F.col("l_returnflag").alias("wave_id"),
-            F.col("l_linestatus").alias("prevol_id")),
-        "wms_items": p.select(
-            F.col("p_partkey").alias("item_id"), F.col("p_partkey").alias("sku_id"),
-            F.col("p_partkey").alias("sku"), F.col("p_brand").alias("supplier_id"),
-            F.col("p_size").cast("string").alias("brand")),
-        "eans": p.select(F.col("p_partkey").alias("sku_id"), F.col("p_name").alias("ean")),
-        "serials": li.select(
-            F.col("l_orderkey").alias("program_id"), F.col("l_returnflag").alias("wave_id"),
-            F.col("l_linestatus").alias("prevol_id"), F.col("l_linenumber").alias("imei")),
-        "item_master": p.select(F.col("p_partkey").alias("item_id"),
-                                F.lit("1").alias("item_company"), F.lit("18").alias("department")),
+        "header": t["orders"].selectExpr(
+            "o_orderkey as order_id", "o_custkey as customer_id", "o_orderdate as sales_date",
+            "o_orderstatus as order_status", "o_orderkey as nf_id", "o_orderdate as nf_issuance",
+            "o_orderpriority as nf_serie", "o_orderdate as load_part"),
+        "plants": supplier_nation.selectExpr(
+            "s_suppkey as plant_id", "s_name as warehouse_cnpj", "n_name as warehouse_uf"),
+        "labels": _customer_nation(t).selectExpr(
+            "c_custkey as customer_id", "c_name as delivery_city", "n_name as delivery_uf"),
+        "lines": t["lineitem"].selectExpr(
+            "l_orderkey as order_id", "l_partkey as item_id", "l_suppkey as plant_id",
+            "l_shipdate as dispatch_date", "l_orderkey as program_id", "l_returnflag as wave_id",
+            "l_linestatus as prevol_id"),
+        "wms_items": t["part"].selectExpr(
+            "p_partkey as item_id", "p_partkey as sku_id", "p_partkey as sku", "p_brand as supplier_id",
+            "cast(p_size as string) as brand"),
+        "eans": t["part"].selectExpr("p_partkey as sku_id", "p_name as ean"),
+        "serials": t["lineitem"].selectExpr(
+            "l_orderkey as program_id", "l_returnflag as wave_id", "l_linestatus as prevol_id",
+            "l_linenumber as imei"),
+        "item_master": t["part"].selectExpr("p_partkey as item_id", "'1' as item_company", "'18' as department"),
     }
 
 
-def stock_positions(t: Tables) -> DataFrame:
+def shipment_roles(t: Tables) -> dict[str, DataFrame]:
+    return t.derived("shipment_roles", _shipment_roles)
+
+
+def _positions(t: Tables) -> DataFrame:
     """The raw position table: one row per intra-day load."""
-    return t["events"].select(
-        F.col("user_id").alias("sku"), (F.col("user_id") % 10).alias("branch_id"),
-        F.col("ts").cast("date").alias("stock_date"), F.col("ts").alias("received_date"),
-        F.col("value").alias("available"), F.col("event_type").alias("brand_group"),
-        F.lit("1").alias("id_cia"))
+    return t["events"].selectExpr(
+        "user_id as sku", "user_id % 10 as branch_id", "cast(ts as date) as stock_date",
+        "ts as received_date", "value as available", "event_type as brand_group", "'1' as id_cia")
+
+
+def stock_positions(t: Tables) -> DataFrame:
+    return t.derived("stock_positions", _positions)
+
+
+def stock_items(t: Tables) -> DataFrame:
+    return t.derived("stock_items", lambda t: t["part"].selectExpr(
+        "p_partkey as item_id", "p_brand as supplier_id", "p_name as ean", "'1' as item_company"))
 
 
 def stock_roles(t: Tables) -> dict[str, DataFrame]:
     return {
         "positions": stock_positions(t),
-        "branches": t["supplier"].select(F.col("s_suppkey").alias("branch_id"),
-                                         F.col("s_name").alias("cnpj")),
+        "branches": t.derived("stock_branches", lambda t: t["supplier"].selectExpr(
+            "s_suppkey as branch_id", "s_name as cnpj")),
         "items": stock_items(t),
     }
 
 
-def stock_items(t: Tables) -> DataFrame:
-    return t["part"].select(F.col("p_partkey").alias("item_id"), F.col("p_brand").alias("supplier_id"),
-                            F.col("p_name").alias("ean"), F.lit("1").alias("item_company"))
-
-
 def branch_positions(t: Tables) -> DataFrame:
     """Positions with their branch cnpj (no item filter): input of the single-operator queries."""
-    roles = stock_roles(t)
-    pos = roles["positions"].join(roles["branches"], "branch_id")
-    return pos.select("sku", "cnpj", "stock_date", "received_date", "available", "brand_group", "id_cia")
+    def build(t):
+        roles = stock_roles(t)
+        pos = roles["positions"].join(roles["branches"], "branch_id")
+        return pos.select("sku", "cnpj", "stock_date", "received_date", "available", "brand_group", "id_cia")
+    return t.derived("branch_positions", build)
