@@ -123,6 +123,15 @@ _GRID_POS = _grid(_LATEST_POS)
 _SNAPSHOT = _fill(_grid(_latest(
     f"select * from ({_STOCK_EXTRACT}) x where stock_date between date '2023-12-31' and date '2024-01-30'")))
 
+_STOCK_REPORT = f"""
+select s.cnpj as warehouse_cnpj, s.brand_group, s.stock_date, p.p_name as ean, s.sku,
+       s.available as available_stock
+from ({_SNAPSHOT}) s
+join (select * from part where p_brand in {_BRANDS}) p on s.sku = p.p_partkey and s.id_cia = '1'
+where s.stock_date >= date '1900-01-01' and s.stock_date >= date '2024-01-10'
+  and s.stock_date <= date '2024-01-20' and s.available is not null
+"""
+
 ORACLES: dict[str, str] = {
     "sales_report": _SALES_REPORT,
     "sales_extract": _SALES_EXTRACT,
@@ -156,13 +165,21 @@ from (select distinct sku, brand_group, cnpj, id_cia from ({_LATEST_POS}) l) k c
     "stock_forward_fill": _fill(_GRID_POS),
     "stock_forward_fill_fused": _fill(_GRID_POS),
     "stock_snapshot": _SNAPSHOT,
-    "stock_report": f"""
-select s.cnpj as warehouse_cnpj, s.brand_group, s.stock_date, p.p_name as ean, s.sku,
-       s.available as available_stock
-from ({_SNAPSHOT}) s
-join (select * from part where p_brand in {_BRANDS}) p on s.sku = p.p_partkey and s.id_cia = '1'
-where s.stock_date >= date '1900-01-01' and s.stock_date >= date '2024-01-10'
-  and s.stock_date <= date '2024-01-20' and s.available is not null
+    "stock_report": _STOCK_REPORT,
+    "stock_report_json": f"""
+select to_json(json_object('warehouseCnpj', warehouse_cnpj, 'brandGroup', brand_group,
+                           'stockDate', strftime(stock_date, '%Y-%m-%d'), 'ean', ean, 'sku', sku,
+                           'availableStock', available_stock)) as json
+from ({_STOCK_REPORT}) r
+""",
+    "shipments_report_json": f"""
+select to_json(json_object('warehouseCnpj', warehouse_cnpj, 'warehouseUF', warehouse_uf, 'brand', brand,
+                           'nfIssuance', strftime(nf_issuance, '%Y-%m-%d'),
+                           'salesDate', strftime(sales_date, '%Y-%m-%d'),
+                           'dispatchDate', strftime(dispatch_date, '%Y-%m-%d'),
+                           'nfId', nf_id, 'nfSerie', nf_serie, 'deliveryCity', delivery_city,
+                           'deliveryUF', delivery_uf, 'ean', ean, 'sku', sku, 'IMEI', imei)) as json
+from ({_SHIPMENTS_REPORT}) r
 """,
     "filter_day_range": f"""
 select * from ({_POSITIONS}) p

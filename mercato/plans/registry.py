@@ -31,7 +31,7 @@ from mercato.plans.stock import (
 )
 from mercato.session import unique_path
 from mercato.sinks.archive import archive_before
-from mercato.sinks.json_lines import SALE_FIELDS, to_json_lines
+from mercato.sinks.json_lines import SALE_FIELDS, SHIPMENT_FIELDS, STOCK_FIELDS, to_json_lines
 from mercato.sinks.snapshot import SnapshotStore
 from mercato.sources import standins as S
 from mercato.sources.csv import read_csv, write_csv
@@ -107,6 +107,10 @@ def q_shipments_report(spark, sf_dir):
     return shipments_report(q_shipments_extract(spark, sf_dir), _range(SHIPMENTS_RANGE))
 
 
+def q_shipments_report_json(spark, sf_dir):
+    return to_json_lines(q_shipments_report(spark, sf_dir), SHIPMENT_FIELDS)
+
+
 # --------------------------------------------------------------------------- stock
 
 def _stock_extract(spark, sf_dir):
@@ -180,6 +184,10 @@ def q_stock_report(spark, sf_dir):
     return stock_report(snap, items, _range(STOCK_RANGE))
 
 
+def q_stock_report_json(spark, sf_dir):
+    return to_json_lines(q_stock_report(spark, sf_dir), STOCK_FIELDS)
+
+
 def q_filter_day_range(spark, sf_dir):
     return day_range(_positions(spark, sf_dir), "stock_date", _range(STOCK_RANGE))
 
@@ -294,6 +302,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "snapshot_refresh": q_snapshot_refresh,
     "shipments_report": q_shipments_report,
     "shipments_extract": q_shipments_extract,
+    "shipments_report_json": q_shipments_report_json,
     "stock_extract": q_stock_extract,
     "stock_latest_per_day": q_stock_latest_per_day,
     "stock_max_received": q_stock_max_received,
@@ -306,6 +315,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stock_forward_fill_fused": q_stock_forward_fill_fused,
     "stock_snapshot": q_stock_snapshot,
     "stock_report": q_stock_report,
+    "stock_report_json": q_stock_report_json,
     "filter_day_range": q_filter_day_range,
     "stock_cast_available": q_stock_cast_available,
     "stock_archive": q_stock_archive,
