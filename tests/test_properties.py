@@ -1,0 +1,97 @@
+"""Property tests against plain-Python transcriptions of the rules."""
+
+import math
+from collections import defaultdict
+from datetime import date, datetime, timedelta
+
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
+from mercato.params import DateRange
+from mercato.plans.sales import sales_report
+from mercato.plans.stock import latest_stock
+
+BASE = datetime(2024, 1, 10)
+SETTINGS = settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+
+stock_rows = st.lists(
+    st.tuples(
+        st.sampled_from(["1", "2", None]),               # sku
+        st.sampled_from(["a", "b"]),                     # cnpj
+        st.integers(0, 3),                               # day offset
+        st.one_of(st.none(), st.integers(0, 3)),         # hour (few values: ties are common)
+        st.one_of(st.none(), st.just(float("nan")), st.floats(0, 50, allow_nan=False)),
+        st.sampled_from(["1", "4"]),                     # brand group
+    ),
+    min_size=1, max_size=40)
+
+
+def _stock_frame(spark, rows):
+    data = []
+    for sku, cnpj, day, hour, val, bg in rows:
+        d = (BASE + timedelta(days=day)).date()
+        ts = None if hour is None else BASE + timedelta(days=day, hours=hour)
+        data.append((sku, cnpj, d, ts, val, bg, "1"))
+    schema = ("sku string, cnpj string, stock_date date, received_date timestamp_ntz, available double, "
+              "brand_group string, id_cia string")
+    return spark.createDataFrame(data, schema), data
+
+
+def _key(v):
+    return "nan" if isinstance(v, float) and math.isnan(v) else repr(v)
+
+
+@SETTINGS
+@given(rows=stock_rows)
+def test_latest_per_day_matches_join_back(spark, rows):
+    df, data = _stock_frame(spark, rows)
+    groups = defaultdict(list)
+    for r in data:
+        if None in (r[0], r[1], r[2], r[3], r[5]):
+            continue
+        groups[(r[1], r[5], r[0], r[2])].append(r)
+    expect = []
+    for g in groups.values():
+        top = max(r[3] for r in g)
+        expect += [r for r in g if r[3] == top]
+    got = [(r.sku, r.cnpj, r.stock_date, r.received_date, r.available, r.brand_group, r.id_cia)
+           for r in latest_stock(df).collect()]
+    assert sorted(tuple(map(_key, r)) for r in got) == sorted(tuple(map(_key, r)) for r in expect)
+
+
+sales_rows = st.lists(
+    st.tuples(
+        st.sampled_from(["c1", "c2", None]),
+        st.sampled_from(["1", "2", "3"]),
+        st.integers(-2, 20),                             # day offset from the range start
+        st.sampled_from([0, 8, 23 * 60 + 59, 23 * 60 + 59.5]),  # minute of day (23:59:30 is outside)
+        st.sampled_from(["s1", "s2"]),
+        st.one_of(st.none(), st.sampled_from([1.0, 2.0, 5.0])),
+    ),
+    min_size=1, max_size=40)
+
+
+@SETTINGS
+@given(rows=sales_rows)
+def test_sales_sum_matches_brute_force(spark, rows):
+    rng = DateRange(date(2024, 1, 1), date(2024, 1, 15))
+    data = []
+    for cnpj, brand, day, minute, sku, qty in rows:
+        ts = datetime(2024, 1, 1) + timedelta(days=day, seconds=int(minute * 60))
+        data.append((cnpj, brand, ts, "e", sku, "SP", qty))
+    schema = ("cnpj string, brand string, sales_date timestamp_ntz, ean string, sku string, "
+              "uf_target string, quantity double")
+    df = spark.createDataFrame(data, schema)
+    names = {"1": "SHOP", "2": "ACOM", "3": "SUBA"}
+    sums = {}
+    for cnpj, brand, ts, ean, sku, uf, qty in data:
+        if not (rng.lower <= ts <= rng.upper):
+            continue
+        key = (cnpj, names[brand], ts, ean, sku, uf)
+        sums.setdefault(key, None)
+        if qty is not None:
+            sums[key] = (sums[key] or 0.0) + qty
+    expect = sorted(repr((*k, 0.0 if v is None else v)) for k, v in sums.items())
+    got = sorted(repr((r.warehouse_cnpj, r.brand, r.sales_date, r.ean, r.sku, r.uf_target, r.quantity))
+                 for r in sales_report(df, rng).collect())
+    assert got == expect
