@@ -3,8 +3,9 @@
 Runs each query on ``$BENCH_SF_DIR`` (default /root/testdata/sf0.1) with
 ``local[$BENCH_CPUS]`` and forces full execution through the ``noop`` sink
 (every row is produced, nothing is collected to the driver).  Each query runs
-``$BENCH_REPEAT`` times (default 3) after one warm-up pass; the median is
-reported.  Prints one JSON line.
+``$BENCH_REPEAT`` times (default 5) after ``$BENCH_WARMUP`` warm-up passes
+over all queries (default 2: JIT compilation of the planner and codegen
+paths, file listing); the median is reported.  Prints one JSON line.
 """
 
 from __future__ import annotations
@@ -35,11 +36,13 @@ def _run(spark, name: str, sf_dir: str) -> float:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    repeat = int(os.environ.get("BENCH_REPEAT", "3"))
+    repeat = int(os.environ.get("BENCH_REPEAT", "5"))
+    warmup = int(os.environ.get("BENCH_WARMUP", "2"))
     spark = build_session(master=f"local[{cpus}]", shuffle_partitions=int(cpus) * 2)
     names = HEADLINE + SECONDARY
-    for name in names:  # warm-up: JIT, file listing, Python imports
-        _run(spark, name, sf_dir)
+    for _ in range(warmup):
+        for name in names:
+            _run(spark, name, sf_dir)
     per_query = {}
     for name in names:
         per_query[name] = round(statistics.median(_run(spark, name, sf_dir) for _ in range(repeat)), 4)

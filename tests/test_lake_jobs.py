@@ -76,3 +76,44 @@ def test_archive_job(spark):
     back = spark.read.parquet(target)
     assert back.count() == 2
     assert {str(r.partition_date) for r in back.select("partition_date").distinct().collect()} == {"2024-03-18"}
+
+
+def _wms_views(spark):
+    views = {
+        "wms_pedido_cab": (
+            [("P1", "26", datetime(2024, 3, 12), datetime(2024, 3, 10, 8), "PL1", "g", "o", "v", "L", "2024-03"),
+             ("P2", "26", datetime(2024, 3, 12), datetime(2024, 3, 10, 8), "PL1", "g", "o", "w", "A", "2024-03")],
+            "pedv_id_ped string, pedv_id_unineg string, pedv_dt_situacao timestamp_ntz, pedv_dt_emissao timestamp_ntz, "
+            "pedv_id_planta string, pedv_id_programa string, pedv_id_onda string, pedv_id_prevol string, "
+            "pedv_situacao string, pedv_dt_registro_p string"),
+        "wms_planta": ([("PL1", "00999", "SP")], "plta_id_planta string, plta_id_terceiro string, plta_id_estado string"),
+        "wms_pedido_cab_etic": (
+            [("P1", "Campinas", "SP", datetime(2024, 3, 11), 501, "1", "2024-03"),
+             ("P2", "Campinas", "SP", datetime(2024, 3, 11), 502, "1", "2024-03")],
+            "pcae_id_ped string, pcae_muni_nome string, pcae_id_estado string, pcae_data_faturamento timestamp_ntz, "
+            "pcae_num_nota int, pcae_serie string, pcae_datahora_p string"),
+        "wms_pedido_det": ([("P1", "W1", "2024-03"), ("P2", "W1", "2024-03")],
+                           "pedd_id_ped string, pedd_id_item string, pedv_dt_registro_p string"),
+        "wms_item": ([("W1", "K1", "0042", SUPPLIER)],
+                     "item_id_item string, item_id_sku string, item_cod_terceiro string, item_id_fornec string"),
+        "wms_ean": ([("K1", "7890001"), ("K1", "7890002")], "ean_id_sku string, ean_id_ean string"),
+        "wms_numero_serie": ([("g", "o", "v", "IMEI-1", "2024-03"), ("g", "o", "w", "IMEI-2", "2024-03")],
+                             "nuse_id_programa string, nuse_id_onda string, nuse_id_prevol string, "
+                             "nuse_nu_serie string, volu_dt_registro_p string"),
+    }
+    for name, (rows, schema) in views.items():
+        spark.createDataFrame(rows, schema).createOrReplaceTempView(name)
+
+
+def test_lake_shipments_report(spark):
+    from mercato.plans.shipments import shipments_report
+
+    _views(spark)
+    _wms_views(spark)
+    builders = lake_builders(spark, AS_OF, umbrella=None, wms=None)
+    rng = validate_dates("2024-03-01", "2024-03-15", as_of=AS_OF)
+    got = sorted((r.brand, r.imei, r.ean, r.nf_id, r.sku, r.warehouse_cnpj, r.delivery_city)
+                 for r in shipments_report(builders["shipments"](), rng).collect())
+    # order P2 is not dispatched ('A'); P1 pairs its serial with both EANs of the item
+    assert got == [("ACOM", "IMEI-1", "7890001", 501, "0042", "00999", "Campinas"),
+                   ("ACOM", "IMEI-1", "7890002", 501, "0042", "00999", "Campinas")]
