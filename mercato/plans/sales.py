@@ -96,8 +96,11 @@ def sales_extract(header: DataFrame, party: DataFrame, line: DataFrame, items: D
     it = _keep(items, {"item_id", "ean", "supplier_id"})
     br = _keep(branches, {"branch_id", "cnpj"})
 
-    joined = (h.join(p, party_key).join(ln, "order_id")
+    # Header and lines first (the selective fact join), then the item allow-list
+    # (shrinks the stream), then the remaining dimensions.
+    joined = (h.join(ln, "order_id")
               .join(it, F.col("sku") == it["item_id"], "left")
+              .join(p, party_key)
               .join(br, "branch_id", "left"))
     if rules.suppliers is not None:
         joined = joined.where(F.col("supplier_id").isin(list(rules.suppliers)))
