@@ -1,13 +1,16 @@
 """Versioned snapshots of report extracts.
 
-``refresh`` writes the extract to a new version directory and then points
-the snapshot at it; the previous version stays readable until the pointer
-moves, so readers never see a half-built or missing snapshot (the original
-service released its cache before rebuilding it).  ``get`` builds on first
-use.  Versions are Parquet, so report filters reach the files as pushed
-filters with row-group skipping, and the written snapshot cuts the lineage
-of the long extract plan.  Nothing is collected: only the one-row pointer is
-read on the driver.
+``refresh`` writes the extract to a new version directory and then appends
+a one-row record naming it to the snapshot's version log; ``get`` reads the
+newest recorded version and builds the snapshot on first use.  Nothing is
+ever deleted or overwritten, so a reader never sees a half-built or missing
+snapshot (the original service released its cache before rebuilding it),
+and a failed refresh leaves the previous version current.  Both writes go
+through Spark's commit protocol, so a lost executor only re-runs tasks.
+
+Versions are Parquet: report filters reach the files as pushed filters with
+row-group skipping, and the written snapshot cuts the lineage of the long
+extract plan.  Only the newest version record (one row) reaches the driver.
 """
 
 from __future__ import annotations
@@ -18,43 +21,44 @@ from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from mercato.session import scratch_dir
 
+_LOG_SCHEMA = "version string, path string"
+
 
 class SnapshotStore:
     def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark = spark
         self.root = (root or f"{scratch_dir(spark)}/snapshots").rstrip("/")
 
-    def _pointer(self, name: str) -> str:
-        return f"{self.root}/{name}/_current"
+    def _log(self, name: str) -> str:
+        return f"{self.root}/{name}/_versions"
 
     def current_version(self, name: str) -> str | None:
-        for attempt in range(3):
-            try:
-                row = self.spark.read.schema("path string").json(self._pointer(name)).first()
-                return row["path"] if row else None
-            except AnalysisException as exc:
-                if "PATH_NOT_FOUND" in str(exc) or "Path does not exist" in str(exc):
-                    if attempt == 2:
-                        return None
-                    time.sleep(0.2)
-                    continue
-                raise
-        return None
+        """Path of the newest committed version, or None before the first build."""
+        try:
+            log = self.spark.read.schema(_LOG_SCHEMA).json(self._log(name))
+        except AnalysisException as exc:
+            if "PATH_NOT_FOUND" in str(exc) or "Path does not exist" in str(exc):
+                return None
+            raise
+        row = log.agg(F.max_by("path", "version").alias("path")).first()
+        return row["path"] if row else None
 
     def refresh(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        """Rebuild the snapshot into a new version, then switch the pointer."""
-        version = f"{self.root}/{name}/v={int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}"
-        build().write.mode("errorifexists").parquet(version)
-        (self.spark.createDataFrame([(version,)], "path string").coalesce(1)
-         .write.mode("overwrite").json(self._pointer(name)))
-        return self.spark.read.parquet(version)
+        """Build a new version, then record it as current."""
+        version = f"{int(time.time() * 1000):015d}-{uuid.uuid4().hex[:8]}"
+        path = f"{self.root}/{name}/v={version}"
+        build().write.mode("errorifexists").parquet(path)
+        (self.spark.createDataFrame([(version, path)], _LOG_SCHEMA).coalesce(1)
+         .write.mode("append").json(self._log(name)))
+        return self.spark.read.parquet(path)
 
     def get(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         """The current snapshot, built on first use."""
-        version = self.current_version(name)
-        if version is None:
+        path = self.current_version(name)
+        if path is None:
             return self.refresh(name, build)
-        return self.spark.read.parquet(version)
+        return self.spark.read.parquet(path)
