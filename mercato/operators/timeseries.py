@@ -41,27 +41,27 @@ _DAY = "__day"
 _END = "__end"
 
 
-def latest_per_period(df: DataFrame, keys: Sequence[str], ts_col: str) -> DataFrame:
+def latest_per_period(df: DataFrame, keys: Sequence[str], ts_col: str,
+                      columns: Sequence[str] | None = None) -> DataFrame:
     """Rows holding the latest ``ts_col`` of their ``keys`` group.
 
     Equal to joining the per-group maximum back on all keys and the
     timestamp: rows with a NULL key or a NULL timestamp never match and are
-    dropped, and every row tied on the maximum is kept.  Output keeps the
-    input's columns and order.
+    dropped, and every row tied on the maximum is kept.  Output: ``columns``
+    (default: the input's columns, in order).
     """
     keys = list(keys)
     present = F.col(ts_col).isNotNull()
     for key in keys:
         present = present & F.col(key).isNotNull()
     clean = df.where(present)
-    renamed = {k: f"__key{i}" for i, k in enumerate(keys)}
-    maxima = clean.groupBy(*keys).agg(F.max(ts_col).alias(_MAX)).select(
-        *[F.col(k).alias(renamed[k]) for k in keys], _MAX)
-    cond = [F.col(k) == F.col(renamed[k]) for k in keys] + [F.col(ts_col) == F.col(_MAX)]
-    cond_all = cond[0]
-    for c in cond[1:]:
-        cond_all = cond_all & c
-    return clean.join(maxima, on=cond_all, how="inner").select(*df.columns)
+    renamed = [f"__key{i}" for i in range(len(keys))]
+    maxima = clean.groupBy(*[F.col(k).alias(r) for k, r in zip(keys, renamed)]).agg(
+        F.max(ts_col).alias(_MAX))
+    cond = F.col(ts_col) == F.col(_MAX)
+    for k, r in zip(keys, renamed):
+        cond = cond & (F.col(k) == F.col(r))
+    return clean.join(maxima, on=cond, how="inner").select(*(columns or df.columns))
 
 
 def max_per_period(df: DataFrame, keys: Sequence[str], ts_col: str, alias: str | None = None) -> DataFrame:

@@ -76,7 +76,7 @@ def stock_extract(positions: DataFrame, branches: DataFrame, items: DataFrame,
 
 def latest_stock(extract: DataFrame) -> DataFrame:
     """Latest position of each (cnpj, brand_group, sku, day); ties kept."""
-    return latest_per_period(extract, PERIOD_KEYS, "received_date").select(*LATEST_COLUMNS)
+    return latest_per_period(extract, PERIOD_KEYS, "received_date", LATEST_COLUMNS)
 
 
 def stock_grid(latest: DataFrame, as_of: date | datetime, months_back: int = 1) -> DataFrame:
