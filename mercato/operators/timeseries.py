@@ -93,18 +93,67 @@ def calendar_of(df: DataFrame, day_col: str, months_back: int = 1, out_col: str
 
 
 def densify(df: DataFrame, grid_keys: Sequence[str], day_col: str,
-            start: date, end: date) -> DataFrame:
+            start: date, end: date, partition_keys: Sequence[str] | None = None) -> DataFrame:
     """Every distinct ``grid_keys`` tuple times every day in ``[start, end]``,
     left-joined to ``df`` on keys + day.
 
     Days without an observation carry NULL in the other columns; observations
     outside the calendar disappear.  Key equality is NULL-rejecting (a NULL key
     component never finds its observation), as in a ``USING`` join.
+
+    With ``partition_keys`` (a subset of ``grid_keys`` that is never NULL) the
+    same rows are produced by one window pass instead of distinct + explode +
+    join: rows are partitioned by ``partition_keys``, and each observation emits
+    itself plus the gap days up to the previous / after the last observation of
+    its grid key.  A later window on the same keys (the forward fill) then needs
+    no further shuffle.
     """
     grid_keys = list(grid_keys)
-    grid = df.select(*grid_keys).distinct().select(
-        *grid_keys, F.explode(F.sequence(day_literal(start), day_literal(end))).alias(day_col))
-    return grid.join(df, on=[*grid_keys, day_col], how="left")
+    if partition_keys is None:
+        grid = df.select(*grid_keys).distinct().select(
+            *grid_keys, F.explode(F.sequence(day_literal(start), day_literal(end))).alias(day_col))
+        return grid.join(df, on=[*grid_keys, day_col], how="left")
+    return _densify_window(df, grid_keys, list(partition_keys), day_col, start, end)
+
+
+def _days(lo: Column, hi: Column) -> Column:
+    """``[lo, hi]`` as an array of days, empty when ``lo > hi``."""
+    return F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<date>"))
+
+
+def _densify_window(df: DataFrame, grid_keys: list[str], part_keys: list[str], day_col: str,
+                    start: date, end: date) -> DataFrame:
+    extra = [k for k in grid_keys if k not in part_keys]
+    day = F.col(day_col)
+    lo, hi = day_literal(start), day_literal(end)
+    window = Window.partitionBy(*part_keys).orderBy(*extra, day_col)
+    prev_same = F.lag(day).over(window).isNotNull()
+    next_same = F.lead(day).over(window).isNotNull()
+    for k in extra:
+        prev_same = prev_same & F.col(k).eqNullSafe(F.lag(k).over(window))
+        next_same = next_same & F.col(k).eqNullSafe(F.lead(k).over(window))
+    has_null = F.lit(False)
+    for k in grid_keys:
+        has_null = has_null | F.col(k).isNull()
+    staged = df.select("*", F.lag(day).over(window).alias("__prev"),
+                       prev_same.alias("__prev_same"), next_same.alias("__next_same"),
+                       has_null.alias("__has_null"))
+    prev_d, first = F.col("__prev"), ~F.col("__prev_same")
+    gap = lambda a, b: F.transform(_days(a, b), lambda d: F.struct(d.alias("d"), F.lit(False).alias("own")))
+    before = gap(F.when(first, lo).otherwise(F.greatest(F.date_add(prev_d, 1), lo)), F.least(F.date_sub(day, 1), hi))
+    own = F.when(day.between(lo, hi), F.array(F.struct(day.alias("d"), F.lit(True).alias("own")))).otherwise(
+        F.array().cast("array<struct<d:date,own:boolean>>"))
+    after = F.when(~F.col("__next_same"), gap(F.greatest(F.date_add(day, 1), lo), hi)).otherwise(
+        F.array().cast("array<struct<d:date,own:boolean>>"))
+    # a grid key with a NULL component never matches its observations: all its days are gaps
+    null_key = F.when(first, gap(lo, hi)).otherwise(F.array().cast("array<struct<d:date,own:boolean>>"))
+    cells = F.when(F.col("__has_null"), null_key).otherwise(F.concat(before, own, after))
+    exploded = staged.select("*", F.explode(cells).alias("__cell"))
+    own_row = F.col("__cell.own")
+    # same column order as the join form: grid keys, day, then the observation columns
+    out = [F.col(k) for k in grid_keys] + [F.col("__cell.d").alias(day_col)]
+    out += [F.when(own_row, F.col(c)).alias(c) for c in df.columns if c not in grid_keys and c != day_col]
+    return exploded.select(*out)
 
 
 def _fill_value(value_col: str, window) -> Column:

@@ -161,6 +161,7 @@ select k.sku, k.brand_group, k.cnpj, k.id_cia, d.stock_date
 from (select distinct sku, brand_group, cnpj, id_cia from ({_LATEST_POS}) l) k cross join ({_DAYS}) d
 """,
     "stock_gap_fill": _GRID_POS,
+    "stock_gap_fill_join": _GRID_POS,
     "filter_not_null": f"select * from ({_GRID_POS}) g where available is not null",
     "stock_forward_fill": _fill(_GRID_POS),
     "stock_forward_fill_fused": _fill(_GRID_POS),

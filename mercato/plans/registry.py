@@ -148,16 +148,21 @@ def q_join_cross_calendar(spark, sf_dir):
     return keys.select(*GRID_KEYS, F.explode(F.sequence(F.lit(start), F.lit(end))).alias("stock_date"))
 
 
-def _gap_fill(spark, sf_dir):
+def _gap_fill(spark, sf_dir, partition_keys=FILL_KEYS):
     start, end = calendar_bounds(S.STOCK_AS_OF)
     latest = latest_stock(_positions(spark, sf_dir))
-    return densify(latest, GRID_KEYS, "stock_date", start, end).select(*STOCK_COLUMNS)
+    return densify(latest, GRID_KEYS, "stock_date", start, end, partition_keys).select(*STOCK_COLUMNS)
 
 
 def q_stock_gap_fill(spark, sf_dir):
     return _gap_fill(spark, sf_dir)
 
 
+def q_stock_gap_fill_join(spark, sf_dir):
+    """The grid as distinct keys x calendar, left-joined on five columns."""
+    return _gap_fill(spark, sf_dir, partition_keys=None)
+
+
 def q_filter_not_null(spark, sf_dir):
     return not_null(_gap_fill(spark, sf_dir), "available")
 
@@ -310,6 +315,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stock_calendar": q_stock_calendar,
     "join_cross_calendar": q_join_cross_calendar,
     "stock_gap_fill": q_stock_gap_fill,
+    "stock_gap_fill_join": q_stock_gap_fill_join,
     "filter_not_null": q_filter_not_null,
     "stock_forward_fill": q_stock_forward_fill,
     "stock_forward_fill_fused": q_stock_forward_fill_fused,

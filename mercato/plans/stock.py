@@ -82,7 +82,7 @@ def latest_stock(extract: DataFrame) -> DataFrame:
 def stock_grid(latest: DataFrame, as_of: date | datetime, months_back: int = 1) -> DataFrame:
     """Every key x every calendar day, NULL where no position was taken."""
     start, end = calendar_bounds(as_of, months_back)
-    return densify(latest, GRID_KEYS, "stock_date", start, end).select(*STOCK_COLUMNS)
+    return densify(latest, GRID_KEYS, "stock_date", start, end, FILL_KEYS).select(*STOCK_COLUMNS)
 
 
 def stock_snapshot(extract: DataFrame, as_of: date | datetime, months_back: int = 1,
@@ -93,7 +93,8 @@ def stock_snapshot(extract: DataFrame, as_of: date | datetime, months_back: int
     extract is cut to the calendar first: on a day-partitioned table this is
     partition pruning.  ``fused=True`` runs grid + fill as one window pass
     (exact here because the extract holds a single company per key);
-    ``fused=False`` is the literal grid-and-join form.
+    ``fused=False`` materialises the grid (window form of ``densify``) and
+    fills it: the literal rules, with the grid and the fill sharing one shuffle.
     """
     start, end = calendar_bounds(as_of, months_back)
     in_cal = extract.where(F.col("stock_date").between(day_literal(start), day_literal(end)))
@@ -102,7 +103,7 @@ def stock_snapshot(extract: DataFrame, as_of: date | datetime, months_back: int
         filled = fill_calendar(latest, FILL_KEYS, "stock_date", "received_date", "available",
                                start, end, FILL_ORDER)
     else:
-        grid = densify(latest, GRID_KEYS, "stock_date", start, end)
+        grid = densify(latest, GRID_KEYS, "stock_date", start, end, FILL_KEYS)
         filled = forward_fill(grid, FILL_KEYS, FILL_ORDER, "available")
     return filled.select(*STOCK_COLUMNS)
 

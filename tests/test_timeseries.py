@@ -193,3 +193,28 @@ def test_fused_fill_shuffles_once(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     # the window reuses the fill-key partitioning: no exchange beyond the explicit one
     assert plan.count("Exchange hashpartitioning(sku") == 1
+
+
+def test_window_densify_equals_join_densify(spark):
+    rnd = random.Random(11)
+    rows = []
+    for _ in range(300):
+        day = d(-rnd.randint(-3, 45))                      # some rows after the calendar, some long before
+        ts = datetime.combine(day, datetime.min.time()) + timedelta(hours=rnd.choice([1, 1, 7]))
+        rows.append((rnd.choice(["1", "2", "3"]), rnd.choice(["a", "b"]), day, ts,
+                     rnd.choice([None, float("nan"), 1.0, 4.0]), rnd.choice(["1", "4"]),
+                     rnd.choice(["1", "1", "2", None])))   # several companies per key, and NULL
+    df = frame(spark, rows)
+    by_join = densify(df, GRID_KEYS, "stock_date", d(-30), TODAY)
+    by_window = densify(df, GRID_KEYS, "stock_date", d(-30), TODAY, partition_keys=FILL_KEYS)
+    assert by_join.columns == by_window.columns
+    assert _norm([tuple(r) for r in by_join.collect()]) == _norm([tuple(r) for r in by_window.collect()])
+
+
+def test_literal_snapshot_shares_one_shuffle(spark):
+    rows = [("1", "1", d(0), NOW, 1.0, "1", "1")]
+    latest = latest_stock(frame(spark, rows)).repartition(*FILL_KEYS)
+    grid = densify(latest, GRID_KEYS, "stock_date", d(-30), TODAY, partition_keys=FILL_KEYS)
+    out = forward_fill(grid, FILL_KEYS, FILL_ORDER, "available")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(sku") == 1
