@@ -38,7 +38,6 @@ _MAX = "__period_max"
 _NEXT = "__next_day"
 _POS = "__pos"
 _DAY = "__day"
-_END = "__end"
 
 
 def latest_per_period(df: DataFrame, keys: Sequence[str], ts_col: str,

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from mercato.functions.brands import brand_sales, brand_wms
 from mercato.functions.dates import day_string, from_day_string
 from mercato.functions.numbers import to_double
-from mercato.operators.filters import before_day, day_range, in_list, not_null, ts_range
+from mercato.operators.filters import day_range, in_list, not_null, ts_range
 from mercato.operators.timeseries import (
     calendar_bounds, calendar_of, densify, fill_calendar, forward_fill, max_per_period,
 )
@@ -26,7 +26,7 @@ from mercato.plans.items import item_master
 from mercato.plans.sales import sales_extract, sales_report
 from mercato.plans.shipments import shipments_extract, shipments_report
 from mercato.plans.stock import (
-    FILL_KEYS, FILL_ORDER, GRID_KEYS, LATEST_COLUMNS, PERIOD_KEYS, STOCK_COLUMNS, latest_stock,
+    FILL_KEYS, FILL_ORDER, GRID_KEYS, PERIOD_KEYS, STOCK_COLUMNS, latest_stock,
     stock_extract, stock_report, stock_snapshot,
 )
 from mercato.session import unique_path

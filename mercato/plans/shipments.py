@@ -65,13 +65,12 @@ class ShipmentRules:
     inclusive: bool = False
 
 
-def _prep(df: DataFrame, as_of, rules: ShipmentRules, extra=()) -> DataFrame:
+def _prep(df: DataFrame, as_of, rules: ShipmentRules) -> DataFrame:
     if "load_part" in df.columns:
         if rules.months_back is not None:
             df = month_window(df, "load_part", as_of, rules.months_back, rules.inclusive)
         df = df.drop("load_part")
-    wanted = _NEEDED | set(extra)
-    return df.select(*[c for c in df.columns if c in wanted])
+    return df.select(*[c for c in df.columns if c in _NEEDED])
 
 
 def shipments_extract(header: DataFrame, plants: DataFrame, labels: DataFrame, lines: DataFrame,
