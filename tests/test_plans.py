@@ -52,3 +52,23 @@ def test_column_pruning_on_wide_scan(spark):
     plan = physical(E.queries()["stock_snapshot"](spark, SF))
     # events has six columns; the snapshot reads four of them (props and event_id are pruned)
     assert "ReadSchema: struct<ts:timestamp_ntz,user_id:bigint,event_type:string,value:double>" in plan
+
+
+@pytest.fixture
+def large_scan_conf(spark):
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "1k"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_fact_scan_gets_runtime_bloom_filter(spark, large_scan_conf):
+    # emulate a line table far above the scan-size threshold: the filtered headers feed a bloom
+    # filter that prunes lineitem rows at the scan, before any shuffle
+    plan = E.queries()["sales_report"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    pruned = [line for line in plan.split("\n") if "might_contain" in line]
+    assert any("l_orderkey" in line for line in pruned)
