@@ -46,8 +46,9 @@ def lake_builders(spark: SparkSession, as_of: date | datetime,
 
     def stock():
         r = lake.stock_roles(spark, umbrella)
+        # the fused fill is exact when the extract holds one company; otherwise use the literal form
         return stock_snapshot(stock_extract(r["positions"], r["branches"], r["items"], stock_rules),
-                              as_of, stock_rules.months_back)
+                              as_of, stock_rules.months_back, fused=stock_rules.company is not None)
 
     def items():
         return item_master(lake.raw_items(spark, umbrella), "iteg_id_fornec", stock_rules.suppliers)

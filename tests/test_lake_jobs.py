@@ -117,3 +117,23 @@ def test_lake_shipments_report(spark):
     # order P2 is not dispatched ('A'); P1 pairs its serial with both EANs of the item
     assert got == [("ACOM", "IMEI-1", "7890001", 501, "0042", "00999", "Campinas"),
                    ("ACOM", "IMEI-1", "7890002", 501, "0042", "00999", "Campinas")]
+
+
+def test_lake_stock_without_company_filter_uses_exact_fill(spark):
+    from mercato.plans.stock import StockRules
+
+    _views(spark)
+    # a second company for the same sku/branch/brand group: the literal fill must be used
+    spark.createDataFrame(
+        [("0042", "7", "2024-03-18", datetime(2024, 3, 18, 9), "12", "1", "1"),
+         ("0042", "7", "2024-03-19", datetime(2024, 3, 19, 9), "20", "1", "2")],
+        "id_item string, id_filial string, partition_date string, load_timestamp timestamp_ntz, "
+        "qtde_disponivel string, id_agrup_valorizacao string, id_cia string").createOrReplaceTempView(
+        "umbrella_posicao_estoque")
+    rules = StockRules(company=None)
+    snap = lake_builders(spark, datetime(2024, 3, 20), stock_rules=rules, umbrella=None, wms=None)["stock"]()
+    got = sorted((str(r.stock_date), r.id_cia, r.available) for r in snap.collect())
+    # the fill key (sku, brand group, cnpj) spans both companies; inside a day company 1 sorts first:
+    # 18th: 12 (own), company 2 carries 12; 19th: company 1 carries 12, company 2 has 20; 20th: both 20
+    assert got == [("2024-03-18", "1", 12.0), ("2024-03-18", "2", 12.0), ("2024-03-19", "1", 12.0),
+                   ("2024-03-19", "2", 20.0), ("2024-03-20", "1", 20.0), ("2024-03-20", "2", 20.0)]
