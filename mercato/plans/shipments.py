@@ -79,9 +79,10 @@ def shipments_extract(header: DataFrame, plants: DataFrame, labels: DataFrame, l
                       rules: ShipmentRules = ShipmentRules(), label_key: str = "order_id") -> DataFrame:
     """The 8-table inner join with the warehouse filters.
 
-    Join order: the selective sides first (filtered header and item), then the
-    dimensions, then the serial numbers (the multiplying join) last, so the
-    widest intermediate result is produced once, at the end.
+    Join order: the selective sides first (filtered header, allow-listed item,
+    item-master check), then the dimensions, then the serial numbers (the
+    multiplying join) last, so the widest intermediate result is produced
+    once, at the end.
     """
     h = equals(_prep(header, as_of, rules), "order_status", rules.status)
     it = in_list(_prep(wms_items, as_of, rules), "supplier_id", rules.suppliers)
@@ -95,11 +96,11 @@ def shipments_extract(header: DataFrame, plants: DataFrame, labels: DataFrame, l
     if rules.brands is not None:
         joined = joined.where(F.col("brand").isin(list(rules.brands)))
     joined = (joined
+              .join(im, F.col("sku") == im["__iteg_id"])          # item-master check: filters, before widening
               .join(_prep(eans, as_of, rules), "sku_id")
               .join(_prep(plants, as_of, rules), "plant_id")
               .join(_prep(labels, as_of, rules), label_key)
-              .join(_prep(serials, as_of, rules), list(VOLUME_KEY))
-              .join(im, F.col("sku") == im["__iteg_id"]))
+              .join(_prep(serials, as_of, rules), list(VOLUME_KEY)))
     return joined.select(*EXTRACT_COLUMNS)
 
 
