@@ -100,7 +100,9 @@ def shipments_extract(header: DataFrame, plants: DataFrame, labels: DataFrame, l
               .join(_prep(eans, as_of, rules), "sku_id")
               .join(_prep(plants, as_of, rules), "plant_id")
               .join(_prep(labels, as_of, rules), label_key)
-              .join(_prep(serials, as_of, rules), list(VOLUME_KEY)))
+              # serial numbers are a fact table: sort-merge (AQE splits a hot volume), never a broadcast
+              # picked from a static estimate of the other side
+              .join(_prep(serials, as_of, rules).hint("merge"), list(VOLUME_KEY)))
     return joined.select(*EXTRACT_COLUMNS)
 
 
