@@ -288,7 +288,7 @@ def q_join_composite_key(spark, sf_dir):
                              F.col("l_linestatus").alias("s"), F.col("l_partkey").alias("sku"))
     ns = t["lineitem"].select(F.col("l_orderkey").alias("k"), F.col("l_returnflag").alias("f"),
                               F.col("l_linestatus").alias("s"), F.col("l_linenumber").alias("imei"))
-    return o.join(d, "k").join(ns, ["k", "f", "s"]).select(
+    return o.join(d, "k").join(ns.hint("merge"), ["k", "f", "s"]).select(
         F.col("k").alias("order_id"), "sku", "imei")
 
 
