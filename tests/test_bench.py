@@ -1,0 +1,19 @@
+import json
+import os
+import subprocess
+import sys
+
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
+def test_bench_prints_one_json_line():
+    env = dict(os.environ, BENCH_SF_DIR="/root/testdata/sf0.001", BENCH_REPEAT="1", BENCH_WARMUP="0",
+               BENCH_CPUS="2")
+    out = subprocess.run([sys.executable, os.path.join(ROOT, "bench.py")], env=env, capture_output=True,
+                         text=True, timeout=600, check=True)
+    lines = [line for line in out.stdout.splitlines() if line.strip()]
+    assert len(lines) == 1
+    record = json.loads(lines[0])
+    assert record["unit"] == "sec" and record["sf"] == 0.001
+    assert set(record["queries"]) >= {"sales_report", "shipments_report", "stock_snapshot", "stock_report"}
+    assert record["value"] > 0
