@@ -63,11 +63,16 @@ def _range(bounds: tuple[str, str]) -> DateRange:
 
 # --------------------------------------------------------------------------- sales
 
+# The extracts are built once per session and table set and reused by every report request, as the
+# service did with its extract DataFrames; only the plan is shared (no data is cached), so every action
+# re-reads the tables.
+
 def q_sales_extract(spark, sf_dir):
-    t = _tables(spark, sf_dir)
-    r = S.sales_roles(t)
-    return sales_extract(r["header"], r["party"], r["line"], r["items"], r["branches"],
-                         S.SALES_AS_OF, S.SALES_RULES, party_key="customer_id")
+    def build(t):
+        r = S.sales_roles(t)
+        return sales_extract(r["header"], r["party"], r["line"], r["items"], r["branches"],
+                             S.SALES_AS_OF, S.SALES_RULES, party_key="customer_id")
+    return _tables(spark, sf_dir).derived("sales_extract", build)
 
 
 def q_sales_report(spark, sf_dir):
@@ -96,11 +101,12 @@ def q_snapshot_refresh(spark, sf_dir):
 # ----------------------------------------------------------------------- shipments
 
 def q_shipments_extract(spark, sf_dir):
-    t = _tables(spark, sf_dir)
-    r = S.shipment_roles(t)
-    return shipments_extract(r["header"], r["plants"], r["labels"], r["lines"], r["wms_items"],
-                             r["eans"], r["serials"], r["item_master"], S.SALES_AS_OF,
-                             S.SHIPMENT_RULES, label_key="customer_id")
+    def build(t):
+        r = S.shipment_roles(t)
+        return shipments_extract(r["header"], r["plants"], r["labels"], r["lines"], r["wms_items"],
+                                 r["eans"], r["serials"], r["item_master"], S.SALES_AS_OF,
+                                 S.SHIPMENT_RULES, label_key="customer_id")
+    return _tables(spark, sf_dir).derived("shipments_extract", build)
 
 
 def q_shipments_report(spark, sf_dir):
@@ -114,8 +120,10 @@ def q_shipments_report_json(spark, sf_dir):
 # --------------------------------------------------------------------------- stock
 
 def _stock_extract(spark, sf_dir):
-    r = S.stock_roles(_tables(spark, sf_dir))
-    return stock_extract(r["positions"], r["branches"], r["items"], S.STOCK_RULES)
+    def build(t):
+        r = S.stock_roles(t)
+        return stock_extract(r["positions"], r["branches"], r["items"], S.STOCK_RULES)
+    return _tables(spark, sf_dir).derived("stock_extract", build)
 
 
 def q_stock_extract(spark, sf_dir):
