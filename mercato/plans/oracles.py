@@ -192,7 +192,7 @@ select event_id, try_cast(cast(value as varchar) as double) as available,
 from events
 """,
     "stock_archive": "select *, cast(ts as date) as partition_date from events where cast(ts as date) < date '2024-01-30'",
-    "sort_within_partitions": _POSITIONS,
+    "sort_within_partitions": _GRID_POS,
     "union_all": f"""
 select * from ({_POSITIONS}) a where stock_date < date '2024-01-15'
 union all

@@ -221,8 +221,13 @@ def q_stock_archive(spark, sf_dir):
 
 
 def q_sort_within_partitions(spark, sf_dir):
-    pos = _positions(spark, sf_dir)
-    return pos.repartition(*FILL_KEYS).sortWithinPartitions("sku", "stock_date", "brand_group", "cnpj")
+    """Hash repartition by the fill key, then sort inside each partition.
+
+    Applied, as in the original, to the day grid, where a key holds at most one row per calendar day
+    (plus ties), so no partition receives an unbounded group.
+    """
+    grid = _gap_fill(spark, sf_dir)
+    return grid.repartition(*FILL_KEYS).sortWithinPartitions("sku", "stock_date", "brand_group", "cnpj")
 
 
 def q_union_all(spark, sf_dir):
