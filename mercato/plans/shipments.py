@@ -92,14 +92,18 @@ def shipments_extract(header: DataFrame, plants: DataFrame, labels: DataFrame, l
     im = equals(im, "department", rules.department)
     im = im.select(F.col("item_id").alias("__iteg_id"))
 
-    joined = h.join(ln, "order_id").join(it, "item_id")
+    lb = _prep(labels, as_of, rules)
+    joined = h.join(ln, "order_id")
+    if label_key == "order_id":
+        joined = joined.join(lb, label_key)   # same key as header x lines: reuses its partitioning
+    joined = joined.join(it, "item_id")
     if rules.brands is not None:
         joined = joined.where(F.col("brand").isin(list(rules.brands)))
+    joined = joined.join(im, F.col("sku") == im["__iteg_id"])     # item-master check: filters, before widening
+    joined = joined.join(_prep(eans, as_of, rules), "sku_id").join(_prep(plants, as_of, rules), "plant_id")
+    if label_key != "order_id":
+        joined = joined.join(lb, label_key)
     joined = (joined
-              .join(im, F.col("sku") == im["__iteg_id"])          # item-master check: filters, before widening
-              .join(_prep(eans, as_of, rules), "sku_id")
-              .join(_prep(plants, as_of, rules), "plant_id")
-              .join(_prep(labels, as_of, rules), label_key)
               # serial numbers are a fact table: sort-merge (AQE splits a hot volume), never a broadcast
               # picked from a static estimate of the other side
               .join(_prep(serials, as_of, rules).hint("merge"), list(VOLUME_KEY)))

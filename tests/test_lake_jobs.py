@@ -137,3 +137,22 @@ def test_lake_stock_without_company_filter_uses_exact_fill(spark):
     # 18th: 12 (own), company 2 carries 12; 19th: company 1 carries 12, company 2 has 20; 20th: both 20
     assert got == [("2024-03-18", "1", 12.0), ("2024-03-18", "2", 12.0), ("2024-03-19", "1", 12.0),
                    ("2024-03-19", "2", 20.0), ("2024-03-20", "1", 20.0), ("2024-03-20", "2", 20.0)]
+
+
+def test_lake_party_join_reuses_the_order_partitioning(spark):
+    import re
+
+    _views(spark)
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        extract = lake_builders(spark, AS_OF, umbrella=None, wms=None)["sales"]()
+        plan = extract._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    by_order = re.findall(r"Exchange hashpartitioning\((order_id#\d+), ", plan)
+    # header, lines and party are each shuffled once by order id; the joined stream is not re-shuffled
+    assert len(by_order) == 3
