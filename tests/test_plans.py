@@ -72,3 +72,28 @@ def test_fact_scan_gets_runtime_bloom_filter(spark, large_scan_conf):
     plan = E.queries()["sales_report"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     pruned = [line for line in plan.split("\n") if "might_contain" in line]
     assert any("l_orderkey" in line for line in pruned)
+
+
+def test_stock_snapshot_prunes_day_partitions(spark, tmp_path):
+    """Lake layout: positions partitioned by a text day; only calendar partitions are read."""
+    from datetime import timedelta
+
+    from mercato.plans.stock import StockRules, stock_extract, stock_snapshot
+
+    path = str(tmp_path / "positions")
+    as_of = date(2024, 3, 20)
+    rows = []
+    for back in range(0, 60, 3):   # 20 day partitions, 11 of them inside the 31-day calendar
+        day = as_of - timedelta(days=back)
+        rows.append(("0042", "7", datetime.combine(day, datetime.min.time()), "5", "1", "1", day.isoformat()))
+    schema = ("sku string, branch_id string, received_date timestamp_ntz, available string, brand_group string, "
+              "id_cia string, stock_date string")
+    spark.createDataFrame(rows, schema).write.partitionBy("stock_date").parquet(path)
+    positions = spark.read.schema(schema).parquet(path)
+    branches = spark.createDataFrame([("7", "0001")], "branch_id string, cnpj string")
+    items = spark.createDataFrame([("0042", "280273002938")], "item_id string, supplier_id string")
+    snap = stock_snapshot(stock_extract(positions, branches, items, StockRules()), as_of)
+    assert snap.count() == 31
+    plan = physical(snap)
+    part_filters = [seg.split("]")[0] for seg in plan.split("PartitionFilters: [")[1:]]
+    assert part_filters and all("2024-02-19" in f and "2024-03-20" in f for f in part_filters)
