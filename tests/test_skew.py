@@ -1,7 +1,7 @@
 """A key holding a third of all rows: the latest-per-day join back is split by AQE."""
 
 import re
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -81,3 +81,41 @@ def test_hot_tie_is_split_by_aqe_and_kept_whole(spark, skew_conf):
     top, expect = _expected_hot(n, 1)
     assert sorted(r.available for r in rows if r.sku == "HOT") == expect   # every tied row kept
     assert len(expect) == n // 3
+
+
+def test_hot_volume_in_serial_join_is_split(spark, skew_conf):
+    """The serial-number join pairs every serial of a volume with every line: a hot volume is split."""
+    from mercato.params import DateRange
+    from mercato.plans.shipments import ShipmentRules, shipments_extract, shipments_report
+
+    n_serials = 6000
+    header = spark.range(40).select(
+        F.col("id").alias("order_id"), F.lit(datetime(2024, 3, 2)).cast("timestamp_ntz").alias("sales_date"),
+        F.lit("L").alias("order_status"), F.lit("26").alias("brand"),
+        F.lit(datetime(2024, 3, 3)).cast("timestamp_ntz").alias("dispatch_date"), F.lit(5).alias("plant_id"),
+        F.when(F.col("id") == 0, F.lit("HOT")).otherwise(F.col("id").cast("string")).alias("program_id"),
+        F.lit("w").alias("wave_id"), F.lit("v").alias("prevol_id"), F.lit("2024-03").alias("load_part"))
+    lines = spark.range(40).select(F.col("id").alias("order_id"), F.lit(100).alias("item_id"),
+                                   F.lit("2024-03").alias("load_part"))
+    serials = spark.range(n_serials).select(
+        F.when(F.col("id") % 3 == 0, F.lit("HOT")).otherwise((F.col("id") % 39 + 1).cast("string")).alias("program_id"),
+        F.lit("w").alias("wave_id"), F.lit("v").alias("prevol_id"), F.col("id").cast("string").alias("imei"),
+        F.lit("2024-03").alias("load_part"))
+    plants = spark.createDataFrame([(5, "cnpj5", "SP")], "plant_id int, warehouse_cnpj string, warehouse_uf string")
+    labels = spark.range(40).select(F.col("id").alias("order_id"), F.lit("city").alias("delivery_city"),
+                                    F.lit("RJ").alias("delivery_uf"),
+                                    F.lit(datetime(2024, 3, 3)).cast("timestamp_ntz").alias("nf_issuance"),
+                                    F.col("id").alias("nf_id"), F.lit("1").alias("nf_serie"), F.lit("2024-03").alias("load_part"))
+    wms_items = spark.createDataFrame([(100, 1000, "s100", "x")], "item_id long, sku_id long, sku string, supplier_id string")
+    eans = spark.createDataFrame([(1000, "e")], "sku_id long, ean string")
+    item_master = spark.createDataFrame([("s100", "1", "18")], "item_id string, item_company string, department string")
+    rules = ShipmentRules(suppliers=None)
+    out = shipments_report(shipments_extract(header, plants, labels, lines, wms_items, eans, serials, item_master,
+                                             as_of=date(2024, 3, 20), rules=rules),
+                           DateRange(date(2024, 3, 1), date(2024, 3, 15)))
+    total = out.count()
+    assert total == n_serials                       # every serial pairs with its order's single line
+    rows = out.where(F.col("imei").cast("long") % 3 == 0)
+    rows.collect()
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "skew=true" in plan
