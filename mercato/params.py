@@ -39,7 +39,7 @@ def minus_months(moment: datetime | date, months: int):
 
 
 def _parse_day(value: str, suffix: str) -> date:
-    match = _DAY.match(value.strip())
+    match = _DAY.match(value)  # blankness is judged on the trimmed text, the format on the text as given
     if not match:
         raise ValueError(MSG_BAD_FORMAT.format(value=f"{value} {suffix}"))
     try:

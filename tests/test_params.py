@@ -61,3 +61,10 @@ def test_minus_months_clamps():
     assert minus_months(date(2024, 3, 31), 1) == date(2024, 2, 29)
     assert minus_months(date(2024, 1, 15), 1) == date(2023, 12, 15)
     assert minus_months(date(2024, 1, 15), -1) == date(2024, 2, 15)
+
+
+def test_surrounding_spaces_are_a_format_error():
+    with pytest.raises(ValueError) as err:
+        validate_dates(" 2024-03-01", "2024-03-02", AS_OF)
+    assert str(err.value) == MSG_BAD_FORMAT.format(value=" 2024-03-01 00:00")
+    assert validate_dates("2024-3-1", "2024-03-02", AS_OF).initial == date(2024, 3, 1)
