@@ -156,3 +156,26 @@ def test_lake_party_join_reuses_the_order_partitioning(spark):
     by_order = re.findall(r"Exchange hashpartitioning\((order_id#\d+), ", plan)
     # header, lines and party are each shuffled once by order id; the joined stream is not re-shuffled
     assert len(by_order) == 3
+
+
+def test_report_service_requests(spark):
+    import pytest
+
+    from mercato.plans.service import ReportService
+
+    _views(spark)
+    _wms_views(spark)
+    svc = ReportService(spark, as_of=AS_OF, store=SnapshotStore(spark, unique_path(spark, "svc")),
+                        umbrella=None, wms=None)
+    with pytest.raises(ValueError, match="initialDate was not informed"):
+        svc.sales(None, "2024-03-15")
+    with pytest.raises(ValueError, match="older than 1 month"):
+        svc.stock("2024-01-01", "2024-03-15")
+    assert [r.quantity for r in svc.sales("2024-03-01", "2024-03-15").collect()] == [8.0]
+    assert svc.shipments("2024-03-01", "2024-03-15").count() == 2
+    stock = sorted((str(r.stock_date), r.available_stock) for r in svc.stock("2024-03-18", "2024-03-20").collect())
+    assert stock == [("2024-03-18", 12.0), ("2024-03-19", 12.0), ("2024-03-20", 12.0)]
+    text = svc.sales("2024-03-01", "2024-03-15", json=True).first().json
+    assert text.startswith('{"warehouseCnpj":"00123456000199","ufTarget":"SP","brand":"SHOP","salesDate":"2024-03-10"')
+    refreshed = svc.refresh()
+    assert set(refreshed) == {"sales", "stock", "shipments"}
