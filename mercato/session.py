@@ -14,7 +14,7 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
-def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
+def build_session(master: str | None = "local[*]", shuffle_partitions: int = 8,
                   app_name: str = "mercato", extra: dict | None = None) -> SparkSession:
     """A session configured the way the reports expect.
 
@@ -25,9 +25,12 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
       (one branch or one item holding a third of the rows) is split at run time
       and small join sides are converted to broadcasts from *measured* sizes.
     * UI off: no web server is started.
+
+    ``master=None`` keeps the master chosen by ``spark-submit`` (cluster runs).
     """
+    builder = SparkSession.builder if master is None else SparkSession.builder.master(master)
     builder = (
-        SparkSession.builder.master(master)
+        builder
         .appName(app_name)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
