@@ -59,3 +59,17 @@ def test_csv_keeps_leading_zeros(spark):
 def test_scratch_dir_reads_session_setting(spark):
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     assert scratch_dir(spark) == configured.rstrip("/")
+
+
+def test_archive_into_catalog_table(spark):
+    day = "v long, d date"
+    table = "archive_positions_test"
+    spark.sql(f"drop table if exists {table}")
+    spark.createDataFrame([(1, date(2024, 1, 1)), (2, date(2024, 1, 2))], day).write.partitionBy("d").saveAsTable(table)
+    second = spark.createDataFrame([(20, date(2024, 1, 2)), (30, date(2024, 1, 3)), (40, date(2024, 1, 4))], day)
+    mode_before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    archive_before(second, "d", date(2024, 1, 4), table, is_table=True)
+    got = sorted((r.d, r.v) for r in spark.table(table).collect())
+    assert got == [(date(2024, 1, 1), 1), (date(2024, 1, 2), 20), (date(2024, 1, 3), 30)]
+    assert spark.conf.get("spark.sql.sources.partitionOverwriteMode") == mode_before
+    spark.sql(f"drop table {table}")
