@@ -3,9 +3,11 @@
 * ``latest_per_period``  latest row per key and period (ties kept).
 * ``max_per_period``     the period maximum alone.
 * ``calendar_bounds`` / ``calendar``  trailing-day calendar (30 x months + 1 days).
-* ``densify``            key x calendar grid, left-joined to the observations.
+* ``densify``            key x calendar grid, left-joined to the observations
+                         (join form, or the same rows from one window pass).
 * ``forward_fill``       last observation carried forward, leading gaps dropped.
-* ``fill_calendar``      densify + forward fill fused into one window pass.
+* ``fill_calendar``      densify + forward fill fused: only observations go
+                         through the window, gap days are generated after it.
 
 All of them are generic over key / period / timestamp / value columns and
 are plain DataFrame plans: aggregates, joins, windows and ``explode``.
@@ -181,8 +183,8 @@ def fill_calendar(latest: DataFrame, fill_keys: Sequence[str], day_col: str, ts_
     Instead of materialising the key x day grid and joining it back, each
     observation carries its value forward to the day before the key's next
     observed day (or to ``end``) with ``explode(sequence(day, until))``.
-    Generated gap days have a NULL ``ts_col``.  One shuffle (by the fill keys)
-    instead of five.
+    Generated gap days have a NULL ``ts_col``.  One shuffle (by the fill keys),
+    and the window sorts only the observations, not the whole grid.
 
     Exact with respect to the literal form when the grid key equals the fill
     key up to columns that are constant per fill key (the stock extract filters
