@@ -136,9 +136,9 @@ ORACLES: dict[str, str] = {
     "sales_report": _SALES_REPORT,
     "sales_extract": _SALES_EXTRACT,
     "sales_report_json": f"""
-select to_json(json_object('warehouseCnpj', warehouse_cnpj, 'ufTarget', uf_target, 'brand', brand,
+select cast(json_object('warehouseCnpj', warehouse_cnpj, 'ufTarget', uf_target, 'brand', brand,
                            'salesDate', strftime(sales_date, '%Y-%m-%d'), 'ean', ean, 'sku', sku,
-                           'quantity', quantity)) as json
+                           'quantity', quantity) as varchar) as json
 from ({_SALES_REPORT}) r
 """,
     "snapshot_read": _SALES_EXTRACT,
@@ -168,18 +168,18 @@ from (select distinct sku, brand_group, cnpj, id_cia from ({_LATEST_POS}) l) k c
     "stock_snapshot": _SNAPSHOT,
     "stock_report": _STOCK_REPORT,
     "stock_report_json": f"""
-select to_json(json_object('warehouseCnpj', warehouse_cnpj, 'brandGroup', brand_group,
+select cast(json_object('warehouseCnpj', warehouse_cnpj, 'brandGroup', brand_group,
                            'stockDate', strftime(stock_date, '%Y-%m-%d'), 'ean', ean, 'sku', sku,
-                           'availableStock', available_stock)) as json
+                           'availableStock', available_stock) as varchar) as json
 from ({_STOCK_REPORT}) r
 """,
     "shipments_report_json": f"""
-select to_json(json_object('warehouseCnpj', warehouse_cnpj, 'warehouseUF', warehouse_uf, 'brand', brand,
+select cast(json_object('warehouseCnpj', warehouse_cnpj, 'warehouseUF', warehouse_uf, 'brand', brand,
                            'nfIssuance', strftime(nf_issuance, '%Y-%m-%d'),
                            'salesDate', strftime(sales_date, '%Y-%m-%d'),
                            'dispatchDate', strftime(dispatch_date, '%Y-%m-%d'),
                            'nfId', nf_id, 'nfSerie', nf_serie, 'deliveryCity', delivery_city,
-                           'deliveryUF', delivery_uf, 'ean', ean, 'sku', sku, 'IMEI', imei)) as json
+                           'deliveryUF', delivery_uf, 'ean', ean, 'sku', sku, 'IMEI', imei) as varchar) as json
 from ({_SHIPMENTS_REPORT}) r
 """,
     "filter_day_range": f"""
