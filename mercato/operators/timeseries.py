@@ -106,8 +106,9 @@ def densify(df: DataFrame, grid_keys: Sequence[str], day_col: str,
     same rows are produced by one window pass instead of distinct + explode +
     join: rows are partitioned by ``partition_keys``, and each observation emits
     itself plus the gap days up to the previous / after the last observation of
-    its grid key.  A later window on the same keys (the forward fill) then needs
-    no further shuffle.
+    its grid key.  History outside the calendar is first reduced to one marker
+    row per key, so window groups stay bounded by the calendar.  A later window
+    on the same keys (the forward fill) then needs no further shuffle.
     """
     grid_keys = list(grid_keys)
     if partition_keys is None:
@@ -127,27 +128,35 @@ def _densify_window(df: DataFrame, grid_keys: list[str], part_keys: list[str], d
     extra = [k for k in grid_keys if k not in part_keys]
     day = F.col(day_col)
     lo, hi = day_literal(start), day_literal(end)
-    window = Window.partitionBy(*part_keys).orderBy(*extra, day_col)
-    prev_same = F.lag(day).over(window).isNotNull()
-    next_same = F.lead(day).over(window).isNotNull()
+    # Observations outside the calendar only show that their grid key exists: they are reduced to one
+    # marker row per key (a partial-aggregate distinct, NULL day), so no window group ever holds more
+    # than the calendar's days (plus ties), however long the history.
+    inside = F.coalesce(day.between(lo, hi), F.lit(False))
+    markers = df.where(~inside).select(*grid_keys).distinct()
+    rows = df.where(inside).unionByName(markers, allowMissingColumns=True)
+
+    window = Window.partitionBy(*part_keys).orderBy(*extra, day_col)   # a key's marker sorts first
+    has_prev = F.lag(F.lit(1)).over(window).isNotNull()
+    has_next = F.lead(F.lit(1)).over(window).isNotNull()
     for k in extra:
-        prev_same = prev_same & F.col(k).eqNullSafe(F.lag(k).over(window))
-        next_same = next_same & F.col(k).eqNullSafe(F.lead(k).over(window))
+        has_prev = has_prev & F.col(k).eqNullSafe(F.lag(k).over(window))
+        has_next = has_next & F.col(k).eqNullSafe(F.lead(k).over(window))
     has_null = F.lit(False)
     for k in grid_keys:
         has_null = has_null | F.col(k).isNull()
-    staged = df.select("*", F.lag(day).over(window).alias("__prev"),
-                       prev_same.alias("__prev_same"), next_same.alias("__next_same"),
-                       has_null.alias("__has_null"))
-    prev_d, first = F.col("__prev"), ~F.col("__prev_same")
+    staged = rows.select("*", F.lag(day).over(window).alias("__prev"), has_prev.alias("__has_prev"),
+                         has_next.alias("__has_next"), has_null.alias("__has_null"))
+
+    cell = "array<struct<d:date,own:boolean>>"
+    empty = F.array().cast(cell)
     gap = lambda a, b: F.transform(_days(a, b), lambda d: F.struct(d.alias("d"), F.lit(False).alias("own")))
-    before = gap(F.when(first, lo).otherwise(F.greatest(F.date_add(prev_d, 1), lo)), F.least(F.date_sub(day, 1), hi))
-    own = F.when(day.between(lo, hi), F.array(F.struct(day.alias("d"), F.lit(True).alias("own")))).otherwise(
-        F.array().cast("array<struct<d:date,own:boolean>>"))
-    after = F.when(~F.col("__next_same"), gap(F.greatest(F.date_add(day, 1), lo), hi)).otherwise(
-        F.array().cast("array<struct<d:date,own:boolean>>"))
-    # a grid key with a NULL component never matches its observations: all its days are gaps
-    null_key = F.when(first, gap(lo, hi)).otherwise(F.array().cast("array<struct<d:date,own:boolean>>"))
+    prev_d, observed = F.col("__prev"), day.isNotNull()
+    first_day = F.when(F.col("__has_prev") & prev_d.isNotNull(), F.date_add(prev_d, 1)).otherwise(lo)
+    before = F.when(observed, gap(first_day, F.date_sub(day, 1))).otherwise(empty)
+    own = F.when(observed, F.array(F.struct(day.alias("d"), F.lit(True).alias("own")))).otherwise(empty)
+    after = F.when(~F.col("__has_next"), gap(F.coalesce(F.date_add(day, 1), lo), hi)).otherwise(empty)
+    # a grid key with a NULL component never matches its observations: all its days are gaps, once
+    null_key = F.when(~F.col("__has_prev"), gap(lo, hi)).otherwise(empty)
     cells = F.when(F.col("__has_null"), null_key).otherwise(F.concat(before, own, after))
     exploded = staged.select("*", F.explode(cells).alias("__cell"))
     own_row = F.col("__cell.own")

@@ -212,9 +212,16 @@ def test_window_densify_equals_join_densify(spark):
 
 
 def test_literal_snapshot_shares_one_shuffle(spark):
-    rows = [("1", "1", d(0), NOW, 1.0, "1", "1")]
-    latest = latest_stock(frame(spark, rows)).repartition(*FILL_KEYS)
+    import re
+
+    rows = [("1", "1", d(0), NOW, 1.0, "1", "1"), ("1", "1", d(-40), NOW - timedelta(days=40), 2.0, "1", "1")]
+    latest = latest_stock(frame(spark, rows))
     grid = densify(latest, GRID_KEYS, "stock_date", d(-30), TODAY, partition_keys=FILL_KEYS)
     out = forward_fill(grid, FILL_KEYS, FILL_ORDER, "available")
-    plan = out._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning(sku") == 1
+
+    def exchanges(df):
+        return re.findall(r"Exchange hashpartitioning\(([^)]*)\)", df._jdf.queryExecution().executedPlan().toString())
+
+    on_fill_keys = [e for e in exchanges(grid) if re.fullmatch(r"sku#\d+, brand_group#\d+, cnpj#\d+, \d+", e)]
+    assert len(on_fill_keys) == 1                   # the grid window's own shuffle
+    assert exchanges(out) == exchanges(grid)        # the fill reuses it: no further exchange
