@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mercato.llm import langid
+from mercato.llm import langid, minhash
 from mercato.llm.common import table
 
 
@@ -18,7 +18,15 @@ def op9_hd_langid(spark, sf_dir) -> DataFrame:
             .select("doc_id", "held_out", "lang_pred", "score"))
 
 
+def op4_circulant_minhash(spark, sf_dir) -> DataFrame:
+    """Near-duplicate classes of all documents on two-word shingles."""
+    docs = table(spark, sf_dir, "documents")
+    return (minhash.near_duplicates(docs, p=minhash.Params(width=2))
+            .select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept"))
+
+
 QUERIES = {
+    "op4_circulant_minhash": op4_circulant_minhash,
     "op9_hd_langid": op9_hd_langid,
 }
 
