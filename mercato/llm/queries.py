@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mercato.llm import langid, minhash
+import corpus_pipeline
+from mercato.llm import decontaminate, langid, minhash, mixing, sharding
 from mercato.llm.common import table
 
 
@@ -25,7 +26,32 @@ def op4_circulant_minhash(spark, sf_dir) -> DataFrame:
             .select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept"))
 
 
+def op5_simhash_decontamination(spark, sf_dir) -> DataFrame:
+    """One row per document and benchmark item that a window of the document matches."""
+    marked = decontaminate.annotate(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                                    table(spark, sf_dir, "benchmark"))
+    return marked.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*")
+
+
+def op6_karmarkar_karp(spark, sf_dir) -> DataFrame:
+    """All documents in 24 shards of near-equal bytes."""
+    return sharding.shard_rows(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op10_hypergeometric_mix(spark, sf_dir) -> DataFrame:
+    """Words that the mix takes of each document."""
+    mix = mixing.mix(table(spark, sf_dir, "documents"))
+    drawn = mix.draws.groupBy("source_no", "slot").agg(F.sum("size").alias("taken"))
+    return (mix.plan.join(drawn, ["source_no", "slot"], "left")
+            .select(F.col("id").alias("doc_id"), "size", "source_size", "target",
+                    F.coalesce("taken", F.lit(0)).cast("long").alias("taken")))
+
+
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
+    "op5_simhash_decontamination": op5_simhash_decontamination,
+    "op6_karmarkar_karp": op6_karmarkar_karp,
+    "op10_hypergeometric_mix": op10_hypergeometric_mix,
     "op4_circulant_minhash": op4_circulant_minhash,
     "op9_hd_langid": op9_hd_langid,
 }
