@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from mercato.llm import decontaminate, langid, minhash, mixing, sharding
-from mercato.llm.common import table
+from mercato.llm import decontaminate, embedding_neardup, langid, minhash, mixing, sharding, token_planes
+from mercato.llm.common import shared_folder, table
 
 
 def op9_hd_langid(spark, sf_dir) -> DataFrame:
@@ -19,6 +19,20 @@ def op9_hd_langid(spark, sf_dir) -> DataFrame:
             .select("doc_id", "held_out", "lang_pred", "score"))
 
 
+def op1_pigeonhole_join(spark, sf_dir) -> DataFrame:
+    """Links and components of all vectors at cosine 0.95."""
+    return embedding_neardup.near_duplicates(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def op3_plane_tokens(spark, sf_dir) -> DataFrame:
+    """Token ids of all documents, written in plane files and read back."""
+    import public_tokenizers
+
+    manifest = token_planes.write(table(spark, sf_dir, "documents"), shared_folder(spark, "planes"),
+                                  public_tokenizers.path("byte_bpe_50k.json"))
+    return token_planes.read(spark, manifest).withColumnRenamed("id", "doc_id")
+
+
 def op4_circulant_minhash(spark, sf_dir) -> DataFrame:
     """Near-duplicate classes of all documents on two-word shingles."""
     docs = table(spark, sf_dir, "documents")
@@ -49,6 +63,8 @@ def op10_hypergeometric_mix(spark, sf_dir) -> DataFrame:
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
+    "op1_pigeonhole_join": op1_pigeonhole_join,
+    "op3_plane_tokens": op3_plane_tokens,
     "op5_simhash_decontamination": op5_simhash_decontamination,
     "op6_karmarkar_karp": op6_karmarkar_karp,
     "op10_hypergeometric_mix": op10_hypergeometric_mix,

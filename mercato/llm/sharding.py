@@ -5,11 +5,12 @@ a heap of partial partitions (one column per shard) by spread and repeatedly
 combines the two largest, the one's heaviest column with the other's lightest.
 
 One heap over all groups would be one task.  The heaviest groups (a fixed
-number) are partitioned first, on their own.  The others, ordered by size and
-cut into blocks, are partitioned in parallel; each block also gets one partial
-partition that stands for its share of what the heavy groups have left uneven,
-so the block fills those gaps, and that partial partition's columns name the
-shards.  What a block leaves over is a few bytes.
+number) are partitioned first, on their own.  The others are dealt to tasks by
+a hash and cut into blocks, which are partitioned in parallel; each block also
+gets one partial partition that stands for its share of what the heavy groups
+have left uneven, so the block fills those gaps, and that partial partition's
+columns name the shards.  A block holds large and small groups, so what it
+leaves over is a few bytes.
 """
 
 from __future__ import annotations
