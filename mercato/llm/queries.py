@@ -6,10 +6,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from mercato.llm import decontaminate, embedding_neardup, langid, minhash, mixing, sharding, token_planes
+from mercato.llm import (
+    decontaminate, embedding_neardup, html_wrapper, langid, minhash, mixing, sharding, token_planes, toxicity,
+)
 from mercato.llm.common import shared_folder, table
 
 
+def op7_noisy_channel_toxicity(spark, sf_dir) -> DataFrame:
+    """Toxicity of every document; labels are learned from the folds other than 1 of 3."""
+    docs = table(spark, sf_dir, "documents")
+    held = langid.in_fold("doc_id", 3, 1)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held))
+    return (toxicity.score(docs.select("doc_id", held.alias("held_out"), "text"), model)
+            .select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted")))
+
+
+def op8_wrapper_induction(spark, sf_dir) -> DataFrame:
+    """Main text of every page."""
+    read = html_wrapper.extract(table(spark, sf_dir, "pages"))
+    return read.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op9_hd_langid(spark, sf_dir) -> DataFrame:
     """Language of every document; fitted on the folds other than 2 of 4."""
     docs = table(spark, sf_dir, "documents")
@@ -69,6 +86,8 @@ QUERIES = {
     "op6_karmarkar_karp": op6_karmarkar_karp,
     "op10_hypergeometric_mix": op10_hypergeometric_mix,
     "op4_circulant_minhash": op4_circulant_minhash,
+    "op7_noisy_channel_toxicity": op7_noisy_channel_toxicity,
+    "op8_wrapper_induction": op8_wrapper_induction,
     "op9_hd_langid": op9_hd_langid,
 }
 
