@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from mercato.llm import (
-    decontaminate, embedding_neardup, html_wrapper, langid, minhash, mixing, sharding, token_planes, toxicity,
+    decontaminate, embedding_neardup, html_wrapper, langid, minhash, mixing, sharding, suffix_dedup, token_planes,
+    toxicity,
 )
 from mercato.llm.common import shared_folder, table
 
@@ -41,6 +42,11 @@ def op1_pigeonhole_join(spark, sf_dir) -> DataFrame:
     return embedding_neardup.near_duplicates(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
 
+def op2_suffix_dedup(spark, sf_dir) -> DataFrame:
+    """What is left of every document without the 50-byte strings of earlier ones."""
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op3_plane_tokens(spark, sf_dir) -> DataFrame:
     """Token ids of all documents, written in plane files and read back."""
     import public_tokenizers
@@ -81,6 +87,7 @@ def op10_hypergeometric_mix(spark, sf_dir) -> DataFrame:
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_pigeonhole_join": op1_pigeonhole_join,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_plane_tokens": op3_plane_tokens,
     "op5_simhash_decontamination": op5_simhash_decontamination,
     "op6_karmarkar_karp": op6_karmarkar_karp,
