@@ -7,6 +7,7 @@ a partial aggregate and a join that adaptive execution can split.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,3 +48,15 @@ def components(links: DataFrame) -> DataFrame:
         links = stored(_small_star(_large_star(links)), "links")
     roots = links.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     return links.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)
+
+
+def least_names(a: np.ndarray, b: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """For each row, the least name that it reaches by the pairs of row numbers (a, b); inside one task."""
+    label = names.copy()
+    while True:
+        new = label.copy()
+        np.minimum.at(new, a, label[b])
+        np.minimum.at(new, b, label[a])
+        if (new == label).all():
+            return label
+        label = new

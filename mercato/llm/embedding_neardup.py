@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mercato.llm.common import stored
-from mercato.llm.components import components
+from mercato.llm.common import chunk_pairs, stored
+from mercato.llm.components import components, least_names
 
 
 @dataclass(frozen=True)
@@ -160,18 +160,6 @@ def join_cell(block: int, raw: np.ndarray, home: np.ndarray, side: np.ndarray, p
     return np.concatenate([none, *found_a]), np.concatenate([none, *found_b])
 
 
-def _least(n: int, a: np.ndarray, b: np.ndarray, names: np.ndarray) -> np.ndarray:
-    """For each of n rows, the least name that it reaches by the pairs."""
-    label = names.copy()
-    while True:
-        new = label.copy()
-        np.minimum.at(new, a, label[b])
-        np.minimum.at(new, b, label[a])
-        if (new == label).all():
-            return label
-        label = new
-
-
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
                     p: Params = Params()) -> DataFrame:
     """(id, n_links, component_id, kept) for every row.
@@ -185,13 +173,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     classes = stored(read.where("id is not null and raw is not null").groupBy("digest")
                      .agg(F.min("id").alias("cid"), F.count(F.lit(1)).alias("count"), F.first("raw").alias("raw")), "classes")
     laid = _cells(classes, p)
-    large = (laid.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > p.chunk)
-             .select("cell", F.ceil(F.col("n") / p.chunk).cast("int").alias("chunks")))
-    chunks = F.coalesce("chunks", F.lit(1))
-    split = (laid.join(large, "cell", "left").withColumn("chunks", chunks)
-             .withColumn("side", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int"))
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-             .withColumn("lo", F.least("side", "other")).withColumn("hi", F.greatest("side", "other")))
+    split = chunk_pairs(laid, ["cell"], "cid", p.chunk)
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"cid": [], "links": [], "root": []}).astype("int64")
@@ -207,7 +189,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         links = np.zeros(len(pdf), np.int64)
         np.add.at(links, a, count[b])
         np.add.at(links, b, count[a])
-        root = _least(len(pdf), a, b, cid)
+        root = least_names(a, b, cid)
         has = links > 0
         return pd.DataFrame({"cid": cid[has], "links": links[has], "root": root[has]})
 

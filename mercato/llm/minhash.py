@@ -13,8 +13,9 @@ everything is compared with the bucket's first member (so a bucket of n rows
 gives n candidates, not n^2), and links are confirmed on full sets.  Members of
 a bucket that this leaves in different components are then compared with each
 other too, so no link between components is lost; that step sees only the few
-buckets still split, and skips pairs whose sketches put them far below the
-threshold.  Bands are chosen so that a pair at the threshold meets in none with
+buckets still split, drops members whose sketches put them far below the
+threshold with all others, and compares the rest inside tasks, in chunks of
+bounded size that return a link per member, never the pairs.  Bands are chosen so that a pair at the threshold meets in none with
 a probability below 1e-7.
 """
 
@@ -25,13 +26,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mercato.llm.common import stored
-from mercato.llm.components import components
+from mercato.llm.common import chunk_pairs, stored
+from mercato.llm.components import components, least_names
 
 
 @dataclass(frozen=True)
@@ -40,14 +42,23 @@ class Params:
     percent: int = 80         # link from this similarity on
     bands: int = 32
     rows: int = 4             # coordinates of a band
-    sketch_words: int = 8     # one-bit sketch of the signature, in 64-bit words of the coordinates' lowest bits
+    sketch_words: int = 8     # 4 bits of each of the first 16 coordinates, of the next 16, ...
     #: Pairs whose sketches agree less than a pair at the threshold does by this many standard deviations are no links.
-    slack: float = 6.0
+    slack: float = 5.5
+    chunk: int = 500          # documents of a bucket that one group of the second pass takes
 
     @property
     def coordinates(self) -> int:
         return self.bands * self.rows
 
+    @property
+    def least_agreeing_bits(self) -> float:
+        """A coordinate gives the sketch 4 bits: all agree if it does, each by chance one half if not."""
+        j = self.percent / 100
+        mean = (1 + j) / 2
+        spread = (j + (1 - j) * (1 / 4 + 1 / 16) - mean ** 2) / (16 * self.sketch_words)
+        return 64 * self.sketch_words * (mean - self.slack * spread ** 0.5)
+
 
 _MASK = (1 << 64) - 1
 _WORD_CACHE = 1 << 20
@@ -159,6 +170,31 @@ def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, p: Params
     return wanted.mapInArrow(build, "id long, set array<long>")
 
 
+def _links_of(pdf: pd.DataFrame, p: Params) -> pd.DataFrame:
+    """Links between the rows of a group that are in different parts: one for each row that has any, to the least id it reaches."""
+    ids, part, side = (pdf[c].to_numpy(np.int64) for c in ("id", "part", "side"))
+    sizes = pdf["set"].map(len).to_numpy()
+    # Only shingles that several rows hold count for what two of them share.
+    kinds, place, held = np.unique(np.concatenate(pdf["set"].to_list()), return_inverse=True, return_counts=True)
+    row, column = np.repeat(np.arange(len(pdf)), sizes), np.cumsum(held > 1) - 1
+    row, column = row[held[place] > 1], column[place[held[place] > 1]]
+    shared = np.zeros((len(pdf), len(pdf)), np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for lo in range(0, int(held.size and (held > 1).sum()), 2048):
+        a, b = np.searchsorted(column, [lo, lo + 2048])
+        block = np.zeros((len(pdf), 2048), np.float32)
+        block[row[a:b], column[a:b] - lo] = 1
+        shared += block @ block.T
+    union = sizes[:, None] + sizes[None, :] - shared
+    link = (100 * shared >= p.percent * union) & (part[:, None] < part[None, :])
+    if pdf["lo"].iloc[0] != pdf["hi"].iloc[0]:
+        link &= side[:, None] != side[None, :]
+    a, b = np.nonzero(link)
+    root = least_names(a, b, ids)
+    return pd.DataFrame({"a": ids, "b": root})[root != ids]
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: Params = Params()) -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row of ``docs``; ids are expected to be unique.
 
@@ -186,30 +222,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     label = F.coalesce("component", "id")
     placed = member.join(found, "id", "left").select(
         "band", "value", "id", "n", "sketch", "first", label.alias("part"))
-    split = (placed.groupBy("band", "value", "part").agg(F.count(F.lit(1)).alias("size"))
-             .groupBy("band", "value").agg(F.max(F.struct("size", "part")).alias("main"), F.count(F.lit(1)).alias("parts"))
-             .where("parts > 1").select("band", "value", F.col("main.part").alias("main")))
-    placed = stored(placed.join(split, ["band", "value"]), "split")
-    outer = placed.where("part != main").select(
-        "band", "value", F.col("id").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"), F.col("sketch").alias("ska"))
-    # A pair between two side components is met from both; the one with the larger id asks.
-    side = placed.select("band", "value", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"),
-                         F.col("sketch").alias("skb"), (F.col("part") == F.col("main")).alias("in_main"), "first")
-    bits = 64 * p.sketch_words
-    expected = (1 + p.percent / 100) / 2
-    least = bits * expected - p.slack * (bits * expected * (1 - expected) * 4) ** 0.5
-    differ = sum((F.bit_count(F.col("ska")[i].bitwiseXOR(F.col("skb")[i])) for i in range(p.sketch_words)), F.lit(0))
-    more = (outer.join(side, ["band", "value"])
-            .where((F.col("pa") != F.col("pb")) & (F.col("in_main") | (F.col("a") > F.col("b")))
-                   & (F.col("b") != F.col("first")) & (F.col("a") != F.col("first"))
-                   & (100 * F.least("na", "nb") >= p.percent * F.greatest("na", "nb"))
-                   & (F.lit(bits) - differ >= F.lit(least)))
-            .select("a", "b").distinct())
-    more = stored(more, "more")
-    if not more.isEmpty():
-        ids = more.select(F.col("a").alias("id")).unionByName(more.select(F.col("b").alias("id"))).distinct()
-        sets = stored(_sets(docs, ids, id_col, text_col, p).dropDuplicates(["id"]), "sets")
-        found = components(stored(links.unionByName(_confirm(more, sets, p)), "links"))
+    split = (placed.groupBy("band", "value").agg(F.min("part").alias("low"), F.max("part").alias("high"))
+             .where("low <> high").select("band", "value"))
+    placed = stored(placed.join(split, ["band", "value"]).where("id <> first").drop("first"), "split")
+    other = placed.select("band", "value", F.col("n").alias("n2"), F.col("part").alias("part2"), F.col("sketch").alias("sketch2"))
+    differ = sum((F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("sketch2")[i])) for i in range(p.sketch_words)), F.lit(0))
+    near = (placed.join(other, (placed["band"] == other["band"]) & (placed["value"] == other["value"])
+                        & (F.col("part") != F.col("part2"))
+                        & (100 * F.least("n", "n2") >= p.percent * F.greatest("n", "n2"))
+                        & (F.lit(64 * p.sketch_words) - differ >= F.lit(p.least_agreeing_bits)), "left_semi")
+            .select("band", "value", "id", "part"))
+    near = stored(near, "near")
+    if not near.isEmpty():
+        sets = _sets(docs, near.select("id").distinct(), id_col, text_col, p).dropDuplicates(["id"])
+        met = chunk_pairs(near, ["band", "value"], "id", p.chunk).join(stored(sets, "sets"), "id")
+        more = met.groupBy("band", "value", "lo", "hi").applyInPandas(lambda pdf: _links_of(pdf, p), "a long, b long")
+        found = components(links.unionByName(stored(more, "more")))
 
     classes = classes.join(found, classes["rep"] == found["id"], "left").select(
         "digest", "n", F.coalesce("component", "rep").alias("component"))

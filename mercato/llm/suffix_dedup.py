@@ -102,7 +102,7 @@ class Block:
             key = np.minimum(key[:len(key) - (wide - width)], key[wide - width:])
         starts = n - p.length + 1
         anchor = (key[:starts] & low).astype(np.int64)
-        doc = np.searchsorted(self.ends, np.arange(starts), side="right")
+        doc = np.repeat(np.arange(len(self.ends)), np.diff(self.ends, prepend=0))[:starts]
         whole = np.arange(starts) + p.length <= self.ends[doc]
         at = np.flatnonzero(whole)
         anchor, doc = anchor[at], doc[at]
@@ -202,25 +202,26 @@ def _pieces(repeated: DataFrame, shards: int, p: Params) -> DataFrame:
         grams, doc, lo, hi = block.anchors(p)
         pick = np.flatnonzero(np.isin(grams, wanted))
         shard = _shards_of(grams[pick], shards)
-        least: dict[bytes, tuple[int, int]] = {}
+        least: dict[bytes, tuple[int, int, int]] = {}
         for i, s in zip(pick.tolist(), shard.tolist()):
             piece, id_ = block.piece(lo[i], hi[i], p), int(block.ids[doc[i]])
             old = least.get(piece)
             if old is None or id_ < old[1]:
-                least[piece] = s, id_
+                least[piece] = s, id_, int(grams[i])
         rows: dict[int, list] = {}
-        for piece, (s, id_) in least.items():
-            rows.setdefault(s, []).append((piece, id_))
+        for piece, (s, id_, gram) in least.items():
+            rows.setdefault(s, []).append((piece, id_, gram))
         zip_ = zstandard.ZstdCompressor(level=1)
         return pd.DataFrame([{
             "shard": s, "block": pdf["block"].iloc[0], "path": pdf["path"].iloc[0],
-            "sizes": np.array([len(x) for x, _ in held], "<i4").tobytes(),
-            "docs": np.array([d for _, d in held], "<i8").tobytes(),
-            "pieces": zip_.compress(b"".join([x for x, _ in held]))} for s, held in rows.items()],
-            columns=["shard", "block", "path", "sizes", "docs", "pieces"])
+            "sizes": np.array([len(x) for x, _, _ in held], "<i4").tobytes(),
+            "docs": np.array([d for _, d, _ in held], "<i8").tobytes(),
+            "grams": np.array([g for _, _, g in held], "<u8").tobytes(),
+            "pieces": zip_.compress(b"".join([x for x, _, _ in held]))} for s, held in rows.items()],
+            columns=["shard", "block", "path", "sizes", "docs", "grams", "pieces"])
 
     return repeated.groupBy("block").applyInPandas(
-        run, "shard int, block long, path string, sizes binary, docs binary, pieces binary")
+        run, "shard int, block long, path string, sizes binary, docs binary, grams binary, pieces binary")
 
 
 def smallest_documents(pieces: list[bytes], docs: list[int], p: Params) -> list[np.ndarray]:
@@ -272,12 +273,12 @@ def _judge(pieces: DataFrame, p: Params) -> DataFrame:
             rows.append((digests, np.array([g[0] for g in got], "<i4").tobytes(),
                          zip_.compress(b"".join(g[1] for g in got)), zip_.compress(b"".join(g[2] for g in got))))
         out = pd.DataFrame(rows, columns=["digests", "counts", "runs", "docs"])
-        out.insert(0, "path", pdf["path"].to_numpy())
-        out.insert(0, "block", pdf["block"].to_numpy())
+        for name in ("grams", "path", "block"):
+            out.insert(0, name, pdf[name].to_numpy())
         return out
 
     return pieces.groupBy("shard").applyInPandas(
-        run, "block long, path string, digests binary, counts binary, runs binary, docs binary")
+        run, "block long, path string, grams binary, digests binary, counts binary, runs binary, docs binary")
 
 
 def _mark(answers: DataFrame, blocks: DataFrame, p: Params) -> DataFrame:
@@ -295,8 +296,9 @@ def _mark(answers: DataFrame, blocks: DataFrame, p: Params) -> DataFrame:
                 known[digests[16 * i:16 * i + 16]] = runs[at[i]:at[i + 1]], docs[at[i]:at[i + 1]]
         covered = np.zeros(len(block.data) + 1, np.int64)
         if known:
-            _, doc, lo, hi = block.anchors(p)
-            for d, a, b in zip(doc.tolist(), lo.tolist(), hi.tolist()):
+            grams, doc, lo, hi = block.anchors(p)
+            pick = np.isin(grams, np.concatenate([np.frombuffer(g, "<u8") for g in right["grams"]]))
+            for d, a, b in zip(doc[pick].tolist(), lo[pick].tolist(), hi[pick].tolist()):
                 found = known.get(hashlib.blake2b(block.piece(a, b, p), digest_size=16).digest())
                 if found is None:
                     continue

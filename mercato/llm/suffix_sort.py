@@ -74,7 +74,7 @@ def rising(t: np.ndarray) -> np.ndarray:
     if n > 1:
         differ = np.flatnonzero(t[:-1] != t[1:])
         up = np.append(t[differ] < t[differ + 1], True)
-        out = up[np.searchsorted(differ, np.arange(n))]
+        out = np.repeat(up, np.diff(np.concatenate(([-1], differ, [n - 1]))))
     return out
 
 
