@@ -115,9 +115,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     keyed = (sized.withColumn("source", F.col("source").cast("string"))
              .join(F.broadcast(sources.withColumnRenamed("source", "_source")), F.col("source").eqNullSafe(F.col("_source")))
              .drop("_source", "source"))
-    placed = stored(numbered(keyed.withColumn("_h", F.xxhash64(F.lit(p.seed), "id")), ["source_no"],
-                             ["_h", "id", "size"], weight="size", name="permuted")
-                    .withColumn("extra", (F.col("size") > 0) & (F.col("before") + F.col("size") <= F.col("rest"))), "placed")
+    # A document larger than the rest can be no part of it, so the prefix passes over it.
+    fits = F.when(F.col("size") <= F.col("rest"), F.col("size")).otherwise(0)
+    placed = stored(numbered(keyed.withColumn("_h", F.xxhash64(F.lit(p.seed), "id")).withColumn("_fits", fits), ["source_no"],
+                             ["_h", "id", "size"], weight="_fits", name="permuted")
+                    .withColumn("extra", (F.col("_fits") > 0) & (F.col("before") + F.col("size") <= F.col("rest"))), "placed")
 
     # Top up each source with the largest document that fits what is left of its rest.
     gap = dict(enumerate(rest))
