@@ -13,7 +13,6 @@ Layout
 ``plans``      The report pipelines: sales, shipments, stock, item master.
 ``sinks``      Archive (dynamic partition overwrite), versioned snapshots,
                JSON lines output.
-``streaming``  Intentionally empty: the reports are batch jobs.
 """
 
 from mercato.params import DateRange, validate_dates  # noqa: F401

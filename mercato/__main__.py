@@ -28,7 +28,7 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--as-of", help="yyyy-MM-dd[THH:MM]; default: now")
     parser.add_argument("--skip-max-period", action="store_true")
     parser.add_argument("--master", default=None)
-    parser.add_argument("--shuffle-partitions", type=int, default=200)
+    parser.add_argument("--shuffle-partitions", type=int, default=None)
     args = parser.parse_args(argv)
     if args.command == "archive" and not args.target:
         parser.error("archive needs --target")

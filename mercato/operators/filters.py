@@ -12,6 +12,7 @@ from datetime import date
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mercato.functions.dates import day_literal, ts_literal
 from mercato.params import DateRange
@@ -47,15 +48,23 @@ def ts_range(df: DataFrame, column: str, rng: DateRange) -> DataFrame:
     return df.where(lower & upper)
 
 
+def _day_value(df: DataFrame, column: str, day: date):
+    """A day to compare a column with: ISO text for a text column, so that the filter still prunes
+    partitions and a malformed value fails no job (it compares as text); else a date."""
+    if isinstance(df.schema[column].dataType, T.StringType):
+        return F.lit(f"{day:%Y-%m-%d}")
+    return day_literal(day)
+
+
 def day_range(df: DataFrame, column: str, rng: DateRange) -> DataFrame:
     """Closed day range on a date (or ``yyyy-MM-dd`` text) column."""
-    col = F.col(column).cast("date")
-    return df.where(col.between(day_literal(rng.first_day), day_literal(rng.final)))
+    first, last = (_day_value(df, column, d) for d in (rng.first_day, rng.final))
+    return df.where(F.col(column).between(first, last))
 
 
 def before_day(df: DataFrame, column: str, day: date) -> DataFrame:
     """``column < day`` (the archive's "strictly before today")."""
-    return df.where(F.col(column).cast("date") < day_literal(day))
+    return df.where(F.col(column) < _day_value(df, column, day))
 
 
 def not_null(df: DataFrame, column: str) -> DataFrame:

@@ -22,8 +22,8 @@ from mercato.sinks.archive import archive_before
 from mercato.sinks.snapshot import SnapshotStore
 from mercato.sources import lake
 
-# The snapshots the daily job refreshes (the item master is only built on first use).
-REFRESHED = ("sales", "stock", "shipments")
+# The snapshots the daily job refreshes; items first, as the stock report joins them.
+REFRESHED = ("items", "sales", "stock", "shipments")
 
 
 def lake_builders(spark: SparkSession, as_of: date | datetime,
@@ -46,9 +46,8 @@ def lake_builders(spark: SparkSession, as_of: date | datetime,
 
     def stock():
         r = lake.stock_roles(spark, umbrella)
-        # the fused fill is exact when the extract holds one company; otherwise use the literal form
         return stock_snapshot(stock_extract(r["positions"], r["branches"], r["items"], stock_rules),
-                              as_of, stock_rules.months_back, fused=stock_rules.company is not None)
+                              as_of, stock_rules.months_back)
 
     def items():
         return item_master(lake.raw_items(spark, umbrella), "iteg_id_fornec", stock_rules.suppliers)

@@ -123,6 +123,10 @@ _GRID_POS = _grid(_LATEST_POS)
 _SNAPSHOT = _fill(_grid(_latest(
     f"select * from ({_STOCK_EXTRACT}) x where stock_date between date '2023-12-31' and date '2024-01-30'")))
 
+_STOCK_EXTRACT_COMPANIES = _STOCK_EXTRACT.replace("'1' as id_cia", "cast(e.event_id % 2 as varchar) as id_cia")
+_SNAPSHOT_COMPANIES = _fill(_grid(_latest(
+    f"select * from ({_STOCK_EXTRACT_COMPANIES}) x where stock_date between date '2023-12-31' and date '2024-01-30'")))
+
 _STOCK_REPORT = f"""
 select s.cnpj as warehouse_cnpj, s.brand_group, s.stock_date, p.p_name as ean, s.sku,
        s.available as available_stock
@@ -166,6 +170,7 @@ from (select distinct sku, brand_group, cnpj, id_cia from ({_LATEST_POS}) l) k c
     "stock_forward_fill": _fill(_GRID_POS),
     "stock_forward_fill_fused": _fill(_GRID_POS),
     "stock_snapshot": _SNAPSHOT,
+    "stock_snapshot_companies": _SNAPSHOT_COMPANIES,
     "stock_report": _STOCK_REPORT,
     "stock_report_json": f"""
 select cast(json_object('warehouseCnpj', warehouse_cnpj, 'brandGroup', brand_group,
@@ -230,11 +235,7 @@ from lineitem l left join part p on l.l_partkey = p.p_partkey
 where p.p_brand in {_BRANDS}
 """,
     "join_left_branch": """
-select l.l_orderkey, l.l_linenumber, b.cnpj
-from lineitem l
-left join (select s.s_suppkey, s.s_name as cnpj from supplier s
-           join nation n on s.s_nationkey = n.n_nationkey where n.n_regionkey = 1) b
-  on l.l_suppkey = b.s_suppkey
+select l_orderkey, l_linenumber, s_name as cnpj from lineitem left join supplier on s_suppkey = l_partkey
 """,
     "join_composite_key": """
 select d.l_orderkey as order_id, d.l_partkey as sku, ns.l_linenumber as imei

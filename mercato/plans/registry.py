@@ -8,6 +8,7 @@ stand-in mapping is in ``mercato.sources.standins``.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,7 +44,6 @@ SALES_RANGE = ("2001-01-01", "2001-07-31")
 SHIPMENTS_RANGE = ("1995-01-01", "2001-07-31")
 STOCK_RANGE = ("2024-01-10", "2024-01-20")
 UNION_SPLIT = (date(2024, 1, 15), date(2024, 1, 10))
-BRANCH_REGION = 1
 
 
 _TABLES: dict[tuple[int, str], Tables] = {}
@@ -143,7 +143,15 @@ def q_stock_max_received(spark, sf_dir):
 
 
 def q_stock_distinct_keys(spark, sf_dir):
-    return latest_stock(_positions(spark, sf_dir)).select(*GRID_KEYS).distinct()
+    return _grid_keys(spark, sf_dir)
+
+
+def _grid_keys(spark, sf_dir):
+    """Distinct keys that have a latest position: those of rows with period keys and a load time."""
+    rows = _positions(spark, sf_dir)
+    for c in (*PERIOD_KEYS, "received_date"):
+        rows = not_null(rows, c)
+    return rows.select(*GRID_KEYS).distinct()
 
 
 def q_stock_calendar(spark, sf_dir):
@@ -152,7 +160,7 @@ def q_stock_calendar(spark, sf_dir):
 
 def q_join_cross_calendar(spark, sf_dir):
     start, end = calendar_bounds(S.STOCK_AS_OF)
-    keys = latest_stock(_positions(spark, sf_dir)).select(*GRID_KEYS).distinct()
+    keys = _grid_keys(spark, sf_dir)
     return keys.select(*GRID_KEYS, F.explode(F.sequence(F.lit(start), F.lit(end))).alias("stock_date"))
 
 
@@ -187,12 +195,24 @@ def q_stock_forward_fill_fused(spark, sf_dir):
 
 
 def q_stock_snapshot(spark, sf_dir):
-    return stock_snapshot(_stock_extract(spark, sf_dir), S.STOCK_AS_OF, 1, fused=True)
+    return stock_snapshot(_stock_extract(spark, sf_dir), S.STOCK_AS_OF, 1)
+
+
+def q_stock_snapshot_companies(spark, sf_dir):
+    """The snapshot with two companies behind every stock key."""
+    t = _tables(spark, sf_dir)
+    roles = S.stock_roles(t)
+    positions = t["events"].selectExpr(
+        "user_id as sku", "user_id % 10 as branch_id", "cast(ts as date) as stock_date", "ts as received_date",
+        "value as available", "event_type as brand_group", "cast(event_id % 2 as string) as id_cia")
+    extract = stock_extract(positions, roles["branches"], roles["items"],
+                            replace(S.STOCK_RULES, company=None))
+    return stock_snapshot(extract, S.STOCK_AS_OF, 1)
 
 
 def q_stock_report(spark, sf_dir):
     t = _tables(spark, sf_dir)
-    snap = stock_snapshot(_stock_extract(spark, sf_dir), S.STOCK_AS_OF, 1, fused=True)
+    snap = stock_snapshot(_stock_extract(spark, sf_dir), S.STOCK_AS_OF, 1)
     items = item_master(S.stock_items(t), "supplier_id", S.STANDIN_SUPPLIERS)
     return stock_report(snap, items, _range(STOCK_RANGE))
 
@@ -287,10 +307,9 @@ def q_join_left_null_rejected(spark, sf_dir):
 
 def q_join_left_branch(spark, sf_dir):
     t = _tables(spark, sf_dir)
-    branches = (t["supplier"].join(t["nation"], F.col("s_nationkey") == F.col("n_nationkey"))
-                .where(F.col("n_regionkey") == BRANCH_REGION)
-                .select(F.col("s_suppkey").alias("branch_id"), F.col("s_name").alias("cnpj")))
-    li = t["lineitem"].select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("branch_id"))
+    branches = t["supplier"].select(F.col("s_suppkey").alias("branch_id"), F.col("s_name").alias("cnpj"))
+    # there are more parts than suppliers, so many of these keys have no branch
+    li = t["lineitem"].select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("branch_id"))
     return li.join(branches, "branch_id", "left").select("l_orderkey", "l_linenumber", "cnpj")
 
 
@@ -301,7 +320,7 @@ def q_join_composite_key(spark, sf_dir):
                              F.col("l_linestatus").alias("s"), F.col("l_partkey").alias("sku"))
     ns = t["lineitem"].select(F.col("l_orderkey").alias("k"), F.col("l_returnflag").alias("f"),
                               F.col("l_linestatus").alias("s"), F.col("l_linenumber").alias("imei"))
-    return o.join(d, "k").join(ns.hint("merge"), ["k", "f", "s"]).select(
+    return o.join(d, "k").join(ns, ["k", "f", "s"]).select(
         F.col("k").alias("order_id"), "sku", "imei")
 
 
@@ -333,6 +352,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stock_forward_fill": q_stock_forward_fill,
     "stock_forward_fill_fused": q_stock_forward_fill_fused,
     "stock_snapshot": q_stock_snapshot,
+    "stock_snapshot_companies": q_stock_snapshot_companies,
     "stock_report": q_stock_report,
     "stock_report_json": q_stock_report_json,
     "filter_day_range": q_filter_day_range,

@@ -96,17 +96,13 @@ def sales_extract(header: DataFrame, party: DataFrame, line: DataFrame, items: D
     it = _keep(items, {"item_id", "ean", "supplier_id"})
     br = _keep(branches, {"branch_id", "cnpj"})
 
-    # Header and lines first (the selective fact join).  A party keyed by order joins next, on
-    # the same key, so it reuses that partitioning; then the item allow-list (shrinks the
-    # stream) and the remaining dimensions.
-    joined = h.join(ln, "order_id")
-    if party_key == "order_id":
-        joined = joined.join(p, party_key).join(it, F.col("sku") == it["item_id"], "left")
-    else:
-        joined = joined.join(it, F.col("sku") == it["item_id"], "left").join(p, party_key)
-    joined = joined.join(br, "branch_id", "left")
+    # The allow-list cuts the lines before the largest shuffle: line x item first (the items of a few
+    # suppliers), then the header.  A party keyed by order joins next, on the same key, so it reuses
+    # that partitioning; then the remaining dimensions.
+    ln = ln.join(it, F.col("sku") == it["item_id"], "left")
     if rules.suppliers is not None:
-        joined = joined.where(F.col("supplier_id").isin(list(rules.suppliers)))
+        ln = ln.where(F.col("supplier_id").isin(list(rules.suppliers)))
+    joined = h.join(ln, "order_id").join(p, party_key).join(br, "branch_id", "left")
     return joined.select(*EXTRACT_COLUMNS)
 
 

@@ -79,10 +79,12 @@ def shipments_extract(header: DataFrame, plants: DataFrame, labels: DataFrame, l
                       rules: ShipmentRules = ShipmentRules(), label_key: str = "order_id") -> DataFrame:
     """The 8-table inner join with the warehouse filters.
 
-    Join order: the selective sides first (filtered header, allow-listed item,
-    item-master check), then the dimensions, then the serial numbers (the
-    multiplying join) last, so the widest intermediate result is produced
-    once, at the end.
+    Join order: the allow-listed items with the item-master check first, then
+    the lines, so that only their lines are shuffled to the filtered header;
+    then the dimensions, and the serial numbers (the multiplying join) last, so
+    the widest intermediate result is produced once, at the end.  How the
+    serials are joined is left to adaptive execution, which knows the size of
+    the side that has been cut.
     """
     h = equals(_prep(header, as_of, rules), "order_status", rules.status)
     it = in_list(_prep(wms_items, as_of, rules), "supplier_id", rules.suppliers)
@@ -93,20 +95,19 @@ def shipments_extract(header: DataFrame, plants: DataFrame, labels: DataFrame, l
     im = im.select(F.col("item_id").alias("__iteg_id"))
 
     lb = _prep(labels, as_of, rules)
-    joined = h.join(ln, "order_id")
+    if rules.brands is not None and "brand" in it.columns:
+        it = it.where(F.col("brand").isin(list(rules.brands)))
+    it = it.join(im, F.col("sku") == im["__iteg_id"])              # item-master check, before any fact
+    joined = h.join(ln.join(it, "item_id"), "order_id")
     if label_key == "order_id":
         joined = joined.join(lb, label_key)   # same key as header x lines: reuses its partitioning
-    joined = joined.join(it, "item_id")
     if rules.brands is not None:
         joined = joined.where(F.col("brand").isin(list(rules.brands)))
-    joined = joined.join(im, F.col("sku") == im["__iteg_id"])     # item-master check: filters, before widening
     joined = joined.join(_prep(eans, as_of, rules), "sku_id").join(_prep(plants, as_of, rules), "plant_id")
     if label_key != "order_id":
         joined = joined.join(lb, label_key)
     joined = (joined
-              # serial numbers are a fact table: sort-merge (AQE splits a hot volume), never a broadcast
-              # picked from a static estimate of the other side
-              .join(_prep(serials, as_of, rules).hint("merge"), list(VOLUME_KEY)))
+              .join(_prep(serials, as_of, rules), list(VOLUME_KEY)))
     return joined.select(*EXTRACT_COLUMNS)
 
 

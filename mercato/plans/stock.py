@@ -86,15 +86,16 @@ def stock_grid(latest: DataFrame, as_of: date | datetime, months_back: int = 1)
 
 
 def stock_snapshot(extract: DataFrame, as_of: date | datetime, months_back: int = 1,
-                   fused: bool = True) -> DataFrame:
+                   fused: bool = False) -> DataFrame:
     """Latest per day -> calendar grid -> forward fill.
 
     History before the calendar plays no part (as in the grid join), so the
     extract is cut to the calendar first: on a day-partitioned table this is
-    partition pruning.  ``fused=True`` runs grid + fill as one window pass
-    (exact here because the extract holds a single company per key);
-    ``fused=False`` materialises the grid (window form of ``densify``) and
-    fills it: the literal rules, with the grid and the fill sharing one shuffle.
+    partition pruning.  The default makes the grid (window form of
+    ``densify``) and fills it: the literal rules for any mix of companies, with
+    the grid and the fill sharing one shuffle.  ``fused=True`` carries each
+    observation forward in one window pass; it gives the same rows only where
+    every (sku, brand group, cnpj) holds a single company.
     """
     start, end = calendar_bounds(as_of, months_back)
     in_cal = extract.where(F.col("stock_date").between(day_literal(start), day_literal(end)))

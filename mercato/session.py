@@ -14,7 +14,7 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
-def build_session(master: str | None = "local[*]", shuffle_partitions: int = 8,
+def build_session(master: str | None = "local[*]", shuffle_partitions: int | None = None,
                   app_name: str = "mercato", extra: dict | None = None) -> SparkSession:
     """A session configured the way the reports expect.
 
@@ -26,21 +26,26 @@ def build_session(master: str | None = "local[*]", shuffle_partitions: int = 8,
       and small join sides are converted to broadcasts from *measured* sizes.
     * UI off: no web server is started.
 
+    ``shuffle_partitions=None`` keeps the session's own number.
     ``master=None`` keeps the master chosen by ``spark-submit`` (cluster runs).
     """
     builder = SparkSession.builder if master is None else SparkSession.builder.master(master)
     builder = (
         builder
         .appName(app_name)
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", os.environ.get("MERCATO_DRIVER_MEMORY", "8g"))
     )
+    # Left alone unless asked for: a cluster has settings of its own.
+    if shuffle_partitions is not None:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    memory = os.environ.get("MERCATO_DRIVER_MEMORY") or ("8g" if master and master.startswith("local") else None)
+    if memory:
+        builder = builder.config("spark.driver.memory", memory)
     for key, value in (extra or {}).items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()

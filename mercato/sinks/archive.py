@@ -19,11 +19,12 @@ def archive_before(df: DataFrame, partition_col: str, today: date, target: str,
     """``INSERT OVERWRITE target PARTITION (partition_col) SELECT * ... WHERE part < today``.
 
     ``target`` is a directory (Parquet, partitioned by ``partition_col``) or,
-    with ``is_table``, an existing catalog table.  No repartition is forced:
-    each task writes the few day-partitions its input split covers, and a day
-    that holds a third of all rows is still written by many tasks in parallel.
+    with ``is_table``, an existing catalog table.  Rows are rebalanced by day
+    before the write: adaptive execution sizes the files, so a day gets a few
+    files whatever the number of input splits, and a day that holds a third of
+    all rows is split among many tasks.
     """
-    rows = before_day(df, partition_col, today)
+    rows = before_day(df, partition_col, today).hint("rebalance", partition_col)
     if is_table:
         spark = df.sparkSession
         previous = spark.conf.get("spark.sql.sources.partitionOverwriteMode")

@@ -22,7 +22,9 @@ def test_entry_smoke(spark):
 
 def test_every_query_has_an_oracle():
     assert set(E.oracle_sql()) <= set(E.queries())
-    assert set(E.queries()) == set(E.oracle_sql())
+    # the corpus operators may have none; their own tests compare them with brute force
+    from mercato.plans.registry import QUERIES
+    assert set(QUERIES) <= set(E.oracle_sql())
 
 
 @pytest.fixture(scope="module")
@@ -33,7 +35,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
 def test_query_matches_oracle(spark, duck, name):
     df = E.queries()[name](spark, SF)
     rows = [tuple(r) for r in df.collect()]
@@ -49,7 +51,7 @@ SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "stri
                  "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN"}
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
 def test_query_types_match_oracle(spark, duck, name):
     spark_types = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
                    for f in E.queries()[name](spark, SF).schema.fields}

@@ -178,4 +178,4 @@ def test_report_service_requests(spark):
     text = svc.sales("2024-03-01", "2024-03-15", json=True).first().json
     assert text.startswith('{"warehouseCnpj":"00123456000199","ufTarget":"SP","brand":"SHOP","salesDate":"2024-03-10"')
     refreshed = svc.refresh()
-    assert set(refreshed) == {"sales", "stock", "shipments"}
+    assert set(refreshed) == {"items", "sales", "stock", "shipments"}
