@@ -162,7 +162,7 @@ class Reader:
 # Where splitting a text changes nothing: before a single space between two characters that are not white space.
 _ODD = re.compile(r" \s|\s |^ | $")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
-_CACHE = 400_000
+_CACHE = 1_200_000
 
 
 class Encoder:
