@@ -153,7 +153,8 @@ class Items:
             if not len(found):
                 continue
             at = np.flatnonzero(self.maybe[(found & np.uint64((1 << 20) - 1)).astype(np.int64)])
-            at = at[np.isin(found[at], self.keys)]
+            hit = found[at]
+            at = at[self.keys[np.minimum(np.searchsorted(self.keys, hit), len(self.keys) - 1)] == hit]
             places: dict[int, list[int]] = defaultdict(list)
             for i in at.tolist():
                 for item in self.holders[int(found[i])]:
