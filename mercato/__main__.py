@@ -11,8 +11,9 @@ is collected to the driver.
 from __future__ import annotations
 
 import argparse
-from datetime import datetime
+from datetime import date, datetime
 
+from mercato.params import DEFAULT_MIN_DATE
 from mercato.plans.service import ReportService
 from mercato.session import build_session
 
@@ -27,6 +28,7 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--path-target", action="store_true")
     parser.add_argument("--as-of", help="yyyy-MM-dd[THH:MM]; default: now")
     parser.add_argument("--skip-max-period", action="store_true")
+    parser.add_argument("--min-date", type=date.fromisoformat, default=DEFAULT_MIN_DATE, help="earliest day a report may ask for")
     parser.add_argument("--master", default=None)
     parser.add_argument("--shuffle-partitions", type=int, default=None)
     args = parser.parse_args(argv)
@@ -37,7 +39,8 @@ def main(argv: list[str] | None = None) -> None:
     as_of = datetime.fromisoformat(args.as_of) if args.as_of else datetime.now()
 
     spark = build_session(master=args.master, shuffle_partitions=args.shuffle_partitions)
-    svc = ReportService(spark, as_of=as_of, skip_max_period=args.skip_max_period)
+    svc = ReportService(spark, as_of=as_of, skip_max_period=args.skip_max_period,
+                        min_date=args.min_date)
     if args.command == "refresh":
         svc.refresh()
     elif args.command == "archive":

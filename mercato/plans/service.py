@@ -63,7 +63,7 @@ class ReportService:
         return to_json_lines(out, STOCK_FIELDS) if json else out
 
     def refresh(self, names: Iterable[str] = REFRESHED) -> dict[str, DataFrame]:
-        """The daily snapshot refresh (sales, stock, shipments; the item master is never refreshed)."""
+        """The daily snapshot refresh (item master, sales, stock, shipments)."""
         return refresh_snapshots(self.store, self.builders, names)
 
     def archive(self, target: str, today: date | None = None, is_table: bool = True) -> None:
