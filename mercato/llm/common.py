@@ -49,6 +49,26 @@ def stored(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def likely_among(rows: DataFrame, key: list, wanted: DataFrame, wanted_key: list, slots: int = 1 << 20) -> DataFrame:
+    """``rows`` without most of those whose key is not among the keys of ``wanted``; none that is there is lost.
+
+    A table of at most ``slots`` words of 64 bits marks the hashes of the wanted
+    keys; its size has that bound whatever ``wanted`` holds (16 bytes a row), so
+    it is broadcast.  A join that follows then shuffles the rows that are
+    needed and not the whole table.  With many more than 64 * ``slots`` wanted
+    keys nothing is sifted out any more, and the join does all the work.
+    """
+    def marked(columns: list) -> tuple:
+        h = F.xxhash64(F.lit(0), *columns)
+        return F.pmod(F.shiftright(h, 6), F.lit(slots)), F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))
+
+    slot, bit = marked(wanted_key)
+    words = wanted.select(slot.alias("_slot"), bit.alias("_bit")).groupBy("_slot").agg(F.bit_or("_bit").alias("_word"))
+    slot, bit = marked(key)
+    return (rows.withColumn("_bit", bit).withColumn("_slot", slot).join(F.broadcast(words), "_slot")
+            .where(F.col("_word").bitwiseAND(F.col("_bit")) != 0).select(*rows.columns))
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder path below the shared scratch folder."""
     return unique_path(spark, "llm", name)

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mercato.llm.common import chunk_pairs, stored
+from mercato.llm.common import chunk_pairs, likely_among, stored
 from mercato.llm.components import components, least_names
 
 
@@ -158,7 +158,11 @@ def _confirm(pairs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
 
 
 def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, p: Params) -> DataFrame:
-    """Full sets of the documents in ``ids``, made again from their texts."""
+    """Full sets of the documents in ``ids``, one for an id, made again from their texts.
+
+    Only texts that are likely wanted are shuffled, and repeated ids are
+    dropped while the rows lie by id, so the sets are not moved for it.
+    """
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
@@ -166,7 +170,8 @@ def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, p: Params
             sets = [shingles(t.as_py(), p.width, words).view(np.int64) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "set"])
 
-    wanted = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_text")).join(ids, "id", "left_semi")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_text"))
+    wanted = likely_among(texts, ["id"], ids, ["id"]).join(ids, "id", "left_semi").dropDuplicates(["id"])
     return wanted.mapInArrow(build, "id long, set array<long>")
 
 
@@ -209,12 +214,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bucketed = stored(reps.select("id", "n", "sketch", F.posexplode("bands").alias("band", "value")), "buckets")
     shared = (bucketed.groupBy("band", "value").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("members"))
               .where("members > 1"))
-    member = stored(bucketed.join(shared, ["band", "value"]), "members")
+    shared = stored(shared, "shared")
+    key = ["band", "value"]
+    member = stored(likely_among(bucketed, key, shared, key).join(shared, key), "members")
 
     # First pass: every member against its bucket's first one.
     pairs = stored(member.where("id != first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct(), "pairs")
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = stored(_sets(docs, ids, id_col, text_col, p).dropDuplicates(["id"]), "sets")
+    sets = stored(_sets(docs, stored(ids, "ids"), id_col, text_col, p), "sets")
     links = stored(_confirm(pairs, sets, p), "links")
     found = components(links)
 
@@ -234,10 +241,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             .select("band", "value", "id", "part"))
     near = stored(near, "near")
     if not near.isEmpty():
-        sets = _sets(docs, near.select("id").distinct(), id_col, text_col, p).dropDuplicates(["id"])
-        met = chunk_pairs(near, ["band", "value"], "id", p.chunk).join(stored(sets, "sets"), "id")
+        # All of them were members in the first pass, so their sets are there.
+        met = chunk_pairs(near, key, "id", p.chunk).join(likely_among(sets, ["id"], near, ["id"]), "id")
         more = met.groupBy("band", "value", "lo", "hi").applyInPandas(lambda pdf: _links_of(pdf, p), "a long, b long")
-        found = components(links.unionByName(stored(more, "more")))
+        more = stored(more, "more")
+        if not more.isEmpty():
+            found = components(links.unionByName(more))
 
     classes = classes.join(found, classes["rep"] == found["id"], "left").select(
         "digest", "n", F.coalesce("component", "rep").alias("component"))
