@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mercato.llm.common import stored
+from mercato.llm.common import likely_among, stored
 
 
 @dataclass(frozen=True)
@@ -35,6 +35,7 @@ class Params:
     least_pages: int = 3      # pages that have to agree on a template text
     nodes: int = 600          # nodes of a page that are aligned, in page order
     seed: int = 3
+    salts: int = 16           # parts of a host while its pages are drawn
 
 
 # Elements by their role on a page.
@@ -308,8 +309,16 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     hosted = pages.select(*columns).withColumn("_host", host_of(url_col))
     sizes = hosted.groupBy("_host").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= p.least_pages)
     draw = F.pmod(F.xxhash64(F.lit(p.seed), F.col(id_col), F.col(url_col)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = (hosted.select("_host", F.col(html_col).alias("html"), draw.alias("draw")).where("html is not null")
-              .join(sizes, "_host").where(F.col("draw") * F.col("_n") < 1.5 * p.pages_per_host).select("_host", "draw", "html"))
+    # The sample is chosen on host and draw alone, a host's size being held once for each salt, so neither pages nor a large host
+    # come to one task; only chosen pages are moved.
+    drawn = hosted.select("_host", draw.alias("draw"))
+    sizes = sizes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(p.salts - 1))))
+    salt = F.pmod(F.xxhash64(F.lit(p.seed + 1), "draw"), F.lit(p.salts)).cast("int")
+    chosen = stored(drawn.withColumn("_salt", salt).join(sizes, ["_host", "_salt"])
+                    .where(F.col("draw") * F.col("_n") < 1.5 * p.pages_per_host).select("_host", "draw").distinct(), "chosen")
+    key = ["_host", "draw"]
+    sample = likely_among(hosted.select("_host", draw.alias("draw"), F.col(html_col).alias("html")).where("html is not null"),
+                          key, chosen, key).join(chosen, key, "left_semi")
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         chosen = pdf.sort_values(["draw", "html"])["html"].tolist()[:2 * p.pages_per_host]
