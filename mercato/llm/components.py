@@ -30,21 +30,23 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).where("a != b").distinct()
 
 
+def _all_stars(links: DataFrame) -> bool:
+    """Whether every vertex is either a leaf with one link to a smaller vertex or a centre."""
+    ends = links.select(F.col("a").alias("v"), F.lit(1).alias("up")).unionByName(links.select(F.col("b").alias("v"), F.lit(0).alias("up")))
+    return (ends.groupBy("v").agg(F.sum("up").alias("up"), F.count_if(F.col("up") == 0).alias("down"))
+            .where("up > 1 or (up = 1 and down > 0)").isEmpty())
+
+
 def components(links: DataFrame) -> DataFrame:
     """``links`` (a, b long) -> (id, component): every vertex with the smallest vertex it reaches.
 
-    Vertices without a link do not appear.  Ends when a round changes nothing,
+    Vertices without a link do not appear.  Ends when all links are stars,
     which takes about log2 of the longest path rounds; every round is written
     to the shared folder.
     """
     links = stored(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
                    .distinct(), "links")
-    seen = None
-    while True:
-        state = tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if state == seen or not state[0]:
-            break
-        seen = state
+    while not _all_stars(links):
         links = stored(_small_star(_large_star(links)), "links")
     roots = links.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     return links.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)
