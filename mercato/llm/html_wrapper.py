@@ -1,15 +1,21 @@
 """Main text of web pages, with wrappers induced from pages of the same host.
 
-Pages of a host share a template.  A few pages of each host are parsed into
-trees and aligned by simple tree matching; a text that stands on matching nodes
-of pages that otherwise differ belongs to the template, what varies fills the
-slots.  A host's wrapper is the set of its template texts (with their place)
-and the place of the slot that holds most of the varying text.
-
-A page's main text is that of its ``article`` or ``main`` element, else of its
-host's main slot, else of its body; without elements that are by their tag,
+Pages of a host share templates.  A text node that stands at the same place (the
+names of the elements around it) of most of a host's pages that have that place
+belongs to the template: this is counted over all pages, each different page
+once.  Pages of one layout (the outer containers of a page) are also aligned by
+simple tree matching, whole trees of a few pages of every layout; a text that
+stands on matching nodes of most of them belongs to that layout's template, and
+what varies fills its slots.
+
+A page's main text is what varies, wherever it stands: all lines but those made
+of template texts only.  Tags break ties alone: elements that are by their tag,
 role or class menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles or comments of readers, and without template texts.
+scripts, styles or comments of readers are no main text though they vary, nor
+are ``article`` elements of a place whose slots hold less than half as much as
+those of the host's main one (teasers).  A page of a host with fewer than
+``least_pages`` different pages has no wrapper and is read by its ``article``
+or else ``main`` element, else its body.
 """
 
 from __future__ import annotations
@@ -17,8 +23,9 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Set
 from dataclasses import dataclass, field
+from hashlib import blake2b
 
 import pandas as pd
 import pyarrow as pa
@@ -30,12 +37,11 @@ from mercato.llm.common import likely_among, stored
 
 @dataclass(frozen=True)
 class Params:
-    #: About this many pages of a host, chosen by a hash of their id, are aligned; a wrapper is fitted on them alone.
-    pages_per_host: int = 6
+    #: This many different pages of a layout are aligned, chosen by a hash; template texts are counted over all pages as well.
+    pages_per_layout: int = 6
     least_pages: int = 3      # pages that have to agree on a template text
-    nodes: int = 600          # nodes of a page that are aligned, in page order
     seed: int = 3
-    salts: int = 16           # parts of a host while its pages are drawn
+    salts: int = 16           # parts of a layout while its pages are drawn
 
 
 # Elements by their role on a page.
@@ -56,6 +62,8 @@ APART_NAMES = re.compile(
     r"social|widget|pagination|pager|search|toolbar|copyright|legal|tags)$")
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"},
              "th": {"td", "th", "tr"}, "option": {"option"}}
+CONTAINERS = {"article", "main", "section", "div", "table"}
+MOST_PAIRS = 1 << 16              # of children that are matched with each other at once
 NO_PARAGRAPH = BLOCK - {"br", "body", "html"}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
@@ -67,7 +75,7 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=/]|$)|display\s*:\s*none|aria-hidden
 @dataclass
 class Node:
     tag: str                                      # "" for a text
-    name: str = ""                                # tag with class, for matching
+    name: str = ""                                # tag with class and id, for matching
     apart: bool = False
     text: str = ""
     children: list["Node"] = field(default_factory=list)
@@ -78,17 +86,19 @@ def _is_apart(tag: str, attributes: str) -> tuple[bool, str]:
         return True, tag
     if not attributes or attributes.isspace():
         return False, tag
-    name, apart = tag, bool(_HIDDEN.search(attributes))
+    classes, own, apart = "", "", bool(_HIDDEN.search(attributes))
     for m in _ATTRIBUTE.finditer(attributes):
         kind, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if kind == "class":
-            name = f"{tag}.{'.'.join(sorted(value.split()))}"
+            classes = f".{'.'.join(sorted(value.split()))}"
+        if kind == "id":                           # numbers tell pages apart, not places
+            own = f"#{re.sub('[0-9]+', '0', value.strip())}"
         if kind == "role":
             apart |= value.strip() in APART_ROLES
         elif tag not in ("article", "main", "body", "html"):
             apart |= any(APART_NAMES.match(x) for word in value.split()
                          for x in (word, *re.split(r"[-_]+", word)))
-    return apart, name
+    return apart, tag + classes + own
 
 
 def parse(page: str | None) -> Node:
@@ -148,34 +158,39 @@ def parse(page: str | None) -> Node:
     return root
 
 
-def blocks(node: Node, place: str = "", whole: bool = False) -> list[tuple[str, str]]:
-    """(place, text) of the blocks of a tree in page order; elements set apart are left out unless ``whole``."""
-    out: list[tuple[str, str]] = []
-    line: list[str] = []
-    line_place = place
+def key_of(place: str, text: str) -> int:
+    """Number of a text at a place."""
+    return int.from_bytes(blake2b(f"{place}\t{text}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def lines_of(node: Node, skip: Set[int] = frozenset(), whole: bool = False) -> list[list[tuple[str, str]]]:
+    """Lines of a tree in page order, each the (place, text) of its text nodes.
+
+    Elements set apart are left out unless ``whole``, and so are articles whose
+    place ``skip`` holds.
+    """
+    out: list[list[tuple[str, str]]] = []
+    line: list[tuple[str, str]] = []
 
     def flush() -> None:
-        words = " ".join("".join(line).split())
-        if words:
-            out.append((line_place, words))
+        if any(t.strip() for _, t in line):
+            out.append(line.copy())
         line.clear()
 
-    work: list = [(node, place, False)]
+    work: list = [(node, "", False)]
     while work:
         item, where, leave = work.pop()
         if leave:
             flush()
             continue
         if not item.tag:
-            if not line:
-                line_place = where
-            line.append(item.text)
+            line.append((where, item.text))
             continue
-        if item.apart and not whole:
+        here = f"{where}/{item.name}"
+        if (item.apart and not whole) or (skip and item.tag == "article" and key_of(here, "") in skip):
             if item.tag in BLOCK:
                 flush()
             continue
-        here = f"{where}/{item.name}"
         if item.tag in BLOCK:
             flush()
             work.append((item, where, True))
@@ -184,6 +199,10 @@ def blocks(node: Node, place: str = "", whole: bool = False) -> list[tuple[str,
     return out
 
 
+def joined(line: list[tuple[str, str]]) -> str:
+    return " ".join("".join(t for _, t in line).split())
+
+
 def find(node: Node, tags: tuple[str, ...]) -> list[Node]:
     """Outermost elements with one of the tags, in page order, not inside elements set apart."""
     out, work = [], [node]
@@ -196,42 +215,49 @@ def find(node: Node, tags: tuple[str, ...]) -> list[Node]:
     return out
 
 
-def _flat(node: Node, limit: int) -> Node:
-    """A copy for matching: texts as leaves, at most ``limit`` nodes in page order."""
-    count = 0
+def layout_of(node: Node) -> int:
+    """Number of a page's layout: the set of its outer containers, without those set apart and those within articles."""
+    found, work = set(), [(node, "", 0)]
+    while work:
+        item, where, depth = work.pop()
+        here = f"{where}/{item.name}"
+        if depth:
+            found.add(here)
+        if depth < 3 and item.tag not in ("article", "main"):
+            work.extend((c, here, depth + 1) for c in item.children if c.tag in CONTAINERS and not c.apart)
+    return key_of("\n".join(sorted(found)), "")
+
+
+def _flat(node: Node) -> Node:
+    """A copy of a whole tree for matching: texts as leaves.  Only what lies deeper than 200 elements is left out."""
 
-    def copy(n: Node) -> Node | None:
-        nonlocal count
-        if count >= limit or (not n.tag and not n.text.strip()) or n.tag in RAW:
+    def copy(n: Node, depth: int) -> Node | None:
+        if (not n.tag and not n.text.strip()) or n.tag in RAW:
             return None
-        count += 1
         made = Node(n.tag, n.name, n.apart, " ".join(n.text.split()))
-        if len(stack) < 60:
-            stack.append(n)
-            made.children = [c for c in map(copy, n.children) if c is not None]
-            stack.pop()
+        if depth < 200:
+            made.children = [c for x in n.children if (c := copy(x, depth + 1)) is not None]
         return made
 
-    stack: list[Node] = []
-    return copy(node) or Node("html", "html")
+    return copy(node, 0) or Node("html", "html")
 
 
-def tree_match(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
-    """Simple tree matching: size of the largest top-down, order-keeping matching, and its pairs."""
-    if a.tag != b.tag or a.tag and a.name != b.name:
-        return 0, []
-    n, m = len(a.children), len(b.children)
+def _align(xs: list[Node], ys: list[Node]) -> tuple[int, list[tuple[Node, Node]]]:
+    n, m = len(xs), len(ys)
     if not n or not m:
-        return 1, [(a, b)]
+        return 0, []
+    if n * m > MOST_PAIRS and min(n, m) > 1:       # long lists of children are aligned half by half
+        left, right = _align(xs[:n // 2], ys[:m // 2]), _align(xs[n // 2:], ys[m // 2:])
+        return left[0] + right[0], left[1] + right[1]
     score = [[0] * (m + 1) for _ in range(n + 1)]
     found: dict[tuple[int, int], tuple[int, list]] = {}
     for i in range(n):
         for j in range(m):
-            got = tree_match(a.children[i], b.children[j])
+            got = tree_match(xs[i], ys[j])
             if got[0]:
                 found[i, j] = got
             score[i + 1][j + 1] = max(score[i][j + 1], score[i + 1][j], score[i][j] + got[0])
-    pairs, i, j = [(a, b)], n, m
+    pairs, i, j = [], n, m
     while i and j:
         if score[i][j] == score[i - 1][j]:
             i -= 1
@@ -240,56 +266,68 @@ def tree_match(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
         else:
             i, j = i - 1, j - 1
             pairs += found[i, j][1]
-    return 1 + score[n][m], pairs
-
-
-def induce(pages: list[str], p: Params) -> tuple[list[str], str]:
-    """(template texts with their places, place of the main slot) of pages of one host."""
-    trees, seen = [], set()
-    for page in pages:
-        tree = _flat(parse(page), p.nodes)
-        shown = "\n".join(t for _, t in blocks(tree))
-        if shown not in seen:                      # a copy of a page tells nothing about what varies
-            seen.add(shown)
-            trees.append(tree)
+    return score[n][m], pairs
+
+
+def tree_match(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
+    """Simple tree matching: size of the largest top-down, order-keeping matching, and its pairs."""
+    if a.tag != b.tag or a.tag and a.name != b.name:
+        return 0, []
+    size, pairs = _align(a.children, b.children)
+    return 1 + size, [(a, b), *pairs]
+
+
+def induce(pages: list[str], p: Params) -> set[int]:
+    """Numbers of the template texts, and of the places of teasers, of different pages of one layout."""
+    trees = [_flat(parse(page)) for page in pages]
     if len(trees) < p.least_pages:
-        return [], ""
+        return set()
     first, constant, slots = trees[0], Counter(), Counter()
     places: dict[int, str] = {}
-
-    def name(node: Node, place: str) -> None:
-        places[id(node)] = place
-        for c in node.children:
-            name(c, f"{place}/{node.name}")
-
-    name(first, "")
+    articles: Counter = Counter()                  # how many a place has on the first page
+    inside: dict[int, str] = {}                    # the innermost article around a text
+    work = [(first, "", "")]
+    while work:
+        node, place, article = work.pop()
+        places[id(node)], inside[id(node)] = place, article
+        here = f"{place}/{node.name}"
+        if node.tag == "article":
+            article = here
+            articles[here] += 1
+        work.extend((c, here, article) for c in node.children)
     for other in trees[1:]:
+        same = set()
         for a, b in tree_match(first, other)[1]:
             if not a.tag:
                 if a.text == b.text:
-                    constant[f"{places[id(a)]}\t{a.text}"] += 1
-                else:
-                    slots[places[id(a)]] += min(len(a.text), len(b.text))
-    need = max(p.least_pages - 1, (len(trees) - 1) * 2 // 3)
-    inside = re.compile(r"/(article|main)\b")
-    template = sorted(k for k, n in constant.items() if n >= need and not inside.search(k.split("\t")[0]))
-    return template, max(slots, key=lambda s: (slots[s], s), default="")
-
-
-def main_text(page: str | None, template: set[str], slot: str) -> str:
-    """Text of a page's main part, a line for each block."""
+                    same.add(key_of(places[id(a)], a.text))
+                elif inside[id(a)]:
+                    slots[inside[id(a)]] += min(len(a.text), len(b.text))
+        constant.update(same)
+    need = max(p.least_pages - 1, -(-2 * (len(trees) - 1) // 3))
+    template = {k for k, n in constant.items() if n >= need}
+    held = {place: slots[place] / n for place, n in articles.items()}
+    # Teasers: articles whose slots hold less than half as much as the main one's; those around the main one stay.
+    main = max(held, key=lambda x: (held[x], x), default="")
+    return template | {key_of(x, "") for x in held if 2 * held[x] < held[main] and not main.startswith(f"{x}/")}
+
+
+def main_text(page: str | None, template: set[int] | None) -> str:
+    """Text of a page's main part, a line for each block; without a wrapper (None) by the elements alone."""
     tree = parse(page)
-    parts = find(tree, ("article",)) or find(tree, ("main",))
-    if parts:
-        lines = [t for part in parts for _, t in blocks(part, whole=False)]
-        if lines:
-            return "\n".join(lines)
-    kept = [(place, t) for place, t in blocks(tree) if f"{place}\t{t}" not in template]
-    # The element that holds the main slot: its place without the last two steps, as a paragraph's siblings hold text too.
-    around = slot.rsplit("/", 1)[0]
-    if slot and around.count("/") > 1 and any(place.startswith(around) for place, _ in kept):
-        kept = [(place, t) for place, t in kept if place.startswith(around)]
-    return "\n".join(t for _, t in kept)
+    if template is None:
+        for part in find(tree, ("article",)), find(tree, ("main",)), [tree]:
+            lines = [joined(line) for x in part for line in lines_of(x)]
+            if lines:
+                return "\n".join(lines)
+        return ""
+    lines = [(joined(line), all(key_of(place, " ".join(t.split())) in template for place, t in line if t.strip()))
+             for line in lines_of(tree, template)]
+    kept, standing = [t for t, stands in lines if not stands], [t for t, stands in lines if stands]
+    # A page nearly all of whose text recurs is a near copy of others, no template: it stays whole.
+    if len(standing) > 3 and sum(map(len, standing)) > 3 * sum(map(len, kept)):
+        kept = [t for t, _ in lines]
+    return "\n".join(kept)
 
 
 def host_of(url: str) -> Column:
@@ -307,40 +345,71 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """
     columns = [c for c in pages.columns if c != out]
     hosted = pages.select(*columns).withColumn("_host", host_of(url_col))
-    sizes = hosted.groupBy("_host").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= p.least_pages)
-    draw = F.pmod(F.xxhash64(F.lit(p.seed), F.col(id_col), F.col(url_col)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    # The sample is chosen on host and draw alone, a host's size being held once for each salt, so neither pages nor a large host
-    # come to one task; only chosen pages are moved.
-    drawn = hosted.select("_host", draw.alias("draw"))
-    sizes = sizes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(p.salts - 1))))
-    salt = F.pmod(F.xxhash64(F.lit(p.seed + 1), "draw"), F.lit(p.salts)).cast("int")
-    chosen = stored(drawn.withColumn("_salt", salt).join(sizes, ["_host", "_salt"])
-                    .where(F.col("draw") * F.col("_n") < 1.5 * p.pages_per_host).select("_host", "draw").distinct(), "chosen")
-    key = ["_host", "draw"]
-    sample = likely_among(hosted.select("_host", draw.alias("draw"), F.col(html_col).alias("html")).where("html is not null"),
-                          key, chosen, key).join(chosen, key, "left_semi")
+    source = hosted.where(F.col(html_col).isNotNull()).select("_host", F.xxhash64(html_col).alias("raw"), F.col(html_col).alias("html"))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for page in batch.column(2):
+                tree = parse(page.as_py())
+                digest = key_of("", "\n".join(joined(line) for line in lines_of(tree)))
+                nodes = sorted({(key_of(place, ""), key_of(place, " ".join(t.split())))
+                                for line in lines_of(tree) for place, t in line if t.strip()})
+                rows.append((digest, layout_of(tree), [x for x, _ in nodes], [k for _, k in nodes]))
+            digest, layout, places, keys = zip(*rows) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(digest, pa.int64()), pa.array(layout, pa.int64()),
+                 pa.array(places, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))],
+                names=["_host", "raw", "digest", "layout", "places", "keys"])
+
+    # One row for each different page; a page with more than one copy counts once.
+    seen = stored(source.mapInArrow(scan, "_host string, raw long, digest long, layout long, places array<long>, keys array<long>")
+                  .groupBy("_host", "digest").agg(F.min(F.struct("raw", "layout", "places", "keys")).alias("p"))
+                  .select("_host", "p.*"), "seen")
+    node = seen.select("_host", F.explode(F.arrays_zip("places", "keys")).alias("k")).select(
+        "_host", F.col("k.places").alias("place"), F.col("k.keys").alias("key"))
+    stands = node.groupBy("_host", "place", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= p.least_pages)
+    having = (seen.select("_host", F.explode(F.array_distinct("places")).alias("place")).groupBy("_host", "place")
+              .agg(F.count(F.lit(1)).alias("of")).where(F.col("of") >= p.least_pages))
+    counted = stands.join(having, ["_host", "place"]).where(3 * F.col("n") >= 2 * F.col("of")).select("_host", "key")
+
+    # A layout's sample is chosen on narrow rows, the layout's size being held once for each salt, so neither pages nor a large
+    # host come to one task; only chosen pages are moved.
+    group = ["_host", "layout"]
+    sizes = seen.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    differing = sizes.groupBy("_host").agg(F.sum("_n").alias("_n")).where(F.col("_n") >= p.least_pages).select("_host", F.lit(0).cast("long").alias("key"))
+    sizes = sizes.where(F.col("_n") >= p.least_pages).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(p.salts - 1))))
+    draw = F.pmod(F.xxhash64(F.lit(p.seed), "raw"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    salt = F.pmod(F.xxhash64(F.lit(p.seed + 1), "raw"), F.lit(p.salts)).cast("int")
+    # About four times as many as are aligned: that fewer than least_pages are drawn of a larger layout has a chance below 1e-7.
+    chosen = stored(seen.select(*group, "raw", draw.alias("draw"), salt.alias("_salt")).join(sizes, [*group, "_salt"])
+                    .where(F.col("draw") * F.col("_n") < 4 * p.pages_per_layout).select(*group, "raw", "draw"), "chosen")
+    key = ["_host", "raw"]
+    sample = (likely_among(source, key, chosen, key).join(chosen, key)
+              .groupBy(*group, "raw", "draw").agg(F.min("html").alias("html")))
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-        chosen = pdf.sort_values(["draw", "html"])["html"].tolist()[:2 * p.pages_per_host]
-        template, slot = induce(chosen, p)
-        return pd.DataFrame({"_host": [pdf["_host"].iloc[0]], "_template": [template], "_slot": [slot]})
-
-    wrappers = stored(sample.groupBy("_host").applyInPandas(learn, "_host string, _template array<string>, _slot string")
-                      .where("size(_template) > 0 or _slot <> ''"), "wrappers")
-    joined = hosted.join(wrappers, "_host", "left").select(*columns, "_host", "_template", "_slot")
-    at = joined.columns.index(html_col)
+        pages = pdf.sort_values(["draw", "raw"])["html"].tolist()[:p.pages_per_layout]
+        found = sorted(induce(pages, p))
+        return pd.DataFrame({"_host": pd.Series([pdf["_host"].iloc[0]] * len(found), dtype=object),
+                             "key": pd.Series(found, dtype="int64")})
+
+    aligned = sample.groupBy(*group).applyInPandas(learn, "_host string, key long")
+    wrappers = stored(counted.union(aligned).union(differing).groupBy("_host").agg(F.collect_set("key").alias("_template")), "wrappers")
+    with_wrapper = hosted.join(wrappers, "_host", "left").select(*columns, "_host", "_template")
+    at = with_wrapper.columns.index(html_col)
     schema = pages.select(*columns).schema.add(out, "string")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        template, known = set(), None
+        template, known = None, None
         for batch in batches:
             texts = []
             n = batch.num_columns
-            for page, host, texts_, slot in zip(batch.column(at), batch.column(n - 3), batch.column(n - 2), batch.column(n - 1)):
+            for page, host, keys in zip(batch.column(at), batch.column(n - 2), batch.column(n - 1)):
                 if known != host.as_py():
-                    known, template = host.as_py(), set(texts_.as_py() or ())
-                texts.append(main_text(page.as_py(), template, slot.as_py() or ""))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n - 3], pa.array(texts, pa.string())],
+                    known, template = host.as_py(), set(keys.as_py()) if keys.is_valid else None
+                texts.append(main_text(page.as_py(), template))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n - 2], pa.array(texts, pa.string())],
                                              names=[f.name for f in schema])
 
-    return joined.mapInArrow(read, schema)
+    return with_wrapper.mapInArrow(read, schema)

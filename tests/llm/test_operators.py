@@ -293,6 +293,23 @@ def test_pages(spark):
     assert got[50] == got[51] == "" and got[52] == "just words <"
 
 
+def read_pages(spark, rows):
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return {r["page_id"]: r["text"] for r in html_wrapper.extract(df).collect()}
+
+
+def made_words(*key, n=12):
+    return words(random.Random(str(key)), n, 5000)
+
+
+def test_wrapper_decides_inside_articles(spark):
+    page = ("<body><article class=post><h1>{h}</h1><p>{t}</p><p class=x>Tell your friends</p><p>Posted by <a>Desk</a></p></article>"
+            "<article class=card><p>{c}</p></article><article class=card><p>{d}</p></article></body>")
+    made = [{k: made_words(i, k, n=n) for k, n in (("h", 5), ("t", 60), ("c", 6), ("d", 6))} for i in range(8)]
+    got = read_pages(spark, [(i, f"http://a.example/{i}", page.format(**m)) for i, m in enumerate(made)])
+    assert got == {i: f"{m['h']}\n{m['t']}" for i, m in enumerate(made)}
+
+
 def test_tree_matching_counts_common_nodes():
     a = html_wrapper.parse("<div><p>x</p><p>y</p><ul></ul></div>")
     b = html_wrapper.parse("<div><p>x</p><ul></ul></div>")
