@@ -310,6 +310,25 @@ def test_wrapper_decides_inside_articles(spark):
     assert got == {i: f"{m['h']}\n{m['t']}" for i, m in enumerate(made)}
 
 
+def test_wrapper_counts_all_pages_and_layouts(spark):
+    one, two = "<div class=a><p>{t}</p><p>Standing one</p></div>", "<div class=b><p>{t}</p><p>Standing two</p></div>"
+    rows = [(i, f"http://l.example/{i}", (one, two)[i % 5 == 0].format(t=made_words(i))) for i in range(30)]
+    # A host mostly made of copies, and template text behind 900 nodes.
+    rows += [(100 + i, f"http://c.example/{i}", one.format(t="copied text")) for i in range(200)]
+    rows += [(400 + i, f"http://c.example/x{i}", one.format(t=made_words("c", i))) for i in range(4)]
+    rows += [(500 + i, f"http://n.example/{i}", "".join(f"<p>{made_words(i, j, n=3)}</p>" for j in range(450))
+              + "<div><p>At the very end</p></div>") for i in range(4)]
+    # Two layouts that tell their standing text's place by the containers around alone.
+    rows += [(600 + i, f"http://m.example/{i}", f"<p>{made_words('m', i)}</p><p>Notice {'AB'[i % 2]}</p><div class={'ab'[i % 2]}></div>")
+             for i in range(12)]
+    got = read_pages(spark, rows)
+    assert all(got[i] == made_words(i) for i in range(30))
+    assert all(got[100 + i] == "copied text" for i in range(200))
+    assert all(got[400 + i] == made_words("c", i) for i in range(4))
+    assert all(got[500 + i].split("\n") == [made_words(i, j, n=3) for j in range(450)] for i in range(4))
+    assert all(got[600 + i] == made_words("m", i) for i in range(12))
+
+
 def test_tree_matching_counts_common_nodes():
     a = html_wrapper.parse("<div><p>x</p><p>y</p><ul></ul></div>")
     b = html_wrapper.parse("<div><p>x</p><ul></ul></div>")
