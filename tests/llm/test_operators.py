@@ -329,6 +329,21 @@ def test_wrapper_counts_all_pages_and_layouts(spark):
     assert all(got[600 + i] == made_words("m", i) for i in range(12))
 
 
+def test_wrapper_keeps_every_varying_slot(spark):
+    page = ("<body><div class=top><h1>{h}</h1></div><div class=s><p>{t}</p></div><div class=u><ul><li>{a}<li>{b}</ul></div>"
+            "<div>Copyright <a href=/t>Terms</a> and <a href=/p>Privacy</a></div></body>")
+    made = [{k: made_words(i, k, n=n) for k, n in (("h", 4), ("t", 9), ("a", 30), ("b", 30))} for i in range(6)]
+    rows = [(i, f"http://s.example/{i}", page.format(**m)) for i, m in enumerate(made)]
+    # Divs told apart by id: the place of what stands in one is not that of the other.
+    low = [("<div id=content>{}</div><div id=low>Read on</div>" if i < 6 else "<div id=content>Read on</div><div id=low>{}</div>").format(
+        made_words("i", i)) for i in range(8)]
+    got = read_pages(spark, rows + [(100 + i, f"http://i.example/{i}", page) for i, page in enumerate(low)])
+    for i, m in enumerate(made):
+        assert got[i] == "\n".join(m[k] for k in "htab")
+    assert all(got[100 + i] == made_words("i", i) for i in range(6))
+    assert got[106] == "Read on\n" + made_words("i", 6)
+
+
 def test_tree_matching_counts_common_nodes():
     a = html_wrapper.parse("<div><p>x</p><p>y</p><ul></ul></div>")
     b = html_wrapper.parse("<div><p>x</p><ul></ul></div>")
