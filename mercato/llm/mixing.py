@@ -2,8 +2,11 @@
 
 Every source's documents are put in a fixed random order and cut into blocks.
 A source's target is so many whole passes over it and a rest; the rest is a
-prefix of the random order, topped up with the largest documents that still
-fit.  The blocks so taken are a source's quota.  A binary tree over the output
+prefix of the random order, then a prefix of those that still fit what is left,
+and so on until no document fits.  If that misses the rest by more than a
+hundredth, all documents small enough are taken already; the smallest one left
+is then set and the others are dealt anew around it, as long as that halves the
+gap.  The blocks so taken are a source's quota.  A binary tree over the output
 shards splits all quotas: at each node the left shards' part is one draw from
 the multivariate hypergeometric distribution, so every shard gets the number of
 blocks due to it, and its mix of sources is that of drawing blocks without
@@ -15,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 from math import gcd
 
 import numpy as np
@@ -31,7 +35,7 @@ class Params:
     repeats: float = 2.0                     # a source's target is this many times its size at most
     shards: int = 16
     block_rows: int = 64
-    top_ups: int = 4
+    miss: float = 0.01                       # of a rest; a larger gap is closed by dealing around a document that was left
     seed: int = 73
     #: The driver holds one row per source; more distinct sources than this are refused with an error.
     max_sources: int = 100_000
@@ -82,6 +86,10 @@ def split_quotas(quotas: Sequence[int], shards: int, seed: int) -> np.ndarray:
     return out
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
 @dataclass(frozen=True)
 class Mix:
     #: One row per document: key (source_no, slot), id, size, source_size, target, copies.
@@ -121,34 +129,80 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
                              ["_h", "id", "size"], weight="_fits", name="permuted")
                     .withColumn("extra", (F.col("_fits") > 0) & (F.col("before") + F.col("size") <= F.col("rest"))), "placed")
 
-    # Top up each source with the largest document that fits what is left of its rest.
-    gap = dict(enumerate(rest))
+    def rooms(of: dict[int, float]) -> DataFrame:
+        return F.broadcast(spark.createDataFrame([(i, float(g)) for i, g in of.items()], "source_no int, room double"))
+
+    def fill(free: DataFrame, gap: dict[int, float], no: dict[int, int], attempt: int) -> list[DataFrame]:
+        """Prefixes of what fits, taken until nothing does; lowers ``gap`` and raises ``no``, the number of a source's next one."""
+        taken, least = [], {i: 0 for i in gap}
+        while least := {i: s for i, s in least.items() if s <= gap[i]}:
+            free = free.join(rooms({i: gap[i] for i in least}), "source_no").where("size <= room").select("source_no", "slot", "size")
+            first = spark.createDataFrame([(i, gap[i], no[i]) for i in least], "source_no int, room double, first long")
+            laid = stored(numbered(free, ["source_no"], ["slot"], weight="size", number="_n", name="free")
+                          .join(F.broadcast(first), "source_no").withColumn("fits", F.col("before") + F.col("size") <= F.col("room")), "fill")
+            got = laid.groupBy("source_no").agg(
+                F.sum(F.when(F.col("fits"), F.col("size"))).alias("size"), F.count(F.when(F.col("fits"), 1)).alias("k"),
+                F.min(F.when(~F.col("fits"), F.col("size"))).alias("least")).collect()
+            least = {r["source_no"]: r["least"] for r in got if r["least"] is not None}
+            for r in got:
+                gap[r["source_no"]] -= r["size"]
+                no[r["source_no"]] += r["k"]
+            taken.append(laid.where("fits").select("source_no", "slot", (F.col("first") + F.col("_n")).alias("no"),
+                                                   F.lit(attempt).alias("attempt")))
+            free = laid.where("not fits").drop("room")
+        return taken
+
     counts = placed.groupBy("source_no").agg(
         F.sum(F.when(F.col("extra"), F.col("size"))).alias("size"), F.count(F.lit(1)).alias("n"),
-        F.count(F.when(F.col("extra"), 1)).alias("m"))
-    n, m = {}, {}
+        F.max(F.when(F.col("extra"), F.col("slot"))).alias("last"),
+        F.min(F.when(~F.col("extra") & (F.col("size") > 0), F.col("size"))).alias("least"))
+    gap, n, m, least = dict(enumerate(rest)), {}, {}, {}
     for r in counts.collect():
-        gap[r["source_no"]] -= r["size"] or 0
-        n[r["source_no"]], m[r["source_no"]] = r["n"], r["m"]
-    added: list[tuple[int, int]] = []
-    for _ in range(p.top_ups):
-        room = spark.createDataFrame([(i, float(g)) for i, g in gap.items()], "source_no int, room double")
-        done = spark.createDataFrame(added, "source_no int, slot long")
-        free = (placed.where("not extra and size > 0").join(F.broadcast(room), "source_no").where("size <= room")
-                .join(F.broadcast(done), ["source_no", "slot"], "left_anti"))
-        best = free.groupBy("source_no").agg(F.max(F.struct("size", -F.col("slot"))).alias("b")).collect()
-        for r in best:
-            gap[r["source_no"]] -= r["b"][0]
-            added.append((r["source_no"], -r["b"][1]))
-        if not best:
+        i = r["source_no"]
+        gap[i] -= r["size"] or 0
+        n[i], m[i], least[i] = r["n"], 0 if r["last"] is None else r["last"] + 1, r["least"]
+    some = {i: gap[i] for i, s in least.items() if s is not None and s <= gap[i]}
+    taken = [placed.where("extra").select("source_no", "slot", F.col("slot").alias("no"), F.lit(0).alias("attempt"))]
+    taken += fill(placed.where("not extra and size > 0"), some, m, 0)
+    gap.update(some)
+
+    # Deal sources that miss their rest anew, around the smallest document left; each attempt is another set of taken rows.
+    best = {i: 0 for i in gap}
+    room, attempt = dict(enumerate(rest)), 0
+    forced: list[tuple[int, int]] = []
+    open_ = {i for i in gap if gap[i] > p.miss * rest[i]}
+    while open_:
+        attempt += 1
+        # Of these sources, documents that were not taken in the best attempt and fit beside those set.
+        mine = placed.where("size > 0").join(rooms({i: room[i] for i in open_}), "source_no").where("size <= room").drop("room")
+        chosen = spark.createDataFrame([(i, best[i]) for i in open_], "source_no int, attempt int")
+        left = mine.join(_union(taken).join(F.broadcast(chosen), ["source_no", "attempt"]), ["source_no", "slot"], "left_anti")
+        new = {r["source_no"]: r["b"] for r in left.groupBy("source_no").agg(F.min(F.struct("size", "slot")).alias("b")).collect()}
+        if not new:
             break
-    done = spark.createDataFrame(added, "source_no int, slot long").withColumn("_added", F.lit(True))
-    plan = stored(placed.join(F.broadcast(done), ["source_no", "slot"], "left")
-                  .withColumn("copies", F.when(F.col("size") > 0, F.col("whole")
-                                               + (F.col("extra") | F.coalesce("_added", F.lit(False))).cast("int")).otherwise(0))
-                  .select("source_no", "slot", "id", "size", "source_size", "target", "copies", "whole", "extra"), "plan")
-
-    # Blocks of a source: those of each whole pass, then those of the rest (documents added sit in its last block).
+        held = [(i, slot) for i, slot in forced if i in new] + [(i, b[1]) for i, b in new.items()]
+        set_ = spark.createDataFrame(held, "source_no int, slot long")
+        now, no = {i: room[i] - b[0] for i, b in new.items()}, {i: 0 for i in new}
+        order = {}
+        for i, slot in held:
+            order[i, slot], no[i] = no[i], no[i] + 1
+        made = fill(mine.join(F.broadcast(set_), ["source_no", "slot"], "left_anti"), short := dict(now), no, attempt)
+        taken += [spark.createDataFrame([(i, slot, k, attempt) for (i, slot), k in order.items()],
+                                        "source_no int, slot long, no long, attempt int"), *made]
+        open_ = set()
+        for i, g in short.items():
+            if g < gap[i]:
+                if 2 * g <= gap[i] and g > p.miss * rest[i]:
+                    open_.add(i)
+                gap[i], best[i], m[i], room[i] = g, attempt, no[i], now[i]
+                forced.append((i, new[i][1]))
+    chosen = spark.createDataFrame(list(best.items()), "source_no int, attempt int")
+    taken = _union(taken).join(F.broadcast(chosen), ["source_no", "attempt"]).select("source_no", "slot", "no")
+    plan = stored(placed.drop("extra").join(taken, ["source_no", "slot"], "left")
+                  .withColumn("copies", F.when(F.col("size") > 0, F.col("whole") + F.col("no").isNotNull().cast("int")).otherwise(0))
+                  .select("source_no", "slot", "id", "size", "source_size", "target", "copies", "whole", "no"), "plan")
+
+    # Blocks of a source: those of each whole pass, then those of the rest, by the number at which a document was taken.
     def blocks(rows_: int) -> int:
         return -(-rows_ // p.block_rows)
 
@@ -156,15 +210,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     shares = split_quotas(quota, p.shards, p.seed)
     step = [next(a for a in range(max(1, int(q * 0.618)), 2 * q + 2) if gcd(a, q) == 1) for q in quota]
     tree = spark.createDataFrame(
-        [(i, blocks(n.get(i, 0)), quota[i], step[i], max(1, blocks(m.get(i, 0))), np.cumsum(shares[i]).tolist())
+        [(i, blocks(n.get(i, 0)), quota[i], step[i], np.cumsum(shares[i]).tolist())
          for i in range(len(rows))],
-        "source_no int, pass_blocks long, quota long, step long, rest_blocks long, ends array<long>")
+        "source_no int, pass_blocks long, quota long, step long, ends array<long>")
     copy = plan.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    in_pass = F.floor(F.col("slot") / p.block_rows)
-    block = F.col("copy") * F.col("pass_blocks") + F.when(
-        F.col("copy") < F.col("whole"), in_pass).otherwise(F.least(in_pass, F.col("rest_blocks") - 1))
+    in_pass = F.floor(F.when(F.col("copy") < F.col("whole"), F.col("slot")).otherwise(F.col("no")) / p.block_rows)
+    block = F.col("copy") * F.col("pass_blocks") + in_pass
     draws = (copy.join(F.broadcast(tree), "source_no").withColumn("_at", (block * F.col("step")) % F.col("quota"))
              .withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("_at"))))
              .select("source_no", "slot", "id", "size", "copy", "shard",
                      F.xxhash64(F.lit(p.seed + 1), "source_no", "slot", "copy").alias("local_order")))
-    return Mix(plan.drop("whole", "extra"), draws)
+    return Mix(plan.drop("whole", "no"), draws)

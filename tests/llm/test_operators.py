@@ -253,6 +253,29 @@ def test_mix_reaches_targets(spark):
     assert key(again.draws.collect()) == key(draws)
 
 
+def test_mix_fills_the_rest_around_long_texts(spark):
+    # Sources of one long text and many short ones: the rest is met in every order, and spread over the shards.
+    rows = [(1000 * i + j, "w " * (6000 if j == 0 else 10), f"s{i}") for i in range(6) for j in range(601)]
+    mix = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"),
+                     p=mixing.Params(weights=(1,), total=1.75, block_rows=4, shards=5))
+    plan, draws = mix.plan.collect(), mix.draws.collect()
+    for i in range(6):
+        assert abs(sum(r["copies"] * r["size"] for r in plan if r["source_no"] == i) - 21_000) < 10
+    assert len({(r["source_no"], r["slot"], r["copy"]) for r in draws}) == len(draws) == sum(r["copies"] for r in plan)
+    shard = np.bincount([r["shard"] for r in draws], minlength=5)
+    assert shard.max() - shard.min() < 60
+
+
+def test_mix_with_the_long_text_leaves_nothing_that_fits(spark):
+    plan = mixing.mix(frame(spark, documents()), p=mixing.Params(block_rows=4, shards=5)).plan.collect()
+    assert max(r["size"] for r in plan) > 500
+    for no in {r["source_no"] for r in plan}:
+        rs = [r for r in plan if r["source_no"] == no]
+        gap = rs[0]["target"] - sum(r["copies"] * r["size"] for r in rs)
+        whole = int(rs[0]["target"] // rs[0]["source_size"])
+        assert gap > -1e-6 and all(r["size"] > gap for r in rs if r["size"] and r["copies"] == whole)
+
+
 def test_splitting_tree_hands_out_every_block():
     quotas = [50, 0, 1000, 7]
     split = mixing.split_quotas(quotas, 7, 1)
