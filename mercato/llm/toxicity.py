@@ -7,9 +7,10 @@ one of the entries it holds marks it as toxic, each by its precision.
 
 Disguised words are restored before the lookup.  A suspicious stretch (digits
 or signs among letters, single letters set apart, a letter three times in a
-row) is a lattice: a sign stands for a letter or is a mere separator, a run of
-a letter stands for one or two.  Viterbi decoding under a trigram model of
-characters, counted over the whole corpus and the lexicon, picks the reading.
+row) is a lattice: a sign stands for a letter or is a mere separator, a separator is dropped or
+keeps a space, a run of a letter stands for one or two.  Viterbi decoding under
+a trigram model of characters, counted over the whole corpus and the lexicon,
+picks the reading; stretches of any length are decoded.
 """
 
 from __future__ import annotations
@@ -48,7 +49,8 @@ _SIGN = re.compile("[" + re.escape("".join(SIGNS) + "*_~") + "]")
 _APART = re.compile(r"(?<!\S)\S(?:[ .\-_*~/]\S){2,}(?!\S)")
 _RUN = re.compile(r"([^\W\d_])\1\1")
 _WORD = re.compile(r"[^\W\d_]+")
-_LONGEST = 48
+_LONG_RUN = re.compile(r"(.)\1{4,}", re.S)
+_BEAM = 256                       # places after which the best reading so far is kept, if only one has not been left before
 
 
 def stretches(text: str) -> list[str]:
@@ -63,10 +65,10 @@ def stretches(text: str) -> list[str]:
             hi = min((i for c in " \n\t" if (i := text.find(c, m.end())) >= 0), default=len(text))
             end = hi
             word = text[lo:hi].strip(".,;:\"")
-            # A stretch without a letter, or longer than any disguised word, hides nothing.
-            if 3 <= len(word) <= _LONGEST and _WORD.search(word):
+            # A stretch without a letter hides nothing.
+            if 3 <= len(word) and _WORD.search(word):
                 out.append(word)
-    out += [m.group() for m in _APART.finditer(text) if len(m.group()) <= 2 * _LONGEST]
+    out += [m.group() for m in _APART.finditer(text)]
     return out
 
 
@@ -75,7 +77,7 @@ def stretches(text: str) -> list[str]:
 _LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(chr(i) for i in range(0xDF, 0x100) if chr(i).isalpha())
 _OTHER = len(_LETTERS) + 1
 _SIZE = _OTHER + 1
-_CODE = {c: i + 1 for i, c in enumerate(_LETTERS)}
+_CODE = {c: i + 1 for i, c in enumerate(_LETTERS)} | {" ": 0}
 
 
 def _code_table() -> np.ndarray:
@@ -143,7 +145,7 @@ class Model:
 
 
 # A lattice has places between characters; an edge carries a letter (or none) from one place to a later one.
-_DROP, _SUBSTITUTE, _SHORTEN = 0.2, 0.7, 0.5
+_DROP, _SUBSTITUTE, _SHORTEN, _BREAK = 0.2, 0.7, 0.5, 1.0
 
 
 def lattice(stretch: str) -> list[list[tuple[int, str, float]]]:
@@ -153,11 +155,11 @@ def lattice(stretch: str) -> list[list[tuple[int, str, float]]]:
         here = []
         if c in SIGNS:
             here += [(i + 1, x, _SUBSTITUTE) for x in SIGNS[c]]
-            here.append((i + 1, "", 3.0))
+            here += [(i + 1, "", 3.0), (i + 1, " ", _BREAK)]
         elif c.isalpha():
             here.append((i + 1, c, 0.0))
         else:
-            here.append((i + 1, "", _DROP if c in SEPARATORS else 2.0))
+            here += [(i + 1, "", _DROP if c in SEPARATORS else 2.0), (i + 1, " ", _DROP)]
         options = SIGNS.get(c, c if c.isalpha() else "")
         run = 1
         while i + run < len(stretch) and stretch[i + run] == c:
@@ -173,12 +175,28 @@ def lattice(stretch: str) -> list[list[tuple[int, str, float]]]:
 
 def decode(stretch: str, cost: np.ndarray) -> str:
     """The reading with the least cost under the trigram model."""
+    stretch = _LONG_RUN.sub(r"\1\1\1\1", stretch)   # longer runs have no other readings
     edges = lattice(stretch)
     best: list[dict[tuple[int, int], tuple[float, str]]] = [{} for _ in range(len(stretch) + 1)]
     best[0][0, 0] = (0.0, "")
+    out: list[str] = []
+    since = 0
     for i, here in enumerate(edges):
+        ahead = any(best[i + 1:i + 5])
+        if i - since >= _BEAM and best[i]:
+            state = min(best[i], key=lambda s: best[i][s])
+            best[i] = {state: best[i][state]}
+            for later in best[i + 1:i + 5]:
+                later.clear()
+            ahead = False
+        if len(best[i]) == 1 and not ahead:        # all readings agree up to here
+            (state, (so_far, read)), = best[i].items()
+            out.append(read)
+            best[i], since = {state: (so_far, "")}, i
         for (a, b), (so_far, read) in best[i].items():
             for to, letters, price in here:
+                if letters == " " and not b:       # a break already
+                    letters = ""
                 x, y, total = a, b, so_far + price
                 for c in letters:
                     code = _CODE.get(c, _OTHER)
@@ -187,8 +205,9 @@ def decode(stretch: str, cost: np.ndarray) -> str:
                 old = best[to].get((x, y))
                 if old is None or total < old[0]:
                     best[to][x, y] = (total, read + letters)
-    ends = [(total + cost[a, b, 0], read) for (a, b), (total, read) in best[-1].items()]
-    return min(ends)[1] if ends else ""
+        best[i] = {}
+    ends = [(total + (cost[a, b, 0] if b else 0.0), read) for (a, b), (total, read) in best[-1].items()]
+    return "".join(out) + min(ends)[1] if ends else ""
 
 
 # --------------------------------------------------------------------------- lexicon

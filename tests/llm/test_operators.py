@@ -297,6 +297,23 @@ def test_toxic_words_are_found_and_restored(spark):
     assert all(got[i] >= 0.7 for i in (0, 1, 2, 6, 7)) and all(got[i] < 0.1 for i in (3, 4, 5)), got
 
 
+def test_long_and_spelt_out_stretches_are_restored(spark):
+    rng = random.Random(12)
+    plain = "you are not a fool and i say it to them as they ask what we need for our house near that old river".split()
+    calm = [" ".join(rng.choice(plain) for _ in range(30)) for _ in range(300)]
+    bad = [f"{c} you are {rng.choice(['a stupid', 'an idiot', 'a moron'])} {c}" for c in calm[:150]]
+    rows = list(enumerate(calm + bad))
+    labels = spark.createDataFrame([(i, int(i >= 300)) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.fit(frame(spark, rows), labels)
+    glued = ",".join(plain)
+    hidden = ["you are a s t u p i d person", "i s t u p i d one", " ".join("youareanidiotandwhatifitooaskthemwhatyouaskthemforourhousenearthatriver"),
+              f"{glued},1d10t,{glued}", "what a mo" + "r" * 60 + "on", f"{glued}.{glued}.stup1d", "y o u a r e a n i d i o t " * 5]
+    clean = [" ".join("youarenotafoolandisayittothemastheyaskwhatweneed"), f"{glued},{glued}.0", "a" * 5000 + "!1" * 5000]
+    probe = list(enumerate(hidden + clean))
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(frame(spark, probe), model).collect()}
+    assert [i for i in range(len(hidden)) if got[i] < 0.7] == [] and all(got[len(hidden) + i] < 0.1 for i in range(len(clean))), got
+
+
 PAGE = """<!DOCTYPE html><html><head><title>t</title><script>var a="<p>no</p>"</script></head><body>
 <nav><a href=/x>Menu {i}</a></nav><div class="cookie-notice">We use cookies</div><div class="wrap"><div class="ad">Buy {i}</div>
 <{tag}><h1>Head {i}</h1><p>First   {i} &amp; more<br>line {i}<p>Second <b>bold</b> {i}<form>Mail me</form></{tag}>
