@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mercato.llm import decontaminate, langid, minhash, mixing, sharding
-from mercato.llm.common import shared_folder, ship_package, table
+from mercato.llm.common import shared_folder, ship_package, stored, table
 
 #: Texts without a letter, and texts unlike every language, are rejected.  Clean one-line texts score 0.1 and more.
 MIN_LANGUAGE_SCORE = 0.05
@@ -38,10 +38,23 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mix the sources to their target weights: a document appears as often as the mix takes it."""
+    """Mix the sources to their target weights: a document appears as often as the mix takes it.
+
+    Every row is a document of its own, also with a null or repeated id: rows
+    are found again by a hash of 128 bits of all columns.  Rows equal in all
+    columns are drawn one by one, and which of them a draw means is all the same.
+    """
     ship_package(spark)
-    taken = mixing.mix(docs).draws.select(F.col("id").alias("doc_id"), "copy")
-    return docs.join(taken, "doc_id").select(*docs.columns)
+    # Hashes pass over nulls, so where they stand is hashed too.
+    held = [*[F.col(c).isNull() for c in docs.columns], *docs.columns]
+    row = F.struct(F.xxhash64(F.lit(1), *held).alias("a"), F.xxhash64(F.lit(2), *held).alias("b"))
+    keyed = docs.withColumn("_row", row)
+    mix = mixing.mix(keyed, id_col="_row")
+    taken = mix.draws.select(F.col("id").alias("_row"), "copy")
+    equal = stored(mix.plan.groupBy(F.col("id").alias("_row")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_row"), "equal")
+    alone = keyed.join(equal, "_row", "left_anti")
+    once = keyed.join(equal, "_row", "left_semi").dropDuplicates(["_row"])
+    return alone.unionByName(once).join(taken, "_row").select(*docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

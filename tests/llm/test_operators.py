@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -438,3 +439,35 @@ def test_pipeline_stages_keep_columns(spark):
     mixed = corpus_pipeline.mix_sources(spark, kept, "")
     assert mixed.columns == docs.columns
     assert corpus_pipeline.shard(spark, mixed, "").count() == mixed.count()
+
+
+def test_pipeline_counts_rows_with_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    rows = [(i, words(rng, 30, 900).replace("w", "ab"), "en", "s0", 1) for i in range(40)]
+    rows += [(None, words(rng, 30, 900).replace("w", "ab"), "en", "s1", 1) for _ in range(20)]
+    rows += [(100, words(rng, 30, 900).replace("w", "ab"), "en", "s2", 1) for _ in range(20)]
+    rows += [(200, rows[0][1] + " again", "en", "s2", 1)] * 3 + [(None, words(rng, 30, 900).replace("w", "ab"), None, "en", 1)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter(corpus_pipeline.mix_sources(spark, docs, "").collect())
+    # Every row as often as the mix takes it: whole passes over its source, and one copy more at most.
+    assert set(got) <= {tuple(r) for r in rows} and sum(r[0] is None for r in got) == 21
+    plan = corpus_pipeline.mixing.mix(docs).plan.collect()
+    size = {r["source_no"]: (r["target"], r["source_size"]) for r in plan}
+    for no, source in enumerate(sorted({r[3] for r in rows})):
+        target, whole = size[no]
+        assert abs(sum(30 * n for r, n in got.items() if r[3] == source) - target) <= 60
+        for r, n in got.items():
+            if r[3] == source:
+                k = rows.count(tuple(r))
+                assert k * int(target // whole) <= n <= k * (int(target // whole) + 1)
+    told = corpus_pipeline.language_id(spark, docs, "")
+    assert told.count() == len(rows)
+    kept = corpus_pipeline.near_dedup(spark, told, "")
+    assert kept.where("doc_id is null").count() == 22 and kept.where("doc_id = 100").count() == 20
+    bench = spark.createDataFrame([], "item_id long, text string")
+    clean = corpus_pipeline.decontaminate.annotate(kept, bench, out="_m")
+    assert clean.count() == kept.count()
+    mixed = corpus_pipeline.mix_sources(spark, kept, "")
+    assert corpus_pipeline.shard(spark, mixed, "").count() == mixed.count() > 0
