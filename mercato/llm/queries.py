@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from mercato.llm import (
-    decontaminate, embedding_neardup, html_wrapper, langid, minhash, mixing, sharding, suffix_dedup, token_planes,
+    decontaminate, embedding_neardup, filter_audit, html_wrapper, langid, minhash, mixing, sharding, suffix_dedup, token_planes,
     toxicity,
 )
 from mercato.llm.common import shared_folder, table
@@ -84,6 +84,11 @@ def op10_hypergeometric_mix(spark, sf_dir) -> DataFrame:
                     F.coalesce("taken", F.lit(0)).cast("long").alias("taken")))
 
 
+def op13_failing_id_audit(spark, sf_dir) -> DataFrame:
+    """Five filters in all 120 orders, for every source."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_pigeonhole_join": op1_pigeonhole_join,
@@ -96,6 +101,9 @@ QUERIES = {
     "op7_noisy_channel_toxicity": op7_noisy_channel_toxicity,
     "op8_wrapper_induction": op8_wrapper_induction,
     "op9_hd_langid": op9_hd_langid,
+    "op13_failing_id_audit": op13_failing_id_audit,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op13_failing_id_audit": filter_audit.ORACLE,
+}
