@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from mercato.llm import (
-    decontaminate, embedding_neardup, filter_audit, html_wrapper, langid, minhash, mixing, sharding, suffix_dedup, token_planes,
-    toxicity,
+    decontaminate, embedding_neardup, filter_audit, html_wrapper, langid, minhash, mixing, onebit_search, sharding, suffix_dedup,
+    token_planes, toxicity, turn_repair,
 )
 from mercato.llm.common import shared_folder, table
 
@@ -84,6 +84,17 @@ def op10_hypergeometric_mix(spark, sf_dir) -> DataFrame:
                     F.coalesce("taken", F.lit(0)).cast("long").alias("taken")))
 
 
+def op11_rotated_onebit_search(spark, sf_dir) -> DataFrame:
+    """Five nearest vectors of every vector whose id is divisible by 50."""
+    codes = onebit_search.index(table(spark, sf_dir, "embeddings"))
+    return onebit_search.search(codes, F.col("id") % 50 == 0).select("query_id", "rank", "vec_id", "score")
+
+
+def op12_survivor_viterbi(spark, sf_dir) -> DataFrame:
+    """Every conversation damaged and repaired."""
+    return turn_repair.audit(table(spark, sf_dir, "conversations"))
+
+
 def op13_failing_id_audit(spark, sf_dir) -> DataFrame:
     """Five filters in all 120 orders, for every source."""
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -101,9 +112,12 @@ QUERIES = {
     "op7_noisy_channel_toxicity": op7_noisy_channel_toxicity,
     "op8_wrapper_induction": op8_wrapper_induction,
     "op9_hd_langid": op9_hd_langid,
+    "op11_rotated_onebit_search": op11_rotated_onebit_search,
+    "op12_survivor_viterbi": op12_survivor_viterbi,
     "op13_failing_id_audit": op13_failing_id_audit,
 }
 
 ORACLES: dict[str, str] = {
+    "op11_rotated_onebit_search": onebit_search.ORACLE,
     "op13_failing_id_audit": filter_audit.ORACLE,
 }
