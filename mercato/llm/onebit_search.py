@@ -13,16 +13,21 @@ precision, unless estimate + bound stays below the exact cosine of the
 Every code is estimated for every query, so no cell that was not probed can hold
 a neighbour.  What the bound lets slip is a chance of 1e-3 a neighbour at three
 deviations, and far less where a code has more bits than the vector components:
-laid into 256 dimensions, 64 components err by 0.6 of the deviation above.  Vectors and queries are cut into blocks of bounded bytes by a hash
-of their row number; each pair of a vector block and a query block is one task's
-group, whatever the vectors are, so copies make no hot one.  A block sends back
-``k`` rows a query, and the best of all blocks are taken at the end.
+laid into 256 dimensions, 64 components err by 0.6 of the deviation above.
+
+Vectors and queries are cut into blocks of bounded bytes by a hash of their row
+number; each pair of a vector block and a query block is one task's group,
+whatever the vectors are, so copies make no hot one.  A block sends back ``k``
+rows a query, and the best of all blocks are taken at the end.  Comparing a
+query set of a fixed share with all rows is quadratic work by its contract: it
+is spread evenly, and what is shuffled for it shrinks with the block sizes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +52,7 @@ class Params:
     def code_bits(self, dim: int) -> int:
         return -(-max(self.bits, dim) // 8) * 8
 
+    @lru_cache(8)
     def rotation(self, dim: int) -> np.ndarray:
         """``dim`` orthonormal rows of ``code_bits`` components: what a random rotation makes of the axes."""
         noise = np.random.default_rng([self.seed, dim]).standard_normal((self.code_bits(dim), dim))
@@ -94,7 +100,6 @@ def index(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
         F.col("v").isNotNull() & (F.size("v") > 0))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turns: dict[int, np.ndarray] = {}
         for batch in batches:
             ids, lists = batch.column(0), batch.column(1)
             flat = lists.flatten().to_numpy(zero_copy_only=False)        # nulls read as NaN
@@ -107,9 +112,7 @@ def index(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
                 at, v = at[good], v[good]
                 if not len(at):
                     continue
-                if dim not in turns:
-                    turns[dim] = p.rotation(int(dim))
-                codes, fit = encode(scaled(v), turns[dim])
+                codes, fit = encode(scaled(v), p.rotation(int(dim)))
                 raw = np.ascontiguousarray(v, "<f8")
                 yield pa.RecordBatch.from_arrays(
                     [ids.take(pa.array(at)), pa.array(np.full(len(at), dim, np.int32)),
