@@ -11,9 +11,8 @@ precision, unless estimate + bound stays below the exact cosine of the
 ``k``-th best found so far.
 
 Every code is estimated for every query, so no cell that was not probed can hold
-a neighbour.  What the bound lets slip is a chance of 1e-3 a neighbour at three
-deviations, and far less where a code has more bits than the vector components:
-laid into 256 dimensions, 64 components err by 0.6 of the deviation above.
+a neighbour; what the bound lets slip is a chance of 3e-5 a neighbour at four
+deviations.
 
 Vectors and queries are cut into blocks of bounded bytes by a hash of their row
 number; each pair of a vector block and a query block is one task's group,
@@ -44,7 +43,7 @@ _LENGTHS = 1000      # different vector lengths that a table may hold
 class Params:
     k: int = 5
     bits: int = 256              # of a code, or the vectors' dimensions if they are more, in whole bytes
-    sure: float = 3.0            # deviations of the estimate's error that the bound covers
+    sure: float = 4.0            # deviations of the estimate's error that the bound covers
     seed: int = 11
     block_bytes: int = 1 << 24   # vectors (doubles) of a block
     query_bytes: int = 1 << 23   # queries (doubles) of a block
