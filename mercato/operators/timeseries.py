@@ -2,12 +2,11 @@
 
 * ``latest_per_period``  latest row per key and period (ties kept).
 * ``max_per_period``     the period maximum alone.
-* ``calendar_bounds`` / ``calendar``  trailing-day calendar (30 x months + 1 days).
-* ``densify``            key x calendar grid, left-joined to the observations
-                         (join form, or the same rows from one window pass).
+* ``calendar_bounds`` / ``calendar_of``  trailing-day calendar (30 x months + 1 days).
+* ``densify``            observations plus the missing days of every key.
+* ``densify_join``       the same rows as key x calendar grid, left-joined to the observations.
 * ``forward_fill``       last observation carried forward, leading gaps dropped.
-* ``fill_calendar``      densify + forward fill fused: only observations go
-                         through the window, gap days are generated after it.
+* ``fill_calendar``      densify + forward fill in one window over the observations.
 
 All of them are generic over key / period / timestamp / value columns and
 are plain DataFrame plans: aggregates, joins, windows and ``explode``.
@@ -19,10 +18,15 @@ rank window: the aggregate is partial (map-side), so a hot key holding a
 third of the rows is reduced before the shuffle, and the join back is a
 plain equi-join that AQE can split when one key is skewed (or turn into a
 broadcast when the maxima are measured small).  The calendar is generated
-per key with ``explode(sequence(...))`` instead of a Cartesian product, so
-nothing is broadcast and the grid grows only with the number of keys.
-After the latest-per-day step a key has at most one row per calendar day
-(plus exact ties), so the fill window works on bounded groups.
+per key with ``explode``, never as a Cartesian product, so nothing is
+broadcast and the grid grows only with the number of keys.
+
+No window sees rows.  A fill first reduces the rows that tie in its order to one
+*cell* (a partial aggregate: their largest valid value), and the window runs
+over cells: at most one per key, company and calendar day after the
+latest-per-day step.  Rows are then joined to their cell, an equi-join that AQE
+splits.  So a third of all rows tied in one key and day is aggregated map-side,
+spread by the join, and never gathered by a task.
 """
 
 from __future__ import annotations
@@ -37,9 +41,8 @@ from mercato.functions.dates import day_literal
 from mercato.functions.numbers import valid_double
 
 _MAX = "__period_max"
-_NEXT = "__next_day"
-_POS = "__pos"
 _DAY = "__day"
+_TOP, _CARRY = "__top", "__carry"
 
 
 def latest_per_period(df: DataFrame, keys: Sequence[str], ts_col: str,
@@ -93,135 +96,142 @@ def calendar_of(df: DataFrame, day_col: str, months_back: int = 1, out_col: str
         F.explode(F.sequence(F.date_sub(F.col(_DAY), 30 * months_back), F.col(_DAY))).alias(out_col))
 
 
-def densify(df: DataFrame, grid_keys: Sequence[str], day_col: str,
-            start: date, end: date, partition_keys: Sequence[str] | None = None) -> DataFrame:
-    """Every distinct ``grid_keys`` tuple times every day in ``[start, end]``,
-    left-joined to ``df`` on keys + day.
+def _all_present(columns: Sequence[str]) -> Column:
+    present = F.lit(True)
+    for c in columns:
+        present = present & F.col(c).isNotNull()
+    return present
+
+
+def densify(df: DataFrame, grid_keys: Sequence[str], day_col: str, start: date, end: date) -> DataFrame:
+    """Every distinct ``grid_keys`` tuple times every day in ``[start, end]``, with the observations of ``df`` on it.
 
     Days without an observation carry NULL in the other columns; observations
-    outside the calendar disappear.  Key equality is NULL-rejecting (a NULL key
-    component never finds its observation), as in a ``USING`` join.
-
-    With ``partition_keys`` (a subset of ``grid_keys`` that is never NULL) the
-    same rows are produced by one window pass instead of distinct + explode +
-    join: rows are partitioned by ``partition_keys``, and each observation emits
-    itself plus the gap days up to the previous / after the last observation of
-    its grid key.  History outside the calendar is first reduced to one marker
-    row per key, so window groups stay bounded by the calendar.  A later window
-    on the same keys (the forward fill) then needs no further shuffle.
+    outside the calendar disappear, but their key has its days.  A NULL key
+    component never finds its observation, as in a ``USING`` join.
+
+    The days that a key has are one bit each in a partial aggregate of a few
+    longs, whatever the number of rows; the missing ones are exploded from it.
+    Observations pass through as they are: no join, no window, no shuffle of
+    them.  Columns: grid keys, day, then the others, as the join form has them.
     """
     grid_keys = list(grid_keys)
-    if partition_keys is None:
-        grid = df.select(*grid_keys).distinct().select(
-            *grid_keys, F.explode(F.sequence(day_literal(start), day_literal(end))).alias(day_col))
-        return grid.join(df, on=[*grid_keys, day_col], how="left")
-    return _densify_window(df, grid_keys, list(partition_keys), day_col, start, end)
+    days = (end - start).days + 1
+    day = F.col(day_col)
+    seen = F.coalesce(day.between(day_literal(start), day_literal(end)), F.lit(False)) & _all_present(grid_keys)
+    at = F.date_diff(day, day_literal(start))
+    words = range(-(-days // 63))
+    bit = [F.when(seen & (F.floor(at / 63) == w), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 63).cast("int")))
+           .otherwise(F.lit(0).cast("long")) for w in words]
+    held = df.groupBy(*grid_keys).agg(*[F.bit_or(b).alias(f"__days{w}") for w, b in zip(words, bit)])
 
+    def missing(i: Column) -> Column:
+        word = F.coalesce(*[F.when(F.floor(i / 63) == w, F.col(f"__days{w}")) for w in words])
+        return F.call_function("shiftright", word, (i % 63).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 0
 
-def _days(lo: Column, hi: Column) -> Column:
-    """``[lo, hi]`` as an array of days, empty when ``lo > hi``."""
-    return F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<date>"))
+    others = [f for f in df.schema.fields if f.name not in grid_keys and f.name != day_col]
+    gaps = (held.withColumn("__at", F.explode(F.filter(F.sequence(F.lit(0), F.lit(days - 1)), missing)))
+            .select(*grid_keys, F.date_add(day_literal(start), F.col("__at")).alias(day_col),
+                    *[F.lit(None).cast(f.dataType).alias(f.name) for f in others]))
+    return df.where(seen).select(*grid_keys, day.cast("date").alias(day_col), *[f.name for f in others]).unionByName(gaps)
 
 
-def _densify_window(df: DataFrame, grid_keys: list[str], part_keys: list[str], day_col: str,
-                    start: date, end: date) -> DataFrame:
-    extra = [k for k in grid_keys if k not in part_keys]
-    day = F.col(day_col)
-    lo, hi = day_literal(start), day_literal(end)
-    # Observations outside the calendar only show that their grid key exists: they are reduced to one
-    # marker row per key (a partial-aggregate distinct, NULL day), so no window group ever holds more
-    # than the calendar's days (plus ties), however long the history.
-    inside = F.coalesce(day.between(lo, hi), F.lit(False))
-    markers = df.where(~inside).select(*grid_keys).distinct()
-    rows = df.where(inside).unionByName(markers, allowMissingColumns=True)
-
-    window = Window.partitionBy(*part_keys).orderBy(*extra, day_col)   # a key's marker sorts first
-    has_prev = F.lag(F.lit(1)).over(window).isNotNull()
-    has_next = F.lead(F.lit(1)).over(window).isNotNull()
-    for k in extra:
-        has_prev = has_prev & F.col(k).eqNullSafe(F.lag(k).over(window))
-        has_next = has_next & F.col(k).eqNullSafe(F.lead(k).over(window))
-    has_null = F.lit(False)
-    for k in grid_keys:
-        has_null = has_null | F.col(k).isNull()
-    staged = rows.select("*", F.lag(day).over(window).alias("__prev"), has_prev.alias("__has_prev"),
-                         has_next.alias("__has_next"), has_null.alias("__has_null"))
-
-    cell = "array<struct<d:date,own:boolean>>"
-    empty = F.array().cast(cell)
-    gap = lambda a, b: F.transform(_days(a, b), lambda d: F.struct(d.alias("d"), F.lit(False).alias("own")))
-    prev_d, observed = F.col("__prev"), day.isNotNull()
-    first_day = F.when(F.col("__has_prev") & prev_d.isNotNull(), F.date_add(prev_d, 1)).otherwise(lo)
-    before = F.when(observed, gap(first_day, F.date_sub(day, 1))).otherwise(empty)
-    own = F.when(observed, F.array(F.struct(day.alias("d"), F.lit(True).alias("own")))).otherwise(empty)
-    after = F.when(~F.col("__has_next"), gap(F.coalesce(F.date_add(day, 1), lo), hi)).otherwise(empty)
-    # a grid key with a NULL component never matches its observations: all its days are gaps, once
-    null_key = F.when(~F.col("__has_prev"), gap(lo, hi)).otherwise(empty)
-    cells = F.when(F.col("__has_null"), null_key).otherwise(F.concat(before, own, after))
-    exploded = staged.select("*", F.explode(cells).alias("__cell"))
-    own_row = F.col("__cell.own")
-    # same column order as the join form: grid keys, day, then the observation columns
-    out = [F.col(k) for k in grid_keys] + [F.col("__cell.d").alias(day_col)]
-    out += [F.when(own_row, F.col(c)).alias(c) for c in df.columns if c not in grid_keys and c != day_col]
-    return exploded.select(*out)
-
-
-def _fill_value(value_col: str, window) -> Column:
-    value = F.col(value_col)
-    return F.last(F.when(valid_double(value), value), ignorenulls=True).over(
-        window.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-
-
-def forward_fill(df: DataFrame, fill_keys: Sequence[str], order_cols: Sequence[str | Column],
+def densify_join(df: DataFrame, grid_keys: Sequence[str], day_col: str, start: date, end: date) -> DataFrame:
+    """``densify`` written out: distinct keys, exploded over the calendar, left-joined to ``df`` on keys and day."""
+    grid = df.select(*grid_keys).distinct().select(
+        *grid_keys, F.explode(F.sequence(day_literal(start), day_literal(end))).alias(day_col))
+    return grid.join(df, on=[*grid_keys, day_col], how="left")
+
+
+def _filled(value: Column) -> Column:
+    """The value of a row in its cell, where rows stand as NULL, valid values upwards, NaN."""
+    return (F.when(valid_double(value), value).when(F.isnan(value), F.coalesce(_TOP, _CARRY))
+            .otherwise(F.col(_CARRY)))
+
+
+def forward_fill(df: DataFrame, fill_keys: Sequence[str], order_cols: Sequence[str],
                  value_col: str) -> DataFrame:
     """Last observation carried forward per ``fill_keys`` in ``order_cols`` order.
 
     A NULL or NaN value takes the last valid value seen before it; a row with
     no valid value before it is dropped.  Valid rows are unchanged (zero is
-    valid).  All other columns of a filled row are its own.
-    """
-    window = Window.partitionBy(*fill_keys).orderBy(*order_cols)
-    return df.withColumn(value_col, _fill_value(value_col, window)).where(F.col(value_col).isNotNull())
-
-
-def fill_calendar(latest: DataFrame, fill_keys: Sequence[str], day_col: str, ts_col: str,
-                  value_col: str, start: date, end: date,
-                  order_cols: Sequence[str | Column] | None = None) -> DataFrame:
-    """``forward_fill(densify(latest))`` in a single window pass.
+    valid).  All other columns of a filled row are its own.  Rows equal in the
+    order columns stand by value (NULL first, NaN last), whether or not
+    ``order_cols`` ends with the value.
 
-    Instead of materialising the key x day grid and joining it back, each
-    observation carries its value forward to the day before the key's next
-    observed day (or to ``end``) with ``explode(sequence(day, until))``.
-    Generated gap days have a NULL ``ts_col``.  One shuffle (by the fill keys),
-    and the window sorts only the observations, not the whole grid.
-
-    Exact with respect to the literal form when the grid key equals the fill
-    key up to columns that are constant per fill key (the stock extract filters
-    a single company, so it holds there); both forms must use the same
-    ``order_cols``, whose first element is the day.
+    Rows of one key and order are a cell, reduced to its largest valid value;
+    the window runs over cells and each row is joined to its own.
     """
-    order_cols = list(order_cols or [day_col])
-    day = F.col(day_col)
-    in_range = latest.where(day.between(day_literal(start), day_literal(end)))
-    window = Window.partitionBy(*fill_keys).orderBy(*order_cols)
-    next_day = F.lead(day).over(window)
-    staged = in_range.select(
-        *in_range.columns,
-        _fill_value(value_col, window).alias("__filled"),
-        next_day.alias(_NEXT),
-    )
-    last_of_day = F.col(_NEXT).isNull() | (F.col(_NEXT) != day)
-    until = F.when(last_of_day, F.coalesce(F.date_sub(F.col(_NEXT), 1), day_literal(end))).otherwise(day)
-    exploded = staged.where(F.col("__filled").isNotNull()).select(
-        "*", F.posexplode(F.sequence(day, until)).alias(_POS, _DAY))
-    out_cols = []
-    for c in in_range.columns:
-        if c == day_col:
-            out_cols.append(F.col(_DAY).alias(day_col))
-        elif c == ts_col:
-            out_cols.append(F.when(F.col(_POS) == 0, F.col(ts_col)).alias(ts_col))
-        elif c == value_col:
-            out_cols.append(F.col("__filled").alias(value_col))
-        else:
-            out_cols.append(F.col(c))
-    return exploded.select(*out_cols)
+    keys, order = list(fill_keys), [c for c in order_cols if c != value_col]
+    value, names = F.col(value_col), {c: f"__on_{c}" for c in (*keys, *order)}
+    window = Window.partitionBy(*[names[c] for c in keys]).orderBy(*[names[c] for c in order])
+    cells = (df.groupBy(*[F.col(c).alias(n) for c, n in names.items()])
+             .agg(F.max(F.when(valid_double(value), value)).alias(_TOP))
+             .withColumn(_CARRY, F.last(_TOP, ignorenulls=True).over(
+                 window.rowsBetween(Window.unboundedPreceding, -1))))
+    same = F.lit(True)
+    for c, n in names.items():
+        same = same & F.col(c).eqNullSafe(F.col(n))
+    return (df.join(cells, same).withColumn(value_col, _filled(value))
+            .where(value.isNotNull()).select(*df.columns))
+
+
+def fill_calendar(rows: DataFrame, fill_keys: Sequence[str], grid_keys: Sequence[str], day_col: str, ts_col: str,
+                  value_col: str, start: date, end: date) -> DataFrame:
+    """``forward_fill(densify(latest_per_period(rows)))`` of the rows within the calendar, in one window over cells.
+
+    ``grid_keys`` are ``fill_keys`` and the columns that tell rows of one day
+    apart (the company).  The latest rows are those of the last ``ts_col`` of
+    their fill key and day; the order of the fill is day, company, value.
+
+    A cell is a fill key, company and day.  One partial aggregate gives its last
+    time and, of the rows at that time, the largest valid value; the window over
+    cells (at most one a day and company) gives the value carried into each and
+    the next cell.  A cell then fills every grid place up to the next cell of
+    its fill key, whatever the company, so the rows are those of the literal form
+    for any mix of companies; places before the first valid value are never
+    made.  The input is joined to the cells once, by key, day and last time:
+    that join both picks the latest rows and fills them, and AQE splits it where
+    rows tie.  A row with a NULL company counts for the last time of its day,
+    but its company's days are all gaps, as in the grid join.
+    """
+    keys = list(fill_keys)
+    extra = [k for k in grid_keys if k not in keys]
+    day, value = F.col(day_col), F.col(value_col)
+    inside = rows.where(day.between(day_literal(start), day_literal(end)) & _all_present([*keys, ts_col]))
+    named = bool(extra)
+    company = F.struct(*extra) if named else F.struct(F.lit(0).alias("one"))
+    known = _all_present(extra)
+
+    last = F.max(F.struct(F.col(ts_col).alias("ts"), F.when(valid_double(value) & known, value).alias("top")))
+    by_day = Window.partitionBy(*keys, day_col)
+    cells = (inside.groupBy(*keys, *extra, day_col).agg(last.alias("__last"))
+             .select("*", F.max("__last.ts").over(by_day).alias("__ts")).where(F.col("__last.ts") == F.col("__ts")))
+    window = Window.partitionBy(*keys).orderBy(day_col, *extra)
+    place = F.struct(day.alias("d"), company.alias("c"))
+    staged = cells.select(
+        *keys, *extra, day_col, "__ts", F.col("__last.top").alias(_TOP),
+        F.last("__last.top", ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, -1)).alias(_CARRY),
+        F.lead(place).over(window).alias("__next"),
+        F.collect_set(company).over(window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("__companies"))
+
+    here, until = F.struct(F.col(_DAY).alias("d"), F.col("__company").alias("c")), F.col("__next")
+    made = {day_col: F.col(_DAY), ts_col: F.lit(None).cast(rows.schema[ts_col].dataType), value_col: F.coalesce(_TOP, _CARRY),
+            **{k: F.col(f"__company.{k}") for k in extra}}
+    single = F.size("__companies") == 1            # then whole days lie between two cells
+    first = F.when(single & known, F.date_add(day, 1)).otherwise(day)
+    past = F.when(until.isNull(), day_literal(end)).when(single, F.date_sub(until["d"], 1)).otherwise(until["d"])
+    gaps = (staged.where(F.coalesce(_TOP, _CARRY).isNotNull() & (first <= past))
+            .select("*", F.explode(F.sequence(first, past)).alias(_DAY))
+            .select("*", F.explode("__companies").alias("__company"))
+            .where(F.when(here == place, ~known).otherwise((here > place) & (until.isNull() | (here < until))))
+            .select(*[made.get(c, F.col(c)).alias(c) for c in rows.columns]))
+
+    on = {c: f"__on_{c}" for c in (*keys, *extra, day_col)}
+    right = staged.select(*[F.col(c).alias(n) for c, n in on.items()], "__ts", _TOP, _CARRY)
+    same = F.col(ts_col) == F.col("__ts")
+    for c, n in on.items():
+        same = same & (F.col(c) == F.col(n))
+    observed = (inside.join(right, same).withColumn(value_col, _filled(value))
+                .where(value.isNotNull()).select(*rows.columns))
+    return observed.unionByName(gaps)

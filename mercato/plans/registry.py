@@ -20,7 +20,7 @@ from mercato.functions.dates import day_string, from_day_string
 from mercato.functions.numbers import to_double
 from mercato.operators.filters import day_range, in_list, not_null, ts_range
 from mercato.operators.timeseries import (
-    calendar_bounds, calendar_of, densify, fill_calendar, forward_fill, max_per_period,
+    calendar_bounds, calendar_of, densify, densify_join, fill_calendar, forward_fill, max_per_period,
 )
 from mercato.params import DateRange, validate_dates
 from mercato.plans.items import item_master
@@ -164,10 +164,10 @@ def q_join_cross_calendar(spark, sf_dir):
     return keys.select(*GRID_KEYS, F.explode(F.sequence(F.lit(start), F.lit(end))).alias("stock_date"))
 
 
-def _gap_fill(spark, sf_dir, partition_keys=FILL_KEYS):
+def _gap_fill(spark, sf_dir, form=densify):
     start, end = calendar_bounds(S.STOCK_AS_OF)
     latest = latest_stock(_positions(spark, sf_dir))
-    return densify(latest, GRID_KEYS, "stock_date", start, end, partition_keys).select(*STOCK_COLUMNS)
+    return form(latest, GRID_KEYS, "stock_date", start, end).select(*STOCK_COLUMNS)
 
 
 def q_stock_gap_fill(spark, sf_dir):
@@ -176,7 +176,7 @@ def q_stock_gap_fill(spark, sf_dir):
 
 def q_stock_gap_fill_join(spark, sf_dir):
     """The grid as distinct keys x calendar, left-joined on five columns."""
-    return _gap_fill(spark, sf_dir, partition_keys=None)
+    return _gap_fill(spark, sf_dir, densify_join)
 
 
 def q_filter_not_null(spark, sf_dir):
@@ -189,9 +189,8 @@ def q_stock_forward_fill(spark, sf_dir):
 
 def q_stock_forward_fill_fused(spark, sf_dir):
     start, end = calendar_bounds(S.STOCK_AS_OF)
-    latest = latest_stock(_positions(spark, sf_dir))
-    return fill_calendar(latest, FILL_KEYS, "stock_date", "received_date", "available",
-                         start, end, FILL_ORDER).select(*STOCK_COLUMNS)
+    return fill_calendar(_positions(spark, sf_dir), FILL_KEYS, GRID_KEYS, "stock_date", "received_date", "available",
+                         start, end).select(*STOCK_COLUMNS)
 
 
 def q_stock_snapshot(spark, sf_dir):

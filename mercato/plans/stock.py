@@ -20,11 +20,10 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mercato.functions.dates import day_literal
 from mercato.functions.numbers import to_double
 from mercato.operators.filters import day_range, equals, in_list, not_null
 from mercato.operators.timeseries import (
-    calendar_bounds, densify, fill_calendar, forward_fill, latest_per_period,
+    calendar_bounds, densify, fill_calendar, latest_per_period,
 )
 from mercato.params import DateRange
 from mercato.plans.sales import ALLOWED_SUPPLIERS
@@ -82,31 +81,21 @@ def latest_stock(extract: DataFrame) -> DataFrame:
 def stock_grid(latest: DataFrame, as_of: date | datetime, months_back: int = 1) -> DataFrame:
     """Every key x every calendar day, NULL where no position was taken."""
     start, end = calendar_bounds(as_of, months_back)
-    return densify(latest, GRID_KEYS, "stock_date", start, end, FILL_KEYS).select(*STOCK_COLUMNS)
+    return densify(latest, GRID_KEYS, "stock_date", start, end).select(*STOCK_COLUMNS)
 
 
-def stock_snapshot(extract: DataFrame, as_of: date | datetime, months_back: int = 1,
-                   fused: bool = False) -> DataFrame:
+def stock_snapshot(extract: DataFrame, as_of: date | datetime, months_back: int = 1) -> DataFrame:
     """Latest per day -> calendar grid -> forward fill.
 
     History before the calendar plays no part (as in the grid join), so the
     extract is cut to the calendar first: on a day-partitioned table this is
-    partition pruning.  The default makes the grid (window form of
-    ``densify``) and fills it: the literal rules for any mix of companies, with
-    the grid and the fill sharing one shuffle.  ``fused=True`` carries each
-    observation forward in one window pass; it gives the same rows only where
-    every (sku, brand group, cnpj) holds a single company.
+    partition pruning.  The three steps are one window over a cell per key,
+    company and day and one join of the extract to the cells, exact for any mix
+    of companies.
     """
     start, end = calendar_bounds(as_of, months_back)
-    in_cal = extract.where(F.col("stock_date").between(day_literal(start), day_literal(end)))
-    latest = latest_stock(in_cal)
-    if fused:
-        filled = fill_calendar(latest, FILL_KEYS, "stock_date", "received_date", "available",
-                               start, end, FILL_ORDER)
-    else:
-        grid = densify(latest, GRID_KEYS, "stock_date", start, end, FILL_KEYS)
-        filled = forward_fill(grid, FILL_KEYS, FILL_ORDER, "available")
-    return filled.select(*STOCK_COLUMNS)
+    return fill_calendar(extract.select(*STOCK_COLUMNS), FILL_KEYS, GRID_KEYS, "stock_date", "received_date",
+                         "available", start, end)
 
 
 def stock_report(snapshot: DataFrame, items: DataFrame, rng: DateRange) -> DataFrame:

@@ -83,6 +83,48 @@ def test_hot_tie_is_split_by_aqe_and_kept_whole(spark, skew_conf):
     assert len(expect) == n // 3
 
 
+def test_ties_never_reach_a_window(spark, skew_conf):
+    """A third of all rows tied on key, day and load time: aggregated before the window, split in the join, kept whole."""
+    from mercato.plans.stock import stock_snapshot
+
+    n = 30000
+    base, df = _frame(spark, n, 1)
+    df = df.withColumn("available", F.when(F.col("available") % 2 == 0, F.lit(float("nan"))).otherwise(F.col("available")))
+    out = stock_snapshot(df, base.date() + timedelta(days=2))
+    rows = out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "skew=true" in plan
+    # what the window's shuffle carries are cells: 2001 keys with one day each, not the 10,000 tied rows
+    cells = [line for line in plan.splitlines() if "Exchange hashpartitioning(sku" in line]
+    assert cells
+    hot = [r for r in rows if r.sku == "HOT" and r.stock_date == base.date()]
+    valid = [float(i) for i in range(0, n, 3) if i % 2]
+    assert len(hot) == n // 3
+    assert sorted(r.available for r in hot) == sorted(valid + [max(valid)] * (n // 3 - len(valid)))
+    later = [r for r in rows if r.sku == "HOT" and r.stock_date > base.date()]
+    assert [(r.available, r.received_date) for r in later] == [(max(valid), None)] * 2
+
+
+def test_forward_fill_and_densify_of_ties(spark, skew_conf):
+    from mercato.operators.timeseries import densify, forward_fill
+    from mercato.plans.stock import FILL_KEYS, FILL_ORDER, GRID_KEYS
+
+    n = 30000
+    base, df = _frame(spark, n, 1)
+    df = df.withColumn("available", F.when(F.col("available") % 2 == 0, F.lit(None)).otherwise(F.col("available")))
+    grid = densify(df, GRID_KEYS, "stock_date", base.date(), base.date() + timedelta(days=1))
+    plan = grid._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan
+    assert grid.count() == n + 2001                      # all rows and one missing day of each key
+    filled = forward_fill(grid, FILL_KEYS, FILL_ORDER, "available")
+    rows = filled.collect()
+    assert "skew=true" in filled._jdf.queryExecution().executedPlan().toString()
+    valid = [float(i) for i in range(0, n, 3) if i % 2]
+    hot = [r for r in rows if r.sku == "HOT"]
+    assert sorted(r.available for r in hot if r.stock_date == base.date()) == valid   # NULL rows stand first: nothing before them
+    assert [r.available for r in hot if r.stock_date > base.date()] == [max(valid)]
+
+
 def test_hot_volume_in_serial_join_is_split(spark, skew_conf):
     """The serial-number join pairs every serial of a volume with every line: a hot volume is split."""
     from mercato.params import DateRange

@@ -5,7 +5,7 @@ from datetime import date, datetime, timedelta
 from pyspark.sql import functions as F
 
 from mercato.operators.timeseries import (
-    calendar, calendar_bounds, densify, fill_calendar, forward_fill, latest_per_period,
+    calendar, calendar_bounds, densify, densify_join, fill_calendar, forward_fill, latest_per_period,
 )
 from mercato.plans.stock import (
     FILL_KEYS, FILL_ORDER, GRID_KEYS, PERIOD_KEYS, STOCK_COLUMNS, latest_stock, stock_grid,
@@ -163,39 +163,63 @@ def _norm(rows):
     return sorted(tuple(repr(v) for v in r[:7]) for r in rows)
 
 
-def test_fused_and_literal_match_transcription(spark):
-    rnd = random.Random(7)
+def random_positions(rnd, n, companies):
     rows = []
-    for _ in range(400):
+    for _ in range(n):
         sku = rnd.choice(["1", "2", "3", "11"])
         cnpj = rnd.choice(["1", "11", None]) if rnd.random() < 0.05 else rnd.choice(["1", "11"])
-        day = d(-rnd.randint(0, 40))
+        day = d(-rnd.randint(-2, 40))
         ts = datetime.combine(day, datetime.min.time()) + timedelta(hours=rnd.choice([1, 5, 5, 9]))
         val = rnd.choice([None, float("nan"), 0.0, 1.0, 2.5, 7.0])
-        rows.append((sku, cnpj, day, ts, val, rnd.choice(["1", "4"]), "1"))
+        rows.append((sku, cnpj, day, ts, val, rnd.choice(["1", "4"]), rnd.choice(companies)))
+    return rows
+
+
+def as_tuples(df):
+    return _norm([(r.sku, r.cnpj, r.stock_date, r.received_date, r.available, r.brand_group, r.id_cia)
+                  for r in df.collect()])
+
+
+def test_snapshot_and_literal_chain_match_transcription(spark):
+    rows = random_positions(random.Random(7), 400, ["1"])
     df = frame(spark, rows)
+    in_calendar = df.where(F.col("stock_date").between(d(-30), TODAY))
     expect = _norm(python_fill(rows, d(-30), TODAY))
-    literal = stock_snapshot(df, TODAY, fused=False).collect()
-    fused = stock_snapshot(df, TODAY, fused=True).collect()
+    literal = forward_fill(densify(latest_stock(in_calendar), GRID_KEYS, "stock_date", d(-30), TODAY),
+                           FILL_KEYS, FILL_ORDER, "available")
+    assert as_tuples(literal) == expect
+    assert as_tuples(stock_snapshot(df, TODAY)) == expect
+
+
+def test_snapshot_equals_literal_chain_for_any_mix_of_companies(spark):
+    """Several companies a key, NULL companies, ties on the load time: every step against its written-out form."""
+    for seed in range(3):
+        df = frame(spark, random_positions(random.Random(seed), 500, ["1", "1", "2", "3", None]))
+        latest = latest_stock(df.where(F.col("stock_date").between(d(-30), TODAY)))
+        grid = densify_join(latest, GRID_KEYS, "stock_date", d(-30), TODAY)
+        by_window = grid.withColumn("available", F.expr(
+            "last(case when not isnan(available) then available end, true) over (partition by sku, brand_group, cnpj "
+            "order by stock_date, id_cia, received_date, available rows unbounded preceding)")).where("available is not null")
+        expect = as_tuples(by_window)
+        assert as_tuples(stock_snapshot(df, TODAY)) == expect
+        assert as_tuples(forward_fill(grid, FILL_KEYS, FILL_ORDER, "available")) == expect
 
-    def canon(rs):
-        return _norm([(r.sku, r.cnpj, r.stock_date, r.received_date, r.available, r.brand_group, r.id_cia)
-                      for r in rs])
 
-    assert canon(literal) == expect
-    assert canon(fused) == expect
+def test_fill_without_grid_extras(spark):
+    """Fill and grid on the same keys: no company column at all."""
+    df = frame(spark, random_positions(random.Random(4), 200, ["1"])).drop("id_cia")
+    out = fill_calendar(df, FILL_KEYS, FILL_KEYS, "stock_date", "received_date", "available", d(-30), TODAY)
+    with_company = stock_snapshot(df.withColumn("id_cia", F.lit("1")), TODAY).drop("id_cia").select(*out.columns)
+    assert _norm([(*r, 0) for r in out.collect()]) == _norm([(*r, 0) for r in with_company.collect()])
 
 
-def test_fused_fill_shuffles_once(spark):
-    rows = [("1", "1", d(0), NOW, 1.0, "1", "1")]
-    latest = latest_stock(frame(spark, rows)).repartition(*FILL_KEYS)
-    out = fill_calendar(latest, FILL_KEYS, "stock_date", "received_date", "available", d(-30), TODAY, FILL_ORDER)
-    plan = out._jdf.queryExecution().executedPlan().toString()
-    # the window reuses the fill-key partitioning: no exchange beyond the explicit one
-    assert plan.count("Exchange hashpartitioning(sku") == 1
+def test_forward_fill_keeps_other_columns(spark):
+    rows = [("1", "1", d(0), NOW, 3.0, "1", "1"), ("1", "1", d(0), NOW, float("nan"), "1", "2"), ("1", "1", d(1), NOW, None, "1", "3")]
+    out = forward_fill(frame(spark, rows), ["sku"], ["stock_date"], "available")
+    assert sorted((r.id_cia, r.available) for r in out.collect()) == [("1", 3.0), ("2", 3.0), ("3", 3.0)]
 
 
-def test_window_densify_equals_join_densify(spark):
+def test_densify_equals_join_densify(spark):
     rnd = random.Random(11)
     rows = []
     for _ in range(300):
@@ -205,23 +229,8 @@ def test_window_densify_equals_join_densify(spark):
                      rnd.choice([None, float("nan"), 1.0, 4.0]), rnd.choice(["1", "4"]),
                      rnd.choice(["1", "1", "2", None])))   # several companies per key, and NULL
     df = frame(spark, rows)
-    by_join = densify(df, GRID_KEYS, "stock_date", d(-30), TODAY)
-    by_window = densify(df, GRID_KEYS, "stock_date", d(-30), TODAY, partition_keys=FILL_KEYS)
-    assert by_join.columns == by_window.columns
-    assert _norm([tuple(r) for r in by_join.collect()]) == _norm([tuple(r) for r in by_window.collect()])
-
-
-def test_literal_snapshot_shares_one_shuffle(spark):
-    import re
-
-    rows = [("1", "1", d(0), NOW, 1.0, "1", "1"), ("1", "1", d(-40), NOW - timedelta(days=40), 2.0, "1", "1")]
-    latest = latest_stock(frame(spark, rows))
-    grid = densify(latest, GRID_KEYS, "stock_date", d(-30), TODAY, partition_keys=FILL_KEYS)
-    out = forward_fill(grid, FILL_KEYS, FILL_ORDER, "available")
-
-    def exchanges(df):
-        return re.findall(r"Exchange hashpartitioning\(([^)]*)\)", df._jdf.queryExecution().executedPlan().toString())
-
-    on_fill_keys = [e for e in exchanges(grid) if re.fullmatch(r"sku#\d+, brand_group#\d+, cnpj#\d+, \d+", e)]
-    assert len(on_fill_keys) == 1                   # the grid window's own shuffle
-    assert exchanges(out) == exchanges(grid)        # the fill reuses it: no further exchange
+    for back in (30, 62, 63, 200):                         # the days held are bits of one or several longs
+        by_join = densify_join(df, GRID_KEYS, "stock_date", d(-back), TODAY)
+        by_bits = densify(df, GRID_KEYS, "stock_date", d(-back), TODAY)
+        assert by_join.columns == by_bits.columns
+        assert _norm([tuple(r) for r in by_join.collect()]) == _norm([tuple(r) for r in by_bits.collect()])
