@@ -2,7 +2,7 @@
 
 * ``latest_per_period``  latest row per key and period (ties kept).
 * ``max_per_period``     the period maximum alone.
-* ``calendar_bounds`` / ``calendar_of``  trailing-day calendar (30 x months + 1 days).
+* ``calendar_bounds``, ``calendar_of``  trailing-day calendar (30 x months + 1 days).
 * ``densify``            observations plus the missing days of every key.
 * ``densify_join``       the same rows as key x calendar grid, left-joined to the observations.
 * ``forward_fill``       last observation carried forward, leading gaps dropped.
@@ -79,13 +79,6 @@ def calendar_bounds(as_of: date | datetime, months_back: int = 1) -> tuple[date,
     return end - timedelta(days=30 * months_back), end
 
 
-def calendar(spark, as_of: date | datetime, months_back: int = 1, day_col: str = "stock_date") -> DataFrame:
-    """The trailing-day calendar as a one-column DataFrame (31 rows for one month)."""
-    start, end = calendar_bounds(as_of, months_back)
-    return spark.range(1).select(
-        F.explode(F.sequence(day_literal(start), day_literal(end))).alias(day_col))
-
-
 def calendar_of(df: DataFrame, day_col: str, months_back: int = 1, out_col: str = "stock_date") -> DataFrame:
     """Calendar ending at the latest day present in ``df`` (as-of derived from data).
 

@@ -46,7 +46,7 @@ def lake_builders(spark: SparkSession, as_of: date | datetime,
 
     def stock():
         r = lake.stock_roles(spark, umbrella)
-        return stock_snapshot(stock_extract(r["positions"], r["branches"], r["items"], stock_rules),
+        return stock_snapshot(stock_extract(r["positions"], r["branches"], r["items"], stock_rules, as_of),
                               as_of, stock_rules.months_back)
 
     def items():

@@ -136,7 +136,76 @@ where s.stock_date >= date '1900-01-01' and s.stock_date >= date '2024-01-10'
   and s.stock_date <= date '2024-01-20' and s.available is not null
 """
 
+_SALES_EXTRACT_FILTERED = f"""
+select o.o_orderdate as sales_date, substr(o.o_orderpriority, 1, 1) as brand, l.l_partkey as sku,
+       s.s_name as cnpj, e.uf_target, p.p_name as ean, l.l_quantity as quantity
+from orders o
+join (select o_orderkey as k, n_name as uf_target from orders join customer on c_custkey = o_custkey
+      join nation on n_nationkey = c_nationkey
+      union all
+      select l_orderkey, n_name from lineitem join supplier on s_suppkey = l_suppkey
+      join nation on n_nationkey = s_nationkey where l_returnflag = 'R') e on e.k = o.o_orderkey
+join lineitem l on o.o_orderkey = l.l_orderkey
+join part p on p.p_partkey = l.l_partkey
+left join supplier s on s.s_suppkey = l.l_suppkey
+where o.o_orderstatus in ('F', 'O') and substr(o.o_orderpriority, 1, 1) in ('1', '2', '3')
+  and o.o_totalprice >= 100000 and o.o_custkey % 2 = 0 and o.o_orderkey % 3 <> 0
+  and p.p_brand in {_BRANDS} and strftime(o.o_orderdate, '%Y-%m') >= '1998-04'
+"""
+
+_SALES_REPORT_FILTERED = f"""
+select cnpj as warehouse_cnpj, uf_target,
+       case brand when '1' then 'SHOP' when '2' then 'ACOM' when '3' then 'SUBA' end as brand,
+       sales_date, ean, sku, coalesce(sum(quantity), 0.0) as quantity
+from ({_SALES_EXTRACT_FILTERED}) x
+where sales_date >= timestamp '1999-01-01 00:00:00' and sales_date <= timestamp '2001-06-30 23:59:00'
+group by cnpj, brand, sales_date, ean, sku, uf_target
+"""
+
+_STOCK_EXTRACT_BOTH = f"""
+select e.user_id as sku, s.s_name as cnpj, cast(e.ts as date) as stock_date, e.ts as received_date,
+       try_cast(e.value as double) as available, e.event_type as brand_group,
+       cast(1 + e.event_id % 2 as varchar) as id_cia
+from events e
+join supplier s on s.s_suppkey = e.user_id
+join part p on p.p_partkey = e.user_id and p.p_brand in {_BRANDS}
+where cast(e.ts as date) between date '2023-12-31' and date '2024-01-30'
+"""
+
+_TIED_POSITIONS = """
+select e.user_id as sku, s.s_name as cnpj, cast(e.ts as date) as stock_date,
+       cast(cast(e.ts as date) as timestamp) as received_date,
+       case when e.event_id % 5 = 0 then null when e.event_id % 7 = 0 then cast('nan' as double) else e.value end as available,
+       e.event_type as brand_group, cast(e.event_id % 2 as varchar) as id_cia
+from events e join supplier s on s.s_suppkey = e.user_id % 10
+"""
+
 ORACLES: dict[str, str] = {
+    "sales_extract_filtered": _SALES_EXTRACT_FILTERED,
+    "sales_report_filtered": _SALES_REPORT_FILTERED,
+    "sales_report_eager": _SALES_REPORT_FILTERED,
+    "snapshot_incremental": _SALES_EXTRACT_FILTERED,
+    "snapshot_days": f"""
+select * from ({_SALES_EXTRACT}) x
+where sales_date >= timestamp '2001-01-01 00:00:00' and sales_date <= timestamp '2001-07-31 23:59:00'
+""",
+    "shipments_extract_filtered": _SHIPMENTS_EXTRACT.replace(
+        "join part im on im.p_partkey = p.p_partkey", "join part im on im.p_partkey = p.p_partkey and im.p_partkey % 3 <> 0").replace(
+        "o.o_orderdate >= timestamp '1995-01-01 00:00:00'", "strftime(o.o_orderdate, '%Y-%m') > '1994-12'"),
+    "stock_extract_filtered": f"select * from ({_STOCK_EXTRACT_BOTH}) x where id_cia = '1' and brand_group = 'click'",
+    "stock_report_companies": f"""
+select s.cnpj as warehouse_cnpj, s.brand_group, s.stock_date,
+       case when s.id_cia = '1' then p.p_name else p.p_name || ' (2)' end as ean, s.sku, s.available as available_stock
+from ({_fill(_grid(_latest(_STOCK_EXTRACT_BOTH)))}) s
+join part p on p.p_partkey = s.sku and p.p_brand in {_BRANDS} and (s.id_cia = '1' or p.p_partkey % 2 = 0)
+where s.stock_date between date '2024-01-10' and date '2024-01-20'
+""",
+    "stock_forward_fill_ties": _fill(_grid(_latest(_TIED_POSITIONS))),
+    "stock_snapshot_ties": _fill(_grid(_latest(_TIED_POSITIONS))),
+    "month_window_text_inclusive":
+        "select *, strftime(o_orderdate, '%Y-%m') as load_part from orders where strftime(o_orderdate, '%Y-%m') >= '2001-01'",
+    "month_window_text_exclusive":
+        "select *, strftime(o_orderdate, '%Y-%m') as load_part from orders where strftime(o_orderdate, '%Y-%m') > '2001-01'",
     "sales_report": _SALES_REPORT,
     "sales_extract": _SALES_EXTRACT,
     "sales_report_json": f"""

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 from datetime import date
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,8 +24,9 @@ from mercato.operators.timeseries import (
     calendar_bounds, calendar_of, densify, densify_join, fill_calendar, forward_fill, max_per_period,
 )
 from mercato.params import DateRange, validate_dates
+from mercato.plans.incremental import refresh_sales
 from mercato.plans.items import item_master
-from mercato.plans.sales import sales_extract, sales_report
+from mercato.plans.sales import sales_extract, sales_report, sales_report_eager
 from mercato.plans.shipments import shipments_extract, shipments_report
 from mercato.plans.stock import (
     FILL_KEYS, FILL_ORDER, GRID_KEYS, PERIOD_KEYS, STOCK_COLUMNS, latest_stock,
@@ -33,28 +35,29 @@ from mercato.plans.stock import (
 from mercato.session import unique_path
 from mercato.sinks.archive import archive_before
 from mercato.sinks.json_lines import SALE_FIELDS, SHIPMENT_FIELDS, STOCK_FIELDS, to_json_lines
-from mercato.sinks.snapshot import SnapshotStore
+from mercato.sinks.snapshot import SnapshotStore, days
 from mercato.sources import standins as S
 from mercato.sources.csv import read_csv, write_csv
-from mercato.sources.partitions import month_window
+from mercato.sources.partitions import month_window, read_month_partitions, write_month_partitions
 from mercato.sources.tables import Tables
 
 # Report ranges used on the test tables.
 SALES_RANGE = ("2001-01-01", "2001-07-31")
+FILTERED_SALES_RANGE = ("1999-01-01", "2001-06-30")
 SHIPMENTS_RANGE = ("1995-01-01", "2001-07-31")
 STOCK_RANGE = ("2024-01-10", "2024-01-20")
 UNION_SPLIT = (date(2024, 1, 15), date(2024, 1, 10))
 
 
-_TABLES: dict[tuple[int, str], Tables] = {}
+_TABLES: WeakKeyDictionary[SparkSession, dict[str, Tables]] = WeakKeyDictionary()
 
 
 def _tables(spark: SparkSession, sf_dir: str) -> Tables:
-    """Table handles per session and directory, resolved once (like catalog tables)."""
-    key = (id(spark), sf_dir)
-    if key not in _TABLES:
-        _TABLES[key] = Tables(spark, sf_dir)
-    return _TABLES[key]
+    """Table handles per session and directory, resolved once (like catalog tables) and let go with the session."""
+    held = _TABLES.setdefault(spark, {})
+    if sf_dir not in held:
+        held[sf_dir] = Tables(spark, sf_dir)
+    return held[sf_dir]
 
 
 def _range(bounds: tuple[str, str]) -> DateRange:
@@ -63,22 +66,36 @@ def _range(bounds: tuple[str, str]) -> DateRange:
 
 # --------------------------------------------------------------------------- sales
 
-# The extracts are built once per session and table set and reused by every report request, as the
-# service did with its extract DataFrames; only the plan is shared (no data is cached), so every action
-# re-reads the tables.
-
 def q_sales_extract(spark, sf_dir):
-    def build(t):
-        r = S.sales_roles(t)
-        return sales_extract(r["header"], r["party"], r["line"], r["items"], r["branches"],
-                             S.SALES_AS_OF, S.SALES_RULES, party_key="customer_id")
-    return _tables(spark, sf_dir).derived("sales_extract", build)
+    r = S.sales_roles(_tables(spark, sf_dir))
+    return sales_extract(r["header"], r["party"], r["line"], r["items"], r["branches"],
+                         S.SALES_AS_OF, S.SALES_RULES, party_key="customer_id")
 
 
 def q_sales_report(spark, sf_dir):
     return sales_report(q_sales_extract(spark, sf_dir), _range(SALES_RANGE))
 
 
+def _filtered_sales(spark, sf_dir):
+    r = S.filtered_sales_roles(_tables(spark, sf_dir))
+    return r["header"], r["party"], r["line"], r["items"], r["branches"]
+
+
+def q_sales_extract_filtered(spark, sf_dir):
+    """Every filter of the extract over a column with several values, several delivery parties to an order."""
+    return sales_extract(*_filtered_sales(spark, sf_dir), S.SALES_AS_OF, S.FILTERED_SALES_RULES)
+
+
+def q_sales_report_filtered(spark, sf_dir):
+    return sales_report(q_sales_extract_filtered(spark, sf_dir), _range(FILTERED_SALES_RANGE))
+
+
+def q_sales_report_eager(spark, sf_dir):
+    """The same report, lines summed and parties counted before they meet."""
+    return sales_report_eager(*_filtered_sales(spark, sf_dir), _range(FILTERED_SALES_RANGE), S.SALES_AS_OF,
+                              S.FILTERED_SALES_RULES)
+
+
 def q_sales_report_json(spark, sf_dir):
     return to_json_lines(q_sales_report(spark, sf_dir), SALE_FIELDS)
 
@@ -98,15 +115,42 @@ def q_snapshot_refresh(spark, sf_dir):
     return store.refresh("sales", lambda: q_sales_extract(spark, sf_dir))
 
 
+def q_snapshot_incremental(spark, sf_dir):
+    """The sales snapshot of earlier sources, refreshed by the months that have changed since."""
+    store = _snapshot_store(spark)
+    roles = S.filtered_sales_roles(_tables(spark, sf_dir))
+    roles["line"] = roles["line"].join(roles["header"].select("order_id", "load_part"), "order_id")
+    roles["party"] = roles["party"].join(roles["header"].select("order_id", "load_part"), "order_id")
+    late = F.col("load_part") >= "2001-05"
+    earlier = {**roles, "header": roles["header"].where(~(F.col("load_part") > "2001-06")),
+               "line": roles["line"].where(~late | (F.col("sku") % 3 != 0)),
+               "party": roles["party"].withColumn("uf_target", F.when(late, F.lit("-")).otherwise(F.col("uf_target")))}
+    refresh_sales(store, "sales", earlier, S.SALES_AS_OF, S.FILTERED_SALES_RULES, day_col=None)
+    return refresh_sales(store, "sales", roles, S.SALES_AS_OF, S.FILTERED_SALES_RULES, day_col=None)
+
+
+def q_snapshot_days(spark, sf_dir):
+    """A range read from a snapshot laid out by day."""
+    store = _snapshot_store(spark)
+    snapshot = store.get("sales", lambda: q_sales_extract(spark, sf_dir), "sales_date")
+    rng = _range(SALES_RANGE)
+    return ts_range(days(snapshot, rng.first_day, rng.final), "sales_date", rng)
+
+
 # ----------------------------------------------------------------------- shipments
 
 def q_shipments_extract(spark, sf_dir):
-    def build(t):
-        r = S.shipment_roles(t)
-        return shipments_extract(r["header"], r["plants"], r["labels"], r["lines"], r["wms_items"],
-                                 r["eans"], r["serials"], r["item_master"], S.SALES_AS_OF,
-                                 S.SHIPMENT_RULES, label_key="customer_id")
-    return _tables(spark, sf_dir).derived("shipments_extract", build)
+    r = S.shipment_roles(_tables(spark, sf_dir))
+    return shipments_extract(r["header"], r["plants"], r["labels"], r["lines"], r["wms_items"],
+                             r["eans"], r["serials"], r["item_master"], S.SALES_AS_OF,
+                             S.SHIPMENT_RULES, label_key="customer_id")
+
+
+def q_shipments_extract_filtered(spark, sf_dir):
+    """The item master's company and department decide."""
+    r = S.filtered_shipment_roles(_tables(spark, sf_dir))
+    return shipments_extract(r["header"], r["plants"], r["labels"], r["lines"], r["wms_items"], r["eans"], r["serials"],
+                             r["item_master"], S.SALES_AS_OF, S.FILTERED_SHIPMENT_RULES, label_key="customer_id")
 
 
 def q_shipments_report(spark, sf_dir):
@@ -120,10 +164,8 @@ def q_shipments_report_json(spark, sf_dir):
 # --------------------------------------------------------------------------- stock
 
 def _stock_extract(spark, sf_dir):
-    def build(t):
-        r = S.stock_roles(t)
-        return stock_extract(r["positions"], r["branches"], r["items"], S.STOCK_RULES)
-    return _tables(spark, sf_dir).derived("stock_extract", build)
+    r = S.stock_roles(_tables(spark, sf_dir))
+    return stock_extract(r["positions"], r["branches"], r["items"], S.STOCK_RULES)
 
 
 def q_stock_extract(spark, sf_dir):
@@ -209,6 +251,33 @@ def q_stock_snapshot_companies(spark, sf_dir):
     return stock_snapshot(extract, S.STOCK_AS_OF, 1)
 
 
+def q_stock_extract_filtered(spark, sf_dir):
+    """Company and brand group decide; text days and quantities."""
+    r = S.filtered_stock_roles(_tables(spark, sf_dir))
+    return stock_extract(r["positions"], r["branches"], r["items"], S.FILTERED_STOCK_RULES, S.STOCK_AS_OF)
+
+
+def q_stock_report_companies(spark, sf_dir):
+    """Two companies behind a stock key, each with its own EAN: the report joins on item and company."""
+    r = S.filtered_stock_roles(_tables(spark, sf_dir))
+    rules = replace(S.FILTERED_STOCK_RULES, company=None, brand_group=None)
+    extract = stock_extract(r["positions"], r["branches"], r["items"], rules, S.STOCK_AS_OF)
+    items = item_master(r["companies"], "supplier_id", S.STANDIN_SUPPLIERS)
+    return stock_report(stock_snapshot(extract, S.STOCK_AS_OF), items, _range(STOCK_RANGE))
+
+
+def q_stock_forward_fill_ties(spark, sf_dir):
+    """The literal chain where all positions of a day tie, some without a quantity."""
+    start, end = calendar_bounds(S.STOCK_AS_OF)
+    grid = densify(latest_stock(S.tied_positions(_tables(spark, sf_dir))), GRID_KEYS, "stock_date", start, end)
+    return forward_fill(grid, FILL_KEYS, FILL_ORDER, "available").select(*STOCK_COLUMNS)
+
+
+def q_stock_snapshot_ties(spark, sf_dir):
+    """The snapshot of the same positions."""
+    return stock_snapshot(S.tied_positions(_tables(spark, sf_dir)), S.STOCK_AS_OF)
+
+
 def q_stock_report(spark, sf_dir):
     t = _tables(spark, sf_dir)
     snap = stock_snapshot(_stock_extract(spark, sf_dir), S.STOCK_AS_OF, 1)
@@ -270,6 +339,22 @@ def q_month_window_exclusive(spark, sf_dir):
     return month_window(_tables(spark, sf_dir)["orders"], "o_orderdate", S.SALES_AS_OF, 1, False)
 
 
+def _month_partitions(spark, sf_dir):
+    """``orders`` laid out by load month, as text."""
+    orders = _tables(spark, sf_dir)["orders"]
+    path = unique_path(spark, "months")
+    write_month_partitions(orders, "o_orderdate", path)
+    return read_month_partitions(spark, path, orders.schema)
+
+
+def q_month_window_text_inclusive(spark, sf_dir):
+    return month_window(_month_partitions(spark, sf_dir), "load_part", S.SALES_AS_OF, 7, True)
+
+
+def q_month_window_text_exclusive(spark, sf_dir):
+    return month_window(_month_partitions(spark, sf_dir), "load_part", S.SALES_AS_OF, 7, False)
+
+
 def q_filter_in_list(spark, sf_dir):
     o = _tables(spark, sf_dir)["orders"]
     o = in_list(o, "o_orderstatus", ("F", "O"))
@@ -334,12 +419,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sales_report": q_sales_report,
     "sales_extract": q_sales_extract,
     "sales_report_json": q_sales_report_json,
+    "sales_extract_filtered": q_sales_extract_filtered,
+    "sales_report_filtered": q_sales_report_filtered,
+    "sales_report_eager": q_sales_report_eager,
     "snapshot_read": q_snapshot_read,
     "snapshot_refresh": q_snapshot_refresh,
+    "snapshot_incremental": q_snapshot_incremental,
+    "snapshot_days": q_snapshot_days,
     "shipments_report": q_shipments_report,
     "shipments_extract": q_shipments_extract,
     "shipments_report_json": q_shipments_report_json,
+    "shipments_extract_filtered": q_shipments_extract_filtered,
     "stock_extract": q_stock_extract,
+    "stock_extract_filtered": q_stock_extract_filtered,
+    "stock_report_companies": q_stock_report_companies,
+    "stock_forward_fill_ties": q_stock_forward_fill_ties,
+    "stock_snapshot_ties": q_stock_snapshot_ties,
     "stock_latest_per_day": q_stock_latest_per_day,
     "stock_max_received": q_stock_max_received,
     "stock_distinct_keys": q_stock_distinct_keys,
@@ -362,6 +457,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "item_master": q_item_master,
     "month_window_inclusive": q_month_window_inclusive,
     "month_window_exclusive": q_month_window_exclusive,
+    "month_window_text_inclusive": q_month_window_text_inclusive,
+    "month_window_text_exclusive": q_month_window_text_exclusive,
     "filter_in_list": q_filter_in_list,
     "filter_ts_range": q_filter_ts_range,
     "brand_sales": q_brand_sales,

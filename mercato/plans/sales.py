@@ -25,7 +25,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import date, datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mercato.functions.brands import brand_sales
@@ -70,15 +70,12 @@ def _keep(df: DataFrame, wanted) -> DataFrame:
     return df.select(*[c for c in df.columns if c in wanted])
 
 
-def sales_extract(header: DataFrame, party: DataFrame, line: DataFrame, items: DataFrame,
-                  branches: DataFrame, as_of: date | datetime,
-                  rules: SalesRules = SalesRules(), party_key: str = "order_id") -> DataFrame:
-    """One row per delivery party x order line of an admitted order.
+def _filtered(header: DataFrame, party: DataFrame, line: DataFrame, items: DataFrame, branches: DataFrame,
+              as_of: date | datetime, rules: SalesRules, party_key: str, carry: tuple = ()) -> tuple[DataFrame, ...]:
+    """The role tables after their own filters, with the columns the report needs; lines already carry their item.
 
-    header JOIN party (type 'E') JOIN line, LEFT JOIN item (made inner by the
-    supplier allow-list, which rejects NULL), LEFT JOIN branch (a sale whose
-    branch is unknown keeps a NULL cnpj).  An order with several delivery
-    parties repeats its lines: the sum counts each.
+    The allow-list cuts the lines before the largest shuffle: line x item first
+    (the items of a few suppliers).
     """
     h = _window(header, as_of, rules)
     h = in_list(h, "order_status", rules.statuses)
@@ -86,24 +83,55 @@ def sales_extract(header: DataFrame, party: DataFrame, line: DataFrame, items: D
     h = equals(h, "approved", rules.approved)
     h = equals(h, "origin", rules.origin)
     h = equals(h, "company", rules.company)
-    h = _keep(h, {"order_id", "sales_date", "brand", "branch_id", party_key})
+    h = _keep(h, {"order_id", "sales_date", "brand", "branch_id", party_key, *carry})
 
     p = equals(_window(party, as_of, rules), "party_type", rules.party_type)
     p = _keep(p, {party_key, "uf_target"})
 
     ln = _keep(_window(line, as_of, rules), {"order_id", "sku", "quantity", "branch_id"})
-
     it = _keep(items, {"item_id", "ean", "supplier_id"})
-    br = _keep(branches, {"branch_id", "cnpj"})
-
-    # The allow-list cuts the lines before the largest shuffle: line x item first (the items of a few
-    # suppliers), then the header.  A party keyed by order joins next, on the same key, so it reuses
-    # that partitioning; then the remaining dimensions.
     ln = ln.join(it, F.col("sku") == it["item_id"], "left")
     if rules.suppliers is not None:
         ln = ln.where(F.col("supplier_id").isin(list(rules.suppliers)))
+    return h, p, ln, _keep(branches, {"branch_id", "cnpj"})
+
+
+def sales_extract(header: DataFrame, party: DataFrame, line: DataFrame, items: DataFrame,
+                  branches: DataFrame, as_of: date | datetime,
+                  rules: SalesRules = SalesRules(), party_key: str = "order_id", carry: tuple = ()) -> DataFrame:
+    """One row per delivery party x order line of an admitted order; ``carry`` names header columns to add.
+
+    header JOIN party (type 'E') JOIN line, LEFT JOIN item (made inner by the
+    supplier allow-list, which rejects NULL), LEFT JOIN branch (a sale whose
+    branch is unknown keeps a NULL cnpj).  An order with several delivery
+    parties repeats its lines: the sum counts each.
+    """
+    h, p, ln, br = _filtered(header, party, line, items, branches, as_of, rules, party_key, carry)
+    # A party keyed by order joins right after the header, on the same key, so it reuses that partitioning;
+    # then the remaining dimensions.
     joined = h.join(ln, "order_id").join(p, party_key).join(br, "branch_id", "left")
-    return joined.select(*EXTRACT_COLUMNS)
+    return joined.select(*EXTRACT_COLUMNS, *carry)
+
+
+def sales_report_eager(header: DataFrame, party: DataFrame, line: DataFrame, items: DataFrame,
+                       branches: DataFrame, rng: DateRange, as_of: date | datetime,
+                       rules: SalesRules = SalesRules(), party_key: str = "order_id") -> DataFrame:
+    """``sales_report(sales_extract(...), rng)`` without making the rows of party x line.
+
+    Before they meet, lines are summed by order, item and branch, and parties are
+    counted by key and state; a sum then counts as often as there are parties
+    of a state.  An order with p parties and l lines makes states x items rows
+    instead of p x l, and both sides cross their shuffle already reduced.  The
+    report's range is a filter of the header, before any join.
+    """
+    h, p, ln, br = _filtered(header, party, line, items, branches, as_of, rules, party_key)
+    h = ts_range(h, "sales_date", rng)
+    on_line = [c for c in ("branch_id",) if c in ln.columns]
+    lines = (ln.groupBy("order_id", "sku", "ean", *on_line)
+             .agg(F.sum("quantity").alias("__quantity")))
+    parties = p.groupBy(party_key, "uf_target").agg(F.count(F.lit(1)).alias("__parties"))
+    joined = h.join(lines, "order_id").join(parties, party_key).join(br, "branch_id", "left")
+    return _summed(joined, F.col("__quantity") * F.col("__parties"))
 
 
 def sales_report(extract: DataFrame, rng: DateRange) -> DataFrame:
@@ -113,8 +141,11 @@ def sales_report(extract: DataFrame, rng: DateRange) -> DataFrame:
     over only NULL quantities reads as 0.0.  Brand codes are decoded after
     the aggregate (fewer rows to decode); an unknown code fails the job.
     """
-    kept = ts_range(extract, "sales_date", rng)
-    summed = kept.groupBy(*GROUP_KEYS).agg(F.coalesce(F.sum("quantity"), F.lit(0.0)).alias("quantity"))
+    return _summed(ts_range(extract, "sales_date", rng), F.col("quantity"))
+
+
+def _summed(rows: DataFrame, quantity: Column) -> DataFrame:
+    summed = rows.groupBy(*GROUP_KEYS).agg(F.coalesce(F.sum(quantity), F.lit(0.0)).alias("quantity"))
     return summed.select(
         F.col("cnpj").alias("warehouse_cnpj"),
         "uf_target",

@@ -55,21 +55,29 @@ class StockRules:
 
 
 def stock_extract(positions: DataFrame, branches: DataFrame, items: DataFrame,
-                  rules: StockRules = StockRules()) -> DataFrame:
+                  rules: StockRules = StockRules(), as_of: date | datetime | None = None) -> DataFrame:
     """positions JOIN branch JOIN item (allow-listed supplier), inner.
 
     The item join is on the item id alone and selects no item column: an
     existence test that, like the original, repeats a position once per
-    matching item row.  ``available`` is read leniently: text that is no
-    number becomes NULL instead of failing the job.
+    matching item row.  ``available`` and a text ``stock_date`` are read
+    leniently: text that is no number or no day becomes NULL instead of failing
+    the job, and a position without a day has no place in the calendar.
+
+    With ``as_of`` the positions are cut to the calendar of the snapshot first.
+    On text days text is compared, which prunes day partitions (in a metastore
+    too) where a cast of the column could not.
     """
-    pos = equals(positions, "id_cia", rules.company)
+    pos = positions
+    if as_of is not None:
+        pos = day_range(pos, "stock_date", DateRange(*calendar_bounds(as_of, rules.months_back)))
+    pos = equals(pos, "id_cia", rules.company)
     pos = equals(pos, "brand_group", rules.brand_group)
     br = branches.select("branch_id", "cnpj")
     it = in_list(items, "supplier_id", rules.suppliers).select(F.col("item_id").alias("__item"))
     joined = pos.join(br, "branch_id").join(it, F.col("sku") == F.col("__item"))
     return joined.select(
-        "sku", "cnpj", F.col("stock_date").cast("date").alias("stock_date"), "received_date",
+        "sku", "cnpj", F.col("stock_date").try_cast("date").alias("stock_date"), "received_date",
         to_double("available").alias("available"), "brand_group", "id_cia")
 
 

@@ -2,4 +2,4 @@
 
 from mercato.sinks.archive import archive_before  # noqa: F401
 from mercato.sinks.json_lines import to_json_lines, write_json_lines  # noqa: F401
-from mercato.sinks.snapshot import SnapshotStore  # noqa: F401
+from mercato.sinks.snapshot import SnapshotStore, days  # noqa: F401

@@ -2,4 +2,4 @@
 
 from mercato.sources.csv import read_csv, write_csv  # noqa: F401
 from mercato.sources.partitions import month_window  # noqa: F401
-from mercato.sources.tables import Tables, load_tables  # noqa: F401
+from mercato.sources.tables import Tables  # noqa: F401

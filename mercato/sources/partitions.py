@@ -37,3 +37,19 @@ def month_window(df: DataFrame, column: str, as_of: date | datetime, months_back
         nxt = minus_months(first, -1)
         first = date(nxt.year, nxt.month, 1)
     return df.where(col >= ts_literal(first, dtype))
+
+
+def write_month_partitions(df: DataFrame, ts_col: str, path: str, column: str = "load_part") -> None:
+    """Write a table as the lake lays its facts: one directory per ``yyyy-MM`` month of ``ts_col``.
+
+    Rows are rebalanced by month before the write, so a month gets files by its
+    bytes and not one of every task.
+    """
+    (df.withColumn(column, F.date_format(ts_col, "yyyy-MM")).hint("rebalance", column)
+     .write.partitionBy(column).parquet(path))
+
+
+def read_month_partitions(spark, path: str, columns: T.StructType, column: str = "load_part") -> DataFrame:
+    """Read such a table with the month as text, whatever Spark would infer from the directory names."""
+    schema = T.StructType([*[f for f in columns.fields if f.name != column], T.StructField(column, T.StringType())])
+    return spark.read.schema(schema).parquet(path)

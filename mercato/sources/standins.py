@@ -25,9 +25,13 @@ stock branch                           supplier on s_suppkey = user_id % 10
 stock item                             part on p_partkey = user_id
 =====================================  ==========================================
 
+A second set, ``filtered_*``, gives every filter and key of the reports a column with several
+values: approved, origin, company and load month (text ``yyyy-MM``) on the header; delivery and
+other parties, several to an order; two companies and departments in the item master; two
+companies of positions, with an EAN each.
+
 Identifiers keep their native (integer) types so joins stay on numeric keys.
-Projections are written as SQL expressions (one call into the JVM per table)
-and memoised per table set.
+Projections are written as SQL expressions (one call into the JVM per table).
 """
 
 from __future__ import annotations
@@ -49,6 +53,9 @@ STOCK_AS_OF = date(2024, 1, 30)
 SALES_RULES = SalesRules(statuses=("F", "O"), brands=("1", "2", "3"), approved=None, origin=None,
                          company=None, party_type=None, suppliers=STANDIN_SUPPLIERS,
                          months_back=7, inclusive=True)
+FILTERED_SALES_RULES = SalesRules(statuses=("F", "O"), suppliers=STANDIN_SUPPLIERS, months_back=40)
+FILTERED_SHIPMENT_RULES = ShipmentRules(status="F", suppliers=STANDIN_SUPPLIERS, months_back=80)
+FILTERED_STOCK_RULES = StockRules(company="1", brand_group="click", suppliers=STANDIN_SUPPLIERS)
 SHIPMENT_RULES = ShipmentRules(status="F", brands=("1", "29", "26"), suppliers=STANDIN_SUPPLIERS,
                                item_company="1", department="18", months_back=80, inclusive=False)
 STOCK_RULES = StockRules(company="1", brand_group=None, suppliers=STANDIN_SUPPLIERS, months_back=1)
@@ -58,7 +65,7 @@ def _customer_nation(t: Tables) -> DataFrame:
     return t["customer"].join(t["nation"], t["customer"]["c_nationkey"] == t["nation"]["n_nationkey"])
 
 
-def _sales_roles(t: Tables) -> dict[str, DataFrame]:
+def sales_roles(t: Tables) -> dict[str, DataFrame]:
     return {
         "header": t["orders"].selectExpr(
             "o_orderkey as order_id", "o_custkey as customer_id", "o_orderdate as sales_date",
@@ -72,11 +79,7 @@ def _sales_roles(t: Tables) -> dict[str, DataFrame]:
     }
 
 
-def sales_roles(t: Tables) -> dict[str, DataFrame]:
-    return t.derived("sales_roles", _sales_roles)
-
-
-def _shipment_roles(t: Tables) -> dict[str, DataFrame]:
+def shipment_roles(t: Tables) -> dict[str, DataFrame]:
     supplier_nation = t["supplier"].join(t["nation"], t["supplier"]["s_nationkey"] == t["nation"]["n_nationkey"])
     return {
         "header": t["orders"].selectExpr(
@@ -102,39 +105,79 @@ def _shipment_roles(t: Tables) -> dict[str, DataFrame]:
     }
 
 
-def shipment_roles(t: Tables) -> dict[str, DataFrame]:
-    return t.derived("shipment_roles", _shipment_roles)
-
-
-def _positions(t: Tables) -> DataFrame:
+def stock_positions(t: Tables) -> DataFrame:
     """The raw position table: one row per intra-day load."""
     return t["events"].selectExpr(
         "user_id as sku", "user_id % 10 as branch_id", "cast(ts as date) as stock_date",
         "ts as received_date", "value as available", "event_type as brand_group", "'1' as id_cia")
 
 
-def stock_positions(t: Tables) -> DataFrame:
-    return t.derived("stock_positions", _positions)
-
-
 def stock_items(t: Tables) -> DataFrame:
-    return t.derived("stock_items", lambda t: t["part"].selectExpr(
-        "p_partkey as item_id", "p_brand as supplier_id", "p_name as ean", "'1' as item_company"))
+    return t["part"].selectExpr(
+        "p_partkey as item_id", "p_brand as supplier_id", "p_name as ean", "'1' as item_company")
 
 
 def stock_roles(t: Tables) -> dict[str, DataFrame]:
     return {
         "positions": stock_positions(t),
-        "branches": t.derived("stock_branches", lambda t: t["supplier"].selectExpr(
-            "s_suppkey as branch_id", "s_name as cnpj")),
+        "branches": t["supplier"].selectExpr("s_suppkey as branch_id", "s_name as cnpj"),
         "items": stock_items(t),
     }
 
 
 def branch_positions(t: Tables) -> DataFrame:
     """Positions with their branch cnpj (no item filter): input of the single-operator queries."""
-    def build(t):
-        roles = stock_roles(t)
-        pos = roles["positions"].join(roles["branches"], "branch_id")
-        return pos.select("sku", "cnpj", "stock_date", "received_date", "available", "brand_group", "id_cia")
-    return t.derived("branch_positions", build)
+    roles = stock_roles(t)
+    pos = roles["positions"].join(roles["branches"], "branch_id")
+    return pos.select("sku", "cnpj", "stock_date", "received_date", "available", "brand_group", "id_cia")
+
+
+def filtered_sales_roles(t: Tables) -> dict[str, DataFrame]:
+    """Roles with a real column behind every filter; an order's parties are its customer and the suppliers of its lines."""
+    header = t["orders"].selectExpr(
+        "o_orderkey as order_id", "o_orderdate as sales_date", "substring(o_orderpriority, 1, 1) as brand",
+        "o_orderstatus as order_status", "if(o_totalprice >= 100000, 'S', 'N') as approved",
+        "if(o_custkey % 2 = 0, 'LJ', 'TV') as origin", "if(o_orderkey % 3 = 0, '2', '1') as company",
+        "date_format(o_orderdate, 'yyyy-MM') as load_part")
+    customer = t["orders"].join(_customer_nation(t), t["orders"]["o_custkey"] == t["customer"]["c_custkey"]).selectExpr(
+        "o_orderkey as order_id", "n_name as uf_target", "'E' as party_type")
+    sup = t["supplier"].join(t["nation"], t["supplier"]["s_nationkey"] == t["nation"]["n_nationkey"])
+    supplier = t["lineitem"].join(sup, t["lineitem"]["l_suppkey"] == t["supplier"]["s_suppkey"]).selectExpr(
+        "l_orderkey as order_id", "n_name as uf_target", "if(l_returnflag = 'R', 'E', 'C') as party_type")
+    base = sales_roles(t)
+    return {"header": header, "party": customer.unionByName(supplier), "line": base["line"],
+            "items": base["items"], "branches": base["branches"]}
+
+
+def filtered_shipment_roles(t: Tables) -> dict[str, DataFrame]:
+    """An item master of two companies and departments; load months as text."""
+    roles = shipment_roles(t)
+    part = t["part"]
+    master = part.selectExpr("p_partkey as item_id", "'1' as item_company", "if(p_partkey % 3 = 0, '20', '18') as department")
+    other = part.where("p_partkey % 2 = 0").selectExpr("p_partkey as item_id", "'2' as item_company", "'18' as department")
+    header = roles["header"].selectExpr("* except (load_part)", "date_format(sales_date, 'yyyy-MM') as load_part")
+    return {**roles, "header": header, "item_master": master.unionByName(other)}
+
+
+def filtered_stock_roles(t: Tables) -> dict[str, DataFrame]:
+    """Positions of two companies in as many branches as there are suppliers with a user of their number."""
+    positions = t["events"].selectExpr(
+        "user_id as sku", "user_id as branch_id", "cast(cast(ts as date) as string) as stock_date",
+        "ts as received_date", "cast(value as string) as available", "event_type as brand_group",
+        "cast(1 + event_id % 2 as string) as id_cia")
+    items = t["part"].selectExpr("p_partkey as item_id", "p_brand as supplier_id", "p_name as ean", "'1' as item_company")
+    other = t["part"].where("p_partkey % 2 = 0").selectExpr(
+        "p_partkey as item_id", "p_brand as supplier_id", "concat(p_name, ' (2)') as ean", "'2' as item_company")
+    return {"positions": positions, "items": items, "companies": items.unionByName(other),
+            "branches": stock_roles(t)["branches"]}
+
+
+def tied_positions(t: Tables) -> DataFrame:
+    """Positions of two companies that all tie on the load time of their day, with NULL and NaN among the quantities."""
+    positions = t["events"].selectExpr(
+        "user_id as sku", "user_id % 10 as branch_id", "cast(ts as date) as stock_date",
+        "cast(cast(ts as date) as timestamp_ntz) as received_date",
+        "case when event_id % 5 = 0 then null when event_id % 7 = 0 then double('nan') else value end as available",
+        "event_type as brand_group", "cast(event_id % 2 as string) as id_cia")
+    return positions.join(stock_roles(t)["branches"], "branch_id").select(
+        "sku", "cnpj", "stock_date", "received_date", "available", "brand_group", "id_cia")

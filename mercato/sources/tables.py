@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 from pyspark.sql import DataFrame, SparkSession
 
 # The driver's test tables.
@@ -25,7 +23,6 @@ class Tables:
         self.base = base.rstrip("/") if base else None
         self.refresh = refresh
         self._cache: dict[str, DataFrame] = {}
-        self._derived: dict[str, object] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._cache:
@@ -36,18 +33,3 @@ class Tables:
                     self.spark.catalog.refreshTable(name)
                 self._cache[name] = self.spark.table(name)
         return self._cache[name]
-
-    def derived(self, key: str, build):
-        """Memoised DataFrames derived from these tables (plans are immutable)."""
-        if key not in self._derived:
-            self._derived[key] = build(self)
-        return self._derived[key]
-
-    def preload(self, names: Iterable[str]) -> "Tables":
-        for name in names:
-            self[name]
-        return self
-
-
-def load_tables(spark: SparkSession, base: str | None = None, refresh: bool = False) -> Tables:
-    return Tables(spark, base, refresh)

@@ -33,11 +33,93 @@ def test_snapshot_builds_once_and_refresh_switches(spark):
     assert store.get("s", build(3)).count() == 3
     assert store.get("s", build(5)).count() == 3      # cached: not rebuilt
     assert calls == [3]
-    old = store.current_version("s")
+    old = store.record("s")
     assert store.refresh("s", build(7)).count() == 7
-    assert store.current_version("s") != old
+    assert store.versions("s") == [1, 2]
     assert store.get("s", build(9)).count() == 7
-    assert spark.read.parquet(old).count() == 3        # previous version still readable
+    assert store.read("s", old).count() == 3           # previous version still readable
+
+
+def test_writers_commit_in_order_of_their_commits_whatever_their_clocks(spark, monkeypatch):
+    """Two writers start from the same version; the second to commit loses the number, takes the next and is current."""
+    import time
+
+    root = unique_path(spark, "race")
+    ahead, behind = SnapshotStore(spark, root), SnapshotStore(spark, root)
+    ahead.refresh("s", lambda: spark.range(1))
+    slow, fast = ahead.write("s", spark.range(2)), behind.write("s", spark.range(3))
+    monkeypatch.setattr(time, "time", lambda: 4e9)
+    tries = []
+
+    def change(newest):
+        if not tries:                                  # between reading the newest record and putting its own
+            monkeypatch.setattr(time, "time", lambda: 1.0)
+            behind.commit("s", lambda _: fast)
+        tries.append(newest["version"])
+        return slow
+
+    assert ahead.commit("s", change)["version"] == 3
+    assert tries == [1, 2] and behind.versions("s") == [1, 2, 3]
+    assert behind.get("s", None).count() == 2 and behind.read("s", behind.record("s", 2)).count() == 3
+
+
+def test_a_taken_number_is_not_replaced(spark):
+    store = SnapshotStore(spark, unique_path(spark, "put"))
+    store.refresh("s", lambda: spark.range(1))
+    record = store.record("s")
+    assert not store._put("s", {**record, "paths": []})
+    assert store.record("s") == record
+
+
+def test_reader_during_a_refresh_sees_one_whole_version(spark):
+    store = SnapshotStore(spark, unique_path(spark, "whole"))
+    store.refresh("s", lambda: spark.range(4))
+    seen = []
+
+    def build():
+        seen.append(store.get("s", None).count())
+        return spark.range(9)
+
+    data = store.write("s", build())                   # written, not committed
+    seen.append(store.get("s", None).count())
+    store.commit("s", lambda _: data)
+    seen.append(store.get("s", None).count())
+    assert seen == [4, 4, 9]
+
+
+def test_failed_refresh_leaves_the_current_version(spark):
+    store = SnapshotStore(spark, unique_path(spark, "fails"))
+    store.refresh("s", lambda: spark.range(4))
+    bad = spark.range(3).select(F.raise_error(F.lit("broken")).cast("long").alias("id"))
+    try:
+        store.refresh("s", lambda: bad)
+    except Exception as err:  # noqa: BLE001
+        assert "broken" in str(err)
+    assert store.get("s", None).count() == 4 and store.versions("s") == [1]
+
+
+def test_retention_keeps_the_last_versions_and_their_data(spark):
+    store = SnapshotStore(spark, unique_path(spark, "keep"), keep=2)
+    for n in range(1, 5):
+        store.refresh("s", lambda: spark.range(n))
+    assert store.versions("s") == [3, 4]
+    assert [store.read("s", store.record("s", v)).count() for v in (3, 4)] == [3, 4]
+    data = store._path("s", "data")
+    assert len(store._files(data).listStatus(data)) == 2
+
+
+def test_day_layout_prunes_and_bounds_files(spark):
+    from mercato.sinks import days
+
+    store = SnapshotStore(spark, unique_path(spark, "days"))
+    df = spark.range(0, 4000, 1, 16).selectExpr("id", "timestamp_ntz'2024-01-01 08:00:00' + make_interval(0,0,0,cast(id % 10 as int)) as ts")
+    snap = store.refresh("s", lambda: df, "ts")
+    assert len(snap.inputFiles()) <= 20                 # ten days, whatever the number of input splits
+    cut = days(snap, date(2024, 1, 3), date(2024, 1, 4))
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(snapshot_day" in plan and "2024-01-03" in plan
+    assert cut.count() == 800 and cut.columns == ["id", "ts"]
+    assert sorted(days(spark.range(2), date(2024, 1, 1), date(2024, 1, 1)).collect()) == sorted(spark.range(2).collect())
 
 
 def test_json_lines_format(spark):

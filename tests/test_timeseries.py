@@ -5,7 +5,7 @@ from datetime import date, datetime, timedelta
 from pyspark.sql import functions as F
 
 from mercato.operators.timeseries import (
-    calendar, calendar_bounds, densify, densify_join, fill_calendar, forward_fill, latest_per_period,
+    calendar_bounds, calendar_of, densify, densify_join, fill_calendar, forward_fill, latest_per_period,
 )
 from mercato.plans.stock import (
     FILL_KEYS, FILL_ORDER, GRID_KEYS, PERIOD_KEYS, STOCK_COLUMNS, latest_stock, stock_grid,
@@ -67,9 +67,10 @@ def test_latest_output_columns(spark):
 
 
 def test_calendar_has_31_days(spark):
-    days = [r.stock_date for r in calendar(spark, TODAY).collect()]
+    df = frame(spark, [("1", "1", TODAY, NOW, 1.0, "1", "1"), ("1", "1", d(-3), NOW, 1.0, "1", "1")])
+    days = [r.stock_date for r in calendar_of(df, "stock_date").collect()]
     assert len(days) == 31 and days[0] == d(-30) and days[-1] == TODAY
-    assert len(calendar(spark, TODAY, months_back=2).collect()) == 61
+    assert len(calendar_of(df, "stock_date", months_back=2).collect()) == 61
     assert calendar_bounds(datetime(2024, 1, 30, 23, 0)) == (d(-30), TODAY)
 
 
