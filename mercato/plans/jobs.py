@@ -3,8 +3,8 @@
 The original service ran them from an in-process timer (sales 01:00,
 archive 01:05, stock 01:10, shipments 01:20); here they are plain functions
 a scheduler calls.  Extracts are rebuilt from fresh table listings and
-written as new snapshot versions; readers keep the previous version until
-the pointer switches, and nothing is collected to the driver.
+written as new snapshot versions laid out by day; readers keep the previous
+version until the new one is committed, and no row reaches the driver.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from mercato.sources import lake
 
 # The snapshots the daily job refreshes; items first, as the stock report joins them.
 REFRESHED = ("items", "sales", "stock", "shipments")
+# The column whose day a snapshot is laid out by: the one that its report's range is on.
+DAY_COLUMNS = {"sales": "sales_date", "shipments": "sales_date", "stock": "stock_date"}
 
 
 def lake_builders(spark: SparkSession, as_of: date | datetime,
@@ -58,7 +60,7 @@ def lake_builders(spark: SparkSession, as_of: date | datetime,
 def refresh_snapshots(store: SnapshotStore, builders: dict[str, Callable[[], DataFrame]],
                       names: Iterable[str] = REFRESHED) -> dict[str, DataFrame]:
     """Rebuild each named snapshot into a new version and switch to it."""
-    return {name: store.refresh(name, builders[name]) for name in names}
+    return {name: store.refresh(name, builders[name], DAY_COLUMNS.get(name)) for name in names}
 
 
 def archive_positions(positions: DataFrame, today: date, target: str, is_table: bool = False,

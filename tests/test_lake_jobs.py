@@ -179,3 +179,81 @@ def test_report_service_requests(spark):
     assert text.startswith('{"warehouseCnpj":"00123456000199","ufTarget":"SP","brand":"SHOP","salesDate":"2024-03-10"')
     refreshed = svc.refresh()
     assert set(refreshed) == {"items", "sales", "stock", "shipments"}
+
+
+def test_service_takes_the_moment_per_call(spark):
+    from mercato.plans.service import ReportService
+
+    _views(spark)
+    svc = ReportService(spark, store=SnapshotStore(spark, unique_path(spark, "moments")), umbrella=None, wms=None)
+    assert [r.quantity for r in svc.sales("2024-03-01", "2024-03-15", as_of=AS_OF).collect()] == [8.0]
+    import pytest
+    with pytest.raises(ValueError, match="older than 1 month"):
+        svc.sales("2024-03-01", "2024-03-15")                       # by the clock of the call
+    svc.refresh(["sales"], as_of=datetime(2024, 8, 1))             # no load month of March is in that window
+    assert svc.sales("2024-03-01", "2024-03-15", as_of=AS_OF).count() == 0
+
+
+def test_service_items_months_back_half_open_and_incremental(spark):
+    from mercato.plans.service import ReportService
+
+    _views(spark)
+    svc = ReportService(spark, as_of=AS_OF, store=SnapshotStore(spark, unique_path(spark, "wide"), keep=2), umbrella=None,
+                        wms=None, months_back=4, half_open=True, incremental=True)
+    items = svc.items()
+    assert "iteg_extra" in items.columns and items.count() == 1
+    assert svc.items(json=True).first().json.startswith('{"iteg_id":"0042"')
+    both = sorted((r.brand, r.quantity) for r in svc.sales("2024-03-01", "2024-03-15").collect())
+    assert both == [("ACOM", 1.0), ("SHOP", 8.0)]                   # order 101, loaded in January, is within four months
+    refreshed = svc.refresh(["sales"])["sales"]
+    assert refreshed.count() == 3 and svc.store.record("sales")["source"]["built"] == ["2024-01", "2024-03"]
+    version = svc.store.record("sales")["version"]
+    svc.refresh(["sales"])
+    assert svc.store.record("sales")["version"] == version          # nothing changed
+    assert sorted((r.brand, r.quantity) for r in svc.sales("2024-03-01", "2024-03-15").collect()) == both
+
+
+def test_report_requests_read_the_days_of_their_range(spark):
+    from mercato.plans.service import ReportService
+
+    _views(spark)
+    svc = ReportService(spark, as_of=AS_OF, store=SnapshotStore(spark, unique_path(spark, "pruned")), umbrella=None, wms=None)
+    plan = svc.stock("2024-03-18", "2024-03-19")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(snapshot_day" in plan and "2024-03-18" in plan
+    plan = svc.sales("2024-03-01", "2024-03-15")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(snapshot_day" in plan
+
+
+def test_refresh_makes_files_added_behind_the_catalog_visible(spark):
+    """A file table of Spark's own catalog keeps its listing; only the refreshed read sees new files."""
+    spec = ("listing_test", {"order_id": "order_id"})
+    path = unique_path(spark, "listing")
+    spark.range(3).selectExpr("id as order_id").write.parquet(path)
+    spark.sql("drop table if exists listing_test")
+    spark.sql(f"create table listing_test (order_id long) using parquet location '{path}'")
+    try:
+        assert lake.read_role(spark, None, spec, False).count() == 3
+        spark.range(4).selectExpr("id + 10 as order_id").write.parquet(f"{path}.more")
+        from_files, to = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.more"), spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = to.getFileSystem(spark._jsc.hadoopConfiguration())
+        for f in files.listStatus(from_files):                      # moved by the file system: Spark is not told
+            if f.getPath().getName().startswith("part-"):
+                files.rename(f.getPath(), spark._jvm.org.apache.hadoop.fs.Path(to, f.getPath().getName()))
+        assert lake.read_role(spark, None, spec, False).count() == 3
+        assert lake.read_role(spark, None, spec, True).count() == 7
+    finally:
+        spark.sql("drop table listing_test")
+
+
+def test_malformed_text_day_fails_no_job(spark):
+    _views(spark)
+    spark.createDataFrame(
+        [("0042", "7", "2024-03-18", datetime(2024, 3, 18, 9), "12", "1", "1"),
+         ("0042", "7", "2024-03-1x", datetime(2024, 3, 18, 9), "13", "1", "1"),
+         ("0042", "7", "unknown", datetime(2024, 3, 19, 9), "20", "1", "1")],
+        "id_item string, id_filial string, partition_date string, load_timestamp timestamp_ntz, "
+        "qtde_disponivel string, id_agrup_valorizacao string, id_cia string").createOrReplaceTempView(
+        "umbrella_posicao_estoque")
+    snap = lake_builders(spark, datetime(2024, 3, 20), umbrella=None, wms=None)["stock"]()
+    assert sorted((str(r.stock_date), r.available) for r in snap.collect()) == [
+        ("2024-03-18", 12.0), ("2024-03-19", 12.0), ("2024-03-20", 12.0)]

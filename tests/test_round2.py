@@ -23,7 +23,9 @@ def test_snapshot_keeps_every_company(spark):
 def test_items_are_refreshed_first(spark, tmp_path):
     assert REFRESHED[0] == "items"
     store, seen = SnapshotStore(spark, str(tmp_path / "store")), [1]
-    builders = {n: (lambda: spark.createDataFrame([(i,) for i in seen], "item_id int")) for n in REFRESHED}
+    day = date(2024, 1, 10)
+    builders = {n: (lambda: spark.createDataFrame([(i, day, day) for i in seen], "item_id int, sales_date date, stock_date date"))
+                for n in REFRESHED}
     refresh_snapshots(store, builders)
     seen.append(2)
     refresh_snapshots(store, builders)

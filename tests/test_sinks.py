@@ -1,3 +1,4 @@
+import threading
 from datetime import date, datetime
 
 from pyspark.sql import functions as F
@@ -138,6 +139,35 @@ def test_csv_keeps_leading_zeros(spark):
     assert sorted(back.collect(), key=lambda r: r.cnpj) == sorted(df.collect(), key=lambda r: r.cnpj)
 
 
+def test_session_settings():
+    from mercato.session import session_settings
+
+    plain, hive = session_settings("yarn"), session_settings("yarn", hive=True, extra={"spark.x": 1})
+    assert "spark.sql.catalogImplementation" not in plain and "spark.driver.memory" not in plain
+    assert hive["spark.sql.catalogImplementation"] == "hive" and hive["spark.x"] == "1"
+    assert hive["spark.hadoop.hive.exec.dynamic.partition.mode"] == "nonstrict"
+    assert plain["spark.ui.enabled"] == "false" and session_settings(shuffle_partitions=7)["spark.sql.shuffle.partitions"] == "7"
+
+
+def test_scratch_dir_on_a_cluster():
+    import warnings
+    from types import SimpleNamespace
+
+    import pytest
+
+    def session(master, folder):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: None)
+        return SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default=None: folder))
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch_dir(session("yarn", None))
+    with pytest.warns(UserWarning, match="every machine"):
+        scratch_dir(session("yarn", "file:///mnt/shared"))
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        assert scratch_dir(session("yarn", "hdfs://nn/shared/")) == "hdfs://nn/shared"
+
+
 def test_scratch_dir_reads_session_setting(spark):
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     assert scratch_dir(spark) == configured.rstrip("/")
@@ -150,8 +180,21 @@ def test_archive_into_catalog_table(spark):
     spark.createDataFrame([(1, date(2024, 1, 1)), (2, date(2024, 1, 2))], day).write.partitionBy("d").saveAsTable(table)
     second = spark.createDataFrame([(20, date(2024, 1, 2)), (30, date(2024, 1, 3)), (40, date(2024, 1, 4))], day)
     mode_before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    seen, done = set(), threading.Event()
+
+    def watch():                                        # what a write at the same time would find
+        while not done.is_set():
+            seen.add(spark.conf.get("spark.sql.sources.partitionOverwriteMode"))
+
+    other = threading.Thread(target=watch)
+    other.start()
     archive_before(second, "d", date(2024, 1, 4), table, is_table=True)
+    done.set()
+    other.join()
     got = sorted((r.d, r.v) for r in spark.table(table).collect())
     assert got == [(date(2024, 1, 1), 1), (date(2024, 1, 2), 20), (date(2024, 1, 3), 30)]
-    assert spark.conf.get("spark.sql.sources.partitionOverwriteMode") == mode_before
+    assert seen == {mode_before} and mode_before.lower() == "static"
+    # an overwrite of the caller's own session still replaces the whole table
+    spark.createDataFrame([(9, date(2024, 1, 9))], day).write.insertInto(table, overwrite=True)
+    assert [(r.d, r.v) for r in spark.table(table).collect()] == [(date(2024, 1, 9), 9)]
     spark.sql(f"drop table {table}")
