@@ -1,0 +1,93 @@
+"""Over tables where every filter column has several values, switching any filter or key off changes the rows."""
+
+from dataclasses import replace
+
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as E
+from mercato.params import validate_dates
+from mercato.plans.sales import sales_extract, sales_report, sales_report_eager
+from mercato.plans.shipments import shipments_extract
+from mercato.plans.stock import stock_extract, stock_report, stock_snapshot
+from mercato.sources import standins as S
+from mercato.sources.tables import Tables
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def tables(spark):
+    return Tables(spark, SF)
+
+
+def count(df):
+    return df.count()
+
+
+@pytest.mark.parametrize("off", ["statuses", "brands", "approved", "origin", "company", "party_type", "suppliers", "months_back"])
+def test_sales_filters(tables, off):
+    r = S.filtered_sales_roles(tables)
+    args = [r[t] for t in ("header", "party", "line", "items", "branches")]
+    rules = S.FILTERED_SALES_RULES
+    kept = count(sales_extract(*args, S.SALES_AS_OF, rules))
+    assert 0 < kept < count(sales_extract(*args, S.SALES_AS_OF, replace(rules, **{off: None})))
+
+
+@pytest.mark.parametrize("off", ["status", "brands", "suppliers", "item_company", "department", "months_back"])
+def test_shipment_filters(tables, off):
+    r = S.filtered_shipment_roles(tables)
+    args = [r[t] for t in ("header", "plants", "labels", "lines", "wms_items", "eans", "serials", "item_master")]
+    rules = replace(S.FILTERED_SHIPMENT_RULES, months_back=30)
+    run = lambda rules: count(shipments_extract(*args, S.SALES_AS_OF, rules, label_key="customer_id"))
+    assert run(rules) < run(replace(rules, **{off: None}))
+
+
+@pytest.mark.parametrize("off", ["company", "brand_group", "suppliers"])
+def test_stock_filters(tables, off):
+    r = S.filtered_stock_roles(tables)
+    run = lambda rules: count(stock_extract(r["positions"], r["branches"], r["items"], rules, S.STOCK_AS_OF))
+    assert 0 < run(S.FILTERED_STOCK_RULES) < run(replace(S.FILTERED_STOCK_RULES, **{off: None}))
+
+
+def test_the_second_item_key_decides(tables):
+    """Without the company in the join, a position would pair with the other company's EAN too."""
+    r = S.filtered_stock_roles(tables)
+    extract = stock_extract(r["positions"], r["branches"], r["items"], replace(S.FILTERED_STOCK_RULES, company=None, brand_group=None))
+    snapshot, rng = stock_snapshot(extract, S.STOCK_AS_OF), validate_dates("2024-01-01", "2024-01-30", skip_max_period=True)
+    by_both = stock_report(snapshot, r["companies"], rng)
+    by_item = stock_report(snapshot.withColumn("id_cia", F.lit("1")), r["companies"].withColumn("item_company", F.lit("1")), rng)
+    assert 0 < by_both.where("ean like '% (2)'").count() < by_item.where("ean like '% (2)'").count()
+
+
+def test_inclusive_and_exclusive_month_differ(spark):
+    inclusive, exclusive = (E.queries()[f"month_window_text_{k}"](spark, SF) for k in ("inclusive", "exclusive"))
+    assert inclusive.where("load_part = '2001-01'").count() > 0 == exclusive.where("load_part = '2001-01'").count()
+    for df in (inclusive, exclusive):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(load_part" in plan and "2001-01" in plan
+
+
+def test_eager_report_reduces_both_sides_before_they_meet(spark, tables):
+    """Equal to the plain form; lines and parties are aggregated below the join that multiplies them."""
+    r = S.filtered_sales_roles(tables)
+    args = [r[t] for t in ("header", "party", "line", "items", "branches")]
+    rng = validate_dates("1999-01-01", "2001-06-30", skip_max_period=True)
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        eager = sales_report_eager(*args, rng, S.SALES_AS_OF, S.FILTERED_SALES_RULES)
+        lines = eager._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+    at = next(i for i, line in enumerate(lines) if "partial_count(1)" in line)      # parties: counted, moved, joined
+    assert "Exchange hashpartitioning(order_id" in lines[at - 1] and "functions=[count(1)]" in lines[at - 2]
+    at = next(i for i, line in enumerate(lines) if "partial_sum(quantity" in line)  # lines: summed before they move to their order
+    assert any("Exchange hashpartitioning(order_id" in line for line in lines[at - 3:at])
+    plain = sales_report(sales_extract(*args, S.SALES_AS_OF, S.FILTERED_SALES_RULES), rng)
+    rows = lambda df: sorted(map(repr, df.select(*plain.columns).collect()))
+    assert rows(eager) == rows(plain) != []
