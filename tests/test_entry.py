@@ -57,3 +57,28 @@ def test_query_types_match_oracle(spark, duck, name):
                    for f in E.queries()[name](spark, SF).schema.fields}
     rel = duck.sql(E.oracle_sql()[name])
     assert spark_types == {c: str(t) for c, t in zip(rel.columns, rel.types)}
+
+
+def test_without_the_corpus_subpackage(tmp_path):
+    """Left out with its pipeline, the rest imports and keeps its queries; a broken import inside it is not hidden."""
+    import shutil
+    import subprocess
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as E; print(len(E.queries()), 'sales_report' in E.queries())"
+
+    def run(folder):
+        return subprocess.run([sys.executable, "-c", code], cwd=folder, capture_output=True, text=True, timeout=120)
+
+    bare = tmp_path / "bare"
+    shutil.copytree(os.path.join(root, "mercato"), bare / "mercato", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(os.path.join(root, "__spark_entry__.py"), bare)
+    from mercato.plans.registry import QUERIES
+    assert run(bare).stdout.split() == [str(len(QUERIES)), "True"]
+
+    broken = tmp_path / "broken"
+    shutil.copytree(bare, broken)
+    (broken / "corpus_pipeline.py").write_text("import mercato.llm.nothing_there\n")
+    os.makedirs(broken / "mercato" / "llm")
+    (broken / "mercato" / "llm" / "__init__.py").write_text("")
+    assert "nothing_there" in run(broken).stderr
