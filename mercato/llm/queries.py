@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from mercato.llm import (
     decontaminate, embedding_neardup, filter_audit, html_wrapper, langid, minhash, mixing, onebit_search, sharding, suffix_dedup,
     token_planes, toxicity, turn_repair,
@@ -101,7 +100,6 @@ def op13_failing_id_audit(spark, sf_dir) -> DataFrame:
 
 
 QUERIES = {
-    "pipeline": corpus_pipeline.run,
     "op1_pigeonhole_join": op1_pigeonhole_join,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_plane_tokens": op3_plane_tokens,
