@@ -12,7 +12,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from mercato.llm import filter_audit, onebit_search, turn_repair
+from mercato.llm import embedding_neardup, filter_audit, onebit_search, turn_repair
 from mercato.llm.common import ship_package
 from mercato.llm.queries import ORACLES, QUERIES
 
@@ -108,6 +108,29 @@ def test_error_bound_holds_and_selects():
     assert (guess + p.sure * spread >= kth[:, None]).mean() < 0.2
 
 
+def test_embedding_links_of_extreme_components_and_repeated_ids(spark):
+    """Vectors whose squares over- or underflow link like any other; null, repeated ids and columns of clashing names."""
+    rows = [(1, [1e200, 1.0, 0.0]), (2, [1e200, 2.0, 0.0]), (3, [1e-200, 0.0, 0.0]), (4, [0.0, 5e-324, 0.0]), (5, [0.0, 1.0, 1e-9]),
+            (6, [0.0, 0.0, 1.0]), (6, [0.0, 0.0, 2.0]), (None, [0.0, 0.0, 1.0]), (7, [0.0, 0.0, 0.0]), (8, None)]
+    df = spark.createDataFrame([(i, v, "a", "b", "c") for i, v in rows],
+                               "vec_id long, embedding array<double>, cid string, raw string, cell string")
+    found = embedding_neardup.near_duplicates(df).collect()
+    assert sorted((r["id"], r["n_links"], r["component_id"]) for r in found if r["id"] is not None) == [
+        (1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 1, 4), (5, 1, 4), (6, 1, 6), (6, 1, 6), (7, 0, 7), (8, 0, 8)]
+    assert [(r["n_links"], r["component_id"]) for r in found if r["id"] is None] == [(0, None)]
+
+
+def test_cells_of_a_vector_do_not_grow_with_the_table(spark):
+    rng = np.random.default_rng(3)
+
+    def rows_per_vector(n):
+        made = [(i, 1, v.astype("<f4").tobytes()) for i, v in enumerate(rng.standard_normal((n, 64)))]
+        classes = spark.createDataFrame(made, "cid long, count long, raw binary")
+        return embedding_neardup._cells(classes, "<f4", embedding_neardup.Params()).count() / n
+
+    assert abs(rows_per_vector(500) - rows_per_vector(4000)) < 0.5 and rows_per_vector(1000) < 12
+
+
 # ------------------------------------------------------------------ 12: conversations
 
 CONV = "conv_id long, turn long, role string, text string, seg string, no string, kind string, w string, pos string"
