@@ -11,7 +11,8 @@ shards splits all quotas: at each node the left shards' part is one draw from
 the multivariate hypergeometric distribution, so every shard gets the number of
 blocks due to it, and its mix of sources is that of drawing blocks without
 replacement.  A shard then takes disjoint runs of each source's permuted
-blocks, and its rows are shuffled by a hash inside the shard.
+blocks, and its rows are shuffled by a hash inside the shard.  What is drawn is
+what lies in a block that the tree has handed to a shard, and nothing else.
 """
 
 from __future__ import annotations
@@ -218,6 +219,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     block = F.col("copy") * F.col("pass_blocks") + in_pass
     draws = (copy.join(F.broadcast(tree), "source_no").withColumn("_at", (block * F.col("step")) % F.col("quota"))
              .withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("_at"))))
+            .where(F.col("shard") < p.shards)       # blocks past the last end are handed to nobody
              .select("source_no", "slot", "id", "size", "copy", "shard",
                      F.xxhash64(F.lit(p.seed + 1), "source_no", "slot", "copy").alias("local_order")))
     return Mix(plan.drop("whole", "no"), draws)
+
+
+def in_places(draws: DataFrame) -> DataFrame:
+    """``draws`` with ``place``: the number of a row inside its shuffled shard, gapless from 0."""
+    return numbered(draws, ["shard"], ["local_order", "source_no", "slot", "copy"], number="place", name="places")

@@ -75,12 +75,14 @@ def op6_karmarkar_karp(spark, sf_dir) -> DataFrame:
 
 
 def op10_hypergeometric_mix(spark, sf_dir) -> DataFrame:
-    """Words that the mix takes of each document."""
+    """Words that the mix takes of each document, and the shard and place of every copy taken."""
     mix = mixing.mix(table(spark, sf_dir, "documents"))
-    drawn = mix.draws.groupBy("source_no", "slot").agg(F.sum("size").alias("taken"))
+    drawn = mixing.in_places(mix.draws).groupBy("source_no", "slot").agg(
+        F.sum("size").alias("taken"), F.array_sort(F.collect_list(F.struct("shard", "place"))).alias("places"))
     return (mix.plan.join(drawn, ["source_no", "slot"], "left")
             .select(F.col("id").alias("doc_id"), "size", "source_size", "target",
-                    F.coalesce("taken", F.lit(0)).cast("long").alias("taken")))
+                    F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
+                    F.coalesce("places", F.array().cast("array<struct<shard:int,place:bigint>>")).alias("places")))
 
 
 def op11_rotated_onebit_search(spark, sf_dir) -> DataFrame:

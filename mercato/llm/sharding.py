@@ -16,7 +16,7 @@ leaves over is a few bytes.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -26,6 +26,7 @@ from mercato.llm.common import numbered, stored
 
 #: Fixed value: bytes that a row takes besides its text.
 ROW_BYTES = 8
+COLUMNS = ("id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 HEAVY_GROUPS = 4096
 BLOCK_GROUPS = 4096
 
@@ -106,18 +107,22 @@ def text_bytes(text: str) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + F.lit(ROW_BYTES)
 
 
-def shard_rows(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, size, text_crc32, law, shard, slot, grown_shard) for every row of ``docs``.
+def shard_rows(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text",
+               keep: Sequence[str] = ()) -> DataFrame:
+    """(id, size, text_crc32, law, shard, slot, grown_shard) for every row of ``docs``, then its columns in ``keep``.
 
     Null texts form one group of their own, apart from the empty texts; null
     and repeated ids are rows like any other.  Slots number a shard's rows by
-    id.  An empty table gives no rows.
+    id.  An empty table gives no rows.  Rows come in order of shard and slot.
     """
     text = F.col(text_col)
-    rows = stored(docs.select(
+    rows = docs.select(
         F.col(id_col).alias("id"), text_bytes(text_col).alias("size"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
-        F.coalesce(F.unhex(F.md5(text.cast("binary"))), F.lit(b"").cast("binary")).alias("key")), "sized")
+        F.coalesce(F.unhex(F.md5(text.cast("binary"))), F.lit(b"").cast("binary")).alias("key"),
+        *([F.struct(*[F.col(c) for c in keep]).alias("kept")] if keep else []))
+    if not keep:
+        rows = stored(rows, "sized")
     groups = stored(rows.groupBy("key").agg(F.sum("size").alias("bytes")), "groups")
     heavy = [(bytes(r["key"]), r["bytes"]) for r in
              groups.orderBy(F.col("bytes").desc(), "key").limit(HEAVY_GROUPS).collect()]
@@ -134,4 +139,4 @@ def shard_rows(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_c
     placed = stored(placed, "placed")
     out = numbered(rows.join(placed, "key").drop("key"), ["shard"], ["id", "text_crc32", "size"], name="slots")
     return out.select("id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
-                      F.lit(None).cast("int").alias("grown_shard"))
+                      F.lit(None).cast("int").alias("grown_shard"), *(["kept.*"] if keep else []))

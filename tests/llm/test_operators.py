@@ -254,6 +254,29 @@ def test_mix_reaches_targets(spark):
     assert key(again.draws.collect()) == key(draws)
 
 
+def test_what_the_tree_hands_out_is_what_is_drawn(spark, monkeypatch):
+    """The splitting tree decides the result: blocks that it does not hand out are not taken."""
+    rows = [(i, t) for i, t in documents() if len(t or "") < 5000]
+    p = mixing.Params(block_rows=4, shards=5)
+    whole = mixing.mix(frame(spark, rows), p=p)
+    split, plan = mixing.split_quotas, whole.plan.agg({"copies": "sum"}).first()[0]
+    assert whole.draws.count() == plan
+
+    def less(quotas, shards, seed):
+        shares = split(quotas, shards, seed)
+        shares[:, -1] = 0                                # the last shard's blocks are not handed out
+        return shares
+
+    monkeypatch.setattr(mixing, "split_quotas", less)
+    draws = mixing.mix(frame(spark, rows), p=p).draws
+    assert draws.count() < plan and draws.where("shard >= 4").count() == 0
+    monkeypatch.undo()
+    places = mixing.in_places(whole.draws).collect()
+    for s in range(5):
+        mine = sorted((r["local_order"], r["source_no"], r["slot"], r["copy"], r["place"]) for r in places if r["shard"] == s)
+        assert [r[-1] for r in mine] == list(range(len(mine)))
+
+
 def test_mix_fills_the_rest_around_long_texts(spark):
     # Sources of one long text and many short ones: the rest is met in every order, and spread over the shards.
     rows = [(1000 * i + j, "w " * (6000 if j == 0 else 10), f"s{i}") for i in range(6) for j in range(601)]
@@ -438,6 +461,27 @@ def test_pipeline_stages_keep_columns(spark):
     assert kept.columns == docs.columns and {r[0] for r in kept.collect()} == set(range(40))
     mixed = corpus_pipeline.mix_sources(spark, kept, "")
     assert mixed.columns == docs.columns
+    made = corpus_pipeline.shard(spark, mixed, "")
+    assert set(made.columns) == {*docs.columns, "size", "text_crc32", "law", "shard", "slot", "grown_shard"}
+    got = made.collect()
+    assert Counter((r["doc_id"], r["text"], r["source"]) for r in got) == Counter((r["doc_id"], r["text"], r["source"]) for r in mixed.collect())
+    assert all(r["text_crc32"] == zlib.crc32((r["text"] or "").encode()) for r in got)
+
+
+def test_pipeline_with_columns_of_clashing_names(spark):
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    rows = [(i, words(rng, 30, 900).replace("w", "ab"), f"s{i % 3}", 1, "en", "l", "m", "r", "o", "q") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size long, lang string, _lang string, _matches string, _row string, "
+                                       "__order string, kept string")
+    told = corpus_pipeline.language_id(spark, docs, "")
+    mixed = corpus_pipeline.mix_sources(spark, told, "")
+    bench = spark.createDataFrame([], "item_id long, text string")
+    clean = corpus_pipeline.decontaminate.annotate(mixed, bench, out=corpus_pipeline.unused(mixed, "matches")[0])
+    assert set(mixed.columns) < set(clean.columns)
+    got = {tuple(r) for r in mixed.collect()}
+    assert got and got <= set(rows)
     assert corpus_pipeline.shard(spark, mixed, "").count() == mixed.count()
 
 
