@@ -18,10 +18,9 @@ MIN_LANGUAGE_SCORE = 0.05
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents whose language can be told."""
     ship_package(spark)
-    columns = docs.columns
-    prototypes = langid.fit(docs)
-    told = langid.classify(docs, prototypes, out_lang="_lang", out_score="_score")
-    return told.where((F.col("_lang") != langid.UNDETERMINED) & (F.col("_score") >= MIN_LANGUAGE_SCORE)).select(*columns)
+    lang, score = unused(docs, "lang", "score")
+    told = langid.classify(docs, langid.fit(docs), out_lang=lang, out_score=score)
+    return told.where((F.col(lang) != langid.UNDETERMINED) & (F.col(score) >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,34 +32,49 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that hold a passage of the benchmark."""
-    marked = decontaminate.annotate(docs, table(spark, sf_dir, "benchmark"), out="_matches")
-    return marked.where(F.size("_matches") == 0).select(*docs.columns)
+    (matches,) = unused(docs, "matches")
+    marked = decontaminate.annotate(docs, table(spark, sf_dir, "benchmark"), out=matches)
+    return marked.where(F.size(matches) == 0).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mix the sources to their target weights: a document appears as often as the mix takes it.
+    """Mix the sources to their target weights: a document appears as often as the mix draws it.
 
+    Rows come shard after shard in the shuffled order that the mix gives them.
     Every row is a document of its own, also with a null or repeated id: rows
     are found again by a hash of 128 bits of all columns.  Rows equal in all
     columns are drawn one by one, and which of them a draw means is all the same.
     """
     ship_package(spark)
+    row, shard_, order = unused(docs, "row", "shard", "order")
     # Hashes pass over nulls, so where they stand is hashed too.
     held = [*[F.col(c).isNull() for c in docs.columns], *docs.columns]
-    row = F.struct(F.xxhash64(F.lit(1), *held).alias("a"), F.xxhash64(F.lit(2), *held).alias("b"))
-    keyed = docs.withColumn("_row", row)
-    mix = mixing.mix(keyed, id_col="_row")
-    taken = mix.draws.select(F.col("id").alias("_row"), "copy")
-    equal = stored(mix.plan.groupBy(F.col("id").alias("_row")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_row"), "equal")
-    alone = keyed.join(equal, "_row", "left_anti")
-    once = keyed.join(equal, "_row", "left_semi").dropDuplicates(["_row"])
-    return alone.unionByName(once).join(taken, "_row").select(*docs.columns)
+    keyed = docs.withColumn(row, F.struct(F.xxhash64(F.lit(1), *held).alias("a"), F.xxhash64(F.lit(2), *held).alias("b")))
+    mix = mixing.mix(keyed, id_col=row)
+    drawn = mix.draws.select(F.col("id").alias(row), F.col("shard").alias(shard_), F.col("local_order").alias(order))
+    equal = stored(mix.plan.groupBy(F.col("id").alias(row)).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(row), "equal")
+    alone = keyed.join(equal, row, "left_anti")
+    once = keyed.join(equal, row, "left_semi").dropDuplicates([row])
+    return (alone.unionByName(once).join(drawn, row).repartitionByRange(shard_, order)
+            .sortWithinPartitions(shard_, order).select(*docs.columns))
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shard and slot of every row; equal texts share a shard."""
+    """The training text in shards: what sharding says of every row, and the row's other columns; equal texts share a shard.
+
+    Columns of the documents that are named like one of sharding's give way to it.
+    """
     ship_package(spark)
-    return sharding.shard_rows(docs).withColumnRenamed("id", "doc_id")
+    made = ("doc_id", *sharding.COLUMNS)
+    return sharding.shard_rows(docs, keep=[c for c in docs.columns if c.lower() not in made]).withColumnRenamed("id", "doc_id")
+
+
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """Column names that the table does not have."""
+    mark = "_"
+    while any(c.lower().startswith(mark) for c in docs.columns):
+        mark += "_"
+    return [mark + name for name in names]
 
 
 STAGES = [
