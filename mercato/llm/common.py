@@ -83,11 +83,13 @@ def numbered(df: DataFrame, group: list[str], order: list, weight: str | None =
     tasks; each task's rows are numbered where they lie, and the totals of the
     (task, group) pieces before them are added from a table of one row per
     piece (at most partitions + groups rows).  ``order`` has to tell all rows
-    of a group apart for the numbers to be the same on a rerun.
+    of a group apart for the numbers to be the same on a rerun.  Without
+    ``order`` rows are numbered in the tasks that hold them, unmoved.
     """
     keys = [F.col(c) for c in group]
-    laid = stored(df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
-                  .withColumn("_row", F.monotonically_increasing_id()), name)
+    if order:
+        df = df.repartitionByRange(*keys, *order)
+    laid = stored(df.sortWithinPartitions(*keys, *order).withColumn("_row", F.monotonically_increasing_id()), name)
     # monotonically_increasing_id: the partition's number above bit 33, the row's below.
     laid = laid.withColumn("_part", F.shiftright("_row", 33))
     total = F.sum(weight).cast("long") if weight else F.lit(0).cast("long")

@@ -113,7 +113,8 @@ def shard_rows(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_c
 
     Null texts form one group of their own, apart from the empty texts; null
     and repeated ids are rows like any other.  Slots number a shard's rows by
-    id.  An empty table gives no rows.  Rows come in order of shard and slot.
+    id, or with ``keep``, which moves whole rows only once, in no set order.  An
+    empty table gives no rows.
     """
     text = F.col(text_col)
     rows = docs.select(
@@ -137,6 +138,6 @@ def shard_rows(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_c
         if rest:
             placed = placed.unionByName(_fill(lighter, shards, base, rest))
     placed = stored(placed, "placed")
-    out = numbered(rows.join(placed, "key").drop("key"), ["shard"], ["id", "text_crc32", "size"], name="slots")
+    out = numbered(rows.join(placed, "key").drop("key"), ["shard"], [] if keep else ["id", "text_crc32", "size"], name="slots")
     return out.select("id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                       F.lit(None).cast("int").alias("grown_shard"), *(["kept.*"] if keep else []))
