@@ -40,23 +40,21 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mix the sources to their target weights: a document appears as often as the mix draws it.
 
-    Rows come shard after shard in the shuffled order that the mix gives them.
     Every row is a document of its own, also with a null or repeated id: rows
     are found again by a hash of 128 bits of all columns.  Rows equal in all
     columns are drawn one by one, and which of them a draw means is all the same.
     """
     ship_package(spark)
-    row, shard_, order = unused(docs, "row", "shard", "order")
+    (row,) = unused(docs, "row")
     # Hashes pass over nulls, so where they stand is hashed too.
     held = [*[F.col(c).isNull() for c in docs.columns], *docs.columns]
     keyed = docs.withColumn(row, F.struct(F.xxhash64(F.lit(1), *held).alias("a"), F.xxhash64(F.lit(2), *held).alias("b")))
     mix = mixing.mix(keyed, id_col=row)
-    drawn = mix.draws.select(F.col("id").alias(row), F.col("shard").alias(shard_), F.col("local_order").alias(order))
+    drawn = mix.draws.select(F.col("id").alias(row))
     equal = stored(mix.plan.groupBy(F.col("id").alias(row)).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(row), "equal")
     alone = keyed.join(equal, row, "left_anti")
     once = keyed.join(equal, row, "left_semi").dropDuplicates([row])
-    return (alone.unionByName(once).join(drawn, row).repartitionByRange(shard_, order)
-            .sortWithinPartitions(shard_, order).select(*docs.columns))
+    return alone.unionByName(once).join(drawn, row).select(*docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
