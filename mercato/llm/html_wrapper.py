@@ -13,7 +13,10 @@ of template texts only.  Tags break ties alone: elements that are by their tag,
 role or class menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles or comments of readers are no main text though they vary, nor
 are ``article`` elements of a place whose slots hold less than half as much as
-those of the host's main one (teasers).  A page of a host with fewer than
+those of the host's main one (teasers).  Inside ``article`` or ``main``, names
+that content may bear as well (a header, a label, a class ``legal`` or ``tags``)
+count only if links make up more than half of the element's text, and a class
+has to be such a name as a whole, not in part.  A page of a host with fewer than
 ``least_pages`` different pages has no wrapper and is read by its ``article``
 or else ``main`` element, else its body.
 """
@@ -60,6 +63,9 @@ APART_NAMES = re.compile(
     r"aside|footer|foot|header|masthead|topbar|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|"
     r"subscribe|signup|login|comments?|commentlist|replies|reply|discussion|disqus|related|recommended|share|sharing|"
     r"social|widget|pagination|pager|search|toolbar|copyright|legal|tags)$")
+#: Inside an article these may hold its content: they go only where links dominate.
+CONTENT_TAGS = {"header", "label", "fieldset"}
+CONTENT_NAMES = re.compile(r"^(banner|header|masthead|topbar|notices?|alerts?|search|toolbar|copyright|legal|tags|discussion|login|signup)$")
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"},
              "th": {"td", "th", "tr"}, "option": {"option"}}
 CONTAINERS = {"article", "main", "section", "div", "table"}
@@ -81,11 +87,13 @@ class Node:
     children: list["Node"] = field(default_factory=list)
 
 
-def _is_apart(tag: str, attributes: str) -> tuple[bool, str]:
-    if tag in APART:
+def _is_apart(tag: str, attributes: str, inside: bool) -> tuple[bool | None, str]:
+    """Whether an element is set apart (None: if links dominate it), and its name; ``inside`` an article or main."""
+    maybe = inside and tag in CONTENT_TAGS
+    if tag in APART and not maybe:
         return True, tag
     if not attributes or attributes.isspace():
-        return False, tag
+        return (None if maybe else False), tag
     classes, own, apart = "", "", bool(_HIDDEN.search(attributes))
     for m in _ATTRIBUTE.finditer(attributes):
         kind, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
@@ -96,15 +104,33 @@ def _is_apart(tag: str, attributes: str) -> tuple[bool, str]:
         if kind == "role":
             apart |= value.strip() in APART_ROLES
         elif tag not in ("article", "main", "body", "html"):
-            apart |= any(APART_NAMES.match(x) for word in value.split()
-                         for x in (word, *re.split(r"[-_]+", word)))
-    return apart, tag + classes + own
+            for word in value.split():
+                for x in (word,) if inside else (word, *re.split(r"[-_]+", word)):
+                    if APART_NAMES.match(x):
+                        doubtful = inside and CONTENT_NAMES.match(x)
+                        maybe, apart = maybe or bool(doubtful), apart or not doubtful
+    return (apart or (None if maybe else False)), tag + classes + own
+
+
+def _links_dominate(node: Node) -> bool:
+    """Whether more than half of an element's text stands in links."""
+    linked = total = 0
+    work = [(node, False)]
+    while work:
+        item, link = work.pop()
+        if item.tag:
+            work.extend((c, link or item.tag == "a") for c in item.children)
+        else:
+            size = len("".join(item.text.split()))
+            linked, total = linked + size * link, total + size
+    return 2 * linked > total
 
 
 def parse(page: str | None) -> Node:
     """Tree of a page; end tags that are left out or belong to nothing are coped with as browsers do, by and large."""
     root = Node("html", "html")
     stack, at, page = [root], 0, page or ""
+    doubtful: list[Node] = []
 
     def text(value: str) -> None:
         if value and (value.strip() or stack[-1].children):
@@ -147,14 +173,18 @@ def parse(page: str | None) -> Node:
                 break
             if stack[depth].tag in ("ul", "ol", "dl", "table", "select", "menu"):
                 break
-        apart, name = _is_apart(tag, m[3])
-        node = Node(tag, name, apart)
+        apart, name = _is_apart(tag, m[3], any(x.tag in ("article", "main") for x in stack))
+        node = Node(tag, name, bool(apart))
+        if apart is None:
+            doubtful.append(node)
         stack[-1].children.append(node)
         if tag in RAW:                             # its content is no markup
             end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
             at = len(page) if end is None else page.find(">", end.start()) + 1 or len(page)
         elif tag not in VOID and not m[3].endswith("/") or tag == "p":
             stack.append(node)
+    for node in doubtful:
+        node.apart = _links_dominate(node)
     return root
 
 
@@ -344,8 +374,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     pages are read by the elements alone.
     """
     columns = [c for c in pages.columns if c != out]
-    hosted = pages.select(*columns).withColumn("_host", host_of(url_col))
-    source = hosted.where(F.col(html_col).isNotNull()).select("_host", F.xxhash64(html_col).alias("raw"), F.col(html_col).alias("html"))
+    own = next(n for n in ("_" * k + "host" for k in range(1, 99)) if n not in {c.lower() for c in columns})
+    hosted = pages.select(*columns, host_of(url_col).alias(own))
+    source = hosted.where(F.col(html_col).isNotNull()).select(
+        F.col(own).alias("_host"), F.xxhash64(html_col).alias("raw"), F.col(html_col).alias("html"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -396,7 +428,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     aligned = sample.groupBy(*group).applyInPandas(learn, "_host string, key long")
     wrappers = stored(counted.union(aligned).union(differing).groupBy("_host").agg(F.collect_set("key").alias("_template")), "wrappers")
-    with_wrapper = hosted.join(wrappers, "_host", "left").select(*columns, "_host", "_template")
+    wrappers = wrappers.select(F.col("_host").alias(f"{own}_of"), F.col("_template").alias(f"{own}_template"))
+    with_wrapper = (hosted.join(wrappers, F.col(own) == F.col(f"{own}_of"), "left")
+                    .select(*columns, own, f"{own}_template"))
     at = with_wrapper.columns.index(html_col)
     schema = pages.select(*columns).schema.add(out, "string")
 

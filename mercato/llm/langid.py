@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 UNDETERMINED = "und"
 _SPACE = 32
 _BLOCK_CHARS = 1 << 19
+_SLICE_GRAMS = 8192
 
 
 @dataclass(frozen=True)
@@ -101,19 +102,27 @@ def bundles(texts: list[str | None], p: Params, letters: Letters) -> tuple[np.nd
     key_doc, key_gram = np.divmod(key, base ** p.order)
     grams, column = np.unique(key_gram, return_inverse=True)
     vectors = letters.rows(alphabet)
-    bound = np.ones((len(grams), p.dims), np.int8)
-    rest = grams
-    for k in range(p.order):
-        rest, code = np.divmod(rest, base)
-        bound *= np.roll(vectors, k, axis=1)[code]
-    bound = bound.astype(np.float32)
-    for lo in range(0, len(at), 64):               # counts of 64 texts at a time, over the n-grams they hold
-        rows = at[lo:lo + 64]
-        a, b = np.searchsorted(key_doc, [rows[0], rows[-1] + 1])
-        used, place = np.unique(column[a:b], return_inverse=True)
-        counts = np.zeros((len(rows), len(used)), np.float32)
-        counts[np.searchsorted(rows, key_doc[a:b]), place] = count[a:b]
-        out[rows] = counts @ bound[used]
+    # A slice of the n-grams at a time, so that a long text of many different ones takes no more memory than others.
+    in_slice = np.argsort(column // _SLICE_GRAMS, kind="stable")
+    cuts = np.searchsorted(column[in_slice] // _SLICE_GRAMS, np.arange(-(-len(grams) // _SLICE_GRAMS) + 1))
+    for g, (a0, b0) in enumerate(zip(cuts, cuts[1:])):
+        entries = in_slice[a0:b0]                  # still by text, as the sort is stable
+        rest = grams[g * _SLICE_GRAMS:(g + 1) * _SLICE_GRAMS]
+        bound = np.ones((len(rest), p.dims), np.int8)
+        for k in range(p.order):
+            rest, code = np.divmod(rest, base)
+            bound *= np.roll(vectors, k, axis=1)[code]
+        bound = bound.astype(np.float32)
+        texts_, columns, amounts = key_doc[entries], column[entries] - g * _SLICE_GRAMS, count[entries]
+        for lo in range(0, len(at), 64):           # counts of 64 texts at a time, over the n-grams they hold
+            rows = at[lo:lo + 64]
+            a, b = np.searchsorted(texts_, [rows[0], rows[-1] + 1])
+            if a == b:
+                continue
+            used, place = np.unique(columns[a:b], return_inverse=True)
+            counts = np.zeros((len(rows), len(used)), np.float32)
+            counts[np.searchsorted(rows, texts_[a:b]), place] = amounts[a:b]
+            out[rows] += counts @ bound[used]
     return np.rint(out).astype(np.int64), np.diff(starts) > 0
 
 

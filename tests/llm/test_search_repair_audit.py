@@ -12,7 +12,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from mercato.llm import embedding_neardup, filter_audit, onebit_search, turn_repair
+from mercato.llm import embedding_neardup, filter_audit, html_wrapper, langid, onebit_search, turn_repair
 from mercato.llm.common import ship_package
 from mercato.llm.queries import ORACLES, QUERIES
 
@@ -347,3 +347,43 @@ def test_removals_go_through_the_joins(spark):
     counts = filter_audit.interactions(rows, fails, {}).collect()
     assert not any(r["filter_no"] == 3 for r in counts)
     assert json.dumps(sorted(r["n"] for r in counts if r["what"] == "kept" and r["before"] == 8)) == "[1, 2]"
+
+
+# ------------------------------------------------------------------ additions to earlier operators
+
+def test_content_inside_articles_stays():
+    """Names that content may bear as well are content inside an article, unless links dominate them."""
+    page = """<body><header class=top><h1>Site</h1></header><div class="legal">All rights</div><article>
+    <header><h1>Title</h1><p class="lead">Lead.</p></header><p>Body.</p><div class="legal">Clause one.</div>
+    <fieldset><p>Set.</p></fieldset><p class="related-work">Work.</p><p><label>Label</label> text.</p>
+    <ul class="tags-explained"><li>Tag.</li></ul><ul class="tags"><li><a href=x>one</a></li><li><a href=y>two</a></li></ul>
+    <div class="comments"><p>First!</p></div><div class="share">Share</div><form><label>Mail</label></form></article></body>"""
+    assert html_wrapper.main_text(page, None).split("\n") == [
+        "Title", "Lead.", "Body.", "Clause one.", "Set.", "Work.", "Label text.", "Tag."]
+
+
+def test_pages_with_columns_of_clashing_names(spark):
+    rows = [(i, f"http://h{i % 2}/x", f"<body><article><p>Words {i}.</p></article></body>", "a", "b", "c") for i in range(8)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, _host string, _template string, __host string")
+    got = {r["page_id"]: (r["text"], r["_host"], r["_template"]) for r in html_wrapper.extract(pages).collect()}
+    assert got == {i: (f"Words {i}.", "a", "b") for i in range(8)}
+
+
+def test_language_vectors_of_a_long_text_in_bounded_memory():
+    """A text of 300,000 characters with as many different trigrams: the same vector as by hand, in slices."""
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    text = "".join(map(chr, rng.integers(0x4E00, 0x9F00, 300_000)))
+    p = langid.Params()
+    tracemalloc.start()
+    vectors, has = langid.bundles([text, "ab"], p, langid.Letters(p))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert has.tolist() == [True, True] and peak < 400e6
+    small, _ = langid.bundles(["ab", text[:500]], p, langid.Letters(p))
+    assert (vectors[1] == small[0]).all()
+    codes = langid.letter_codes(text[:500])
+    letters = langid.Letters(p).rows(codes)
+    by_hand = sum(np.prod([np.roll(letters[i + p.order - 1 - k].astype(np.int64), k) for k in range(p.order)], axis=0) for i in range(len(codes) - p.order + 1))
+    assert (small[1] == by_hand).all()
