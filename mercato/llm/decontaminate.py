@@ -38,6 +38,7 @@ class Params:
     blocks: int = 8
     #: The items are held by every task, so many bytes of text at a time; more items take more passes.
     pass_bytes: int = 16 << 20
+    most_bytes: int = 1 << 28      # of the whole benchmark
 
 
 # ASCII characters that separate words.
@@ -57,6 +58,10 @@ def word_codes(text: str | None, words: dict) -> np.ndarray:
     return np.fromiter(map(words.__getitem__, tokens), np.uint64, len(tokens))
 
 
+#: Windows of up to so many words are kept for the other items that they may match.
+_KEPT_WORDS = 512
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -174,18 +179,29 @@ class Items:
         if sum(self.weight(int(found[i])) for i in hits) < need:
             return None
         weight = np.cumsum([0.0, *(self.weight(int(found[i])) for i in hits)])
-        # Starts of windows that hold a hit, and the weight of the hits in each.
-        starts = np.unique(np.clip((place[:, None] - np.arange(size)).ravel(), 0, len(found) - size))
+        # Starts of windows that hold a hit (the union of an interval before each hit), and the weight of the hits in each.
+        last = len(found) - size
+        begun = np.bincount(np.clip(place - size + 1, 0, last), minlength=last + 2)
+        ended = np.bincount(np.clip(place, 0, last) + 1, minlength=last + 2)
+        starts = np.flatnonzero(np.cumsum(begun - ended) > 0)
         held = weight[np.searchsorted(place, starts + size)] - weight[np.searchsorted(place, starts)]
         best = None
-        for s in starts[held >= need].tolist():
-            if (s, size) not in bags:
+        likely = np.flatnonzero(held >= need)
+        # A window shares at most the weight of its hits, so none after one that holds less than the best value is better.
+        for k in likely[np.argsort(-held[likely], kind="stable")].tolist():
+            s = int(starts[k])
+            if best and held[k] < (best[0] - 1e-9) * self.total[item]:
+                break
+            held_bag = bags.get((s, size))
+            if held_bag is None:
                 bag = Counter(found[s:s + size].tolist())
-                bags[s, size] = bag, set(self.index.near(self.fingerprint(bag)).tolist())
-            bag, near = bags[s, size]
+                held_bag = bag, set(self.index.near(self.fingerprint(bag)).tolist())
+                if size <= _KEPT_WORDS:             # only saves work where items share windows; long ones would fill memory
+                    bags[s, size] = held_bag
+            bag, near = held_bag
             if item in near:
                 value = self.similarity(bag, item)
-                if value >= self.p.similarity and (best is None or value > best[0]):
+                if value >= self.p.similarity and (best is None or value > best[0] or value == best[0] and s < best[1]):
                     best = value, s
         return best
 
@@ -196,7 +212,13 @@ def annotate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item
 
     Null and empty texts, documents or items, match nothing.  A document
     shorter than an item is compared as a whole.  Other columns stay.
+
+    The benchmark is read by the driver and sent to the executors in passes of
+    ``pass_bytes``; one of more than ``most_bytes`` is refused with an error.
     """
+    held = benchmark.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
+    if held > p.most_bytes:
+        raise ValueError(f"the benchmark holds {held} bytes of text, more than {p.most_bytes}")
     words = _Words()
     cut = benchmark.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).alias("text")).where("text is not null")
     passes: list[list[tuple[int, str]]] = [[]]

@@ -165,19 +165,39 @@ _CUT = re.compile(r"(?<=\S)(?= \S)")
 _CACHE = 1_200_000
 
 
+def splits_at_spaces(tokenizer: dict) -> bool:
+    """Whether a tokenizers file is known to encode a text as its words, each with the single space before it.
+
+    That is a BPE of bytes with the pattern built into the library, without a
+    normalizer, a prefix space or added tokens that reach over a space.
+    """
+    model, before = tokenizer.get("model") or {}, tokenizer.get("pre_tokenizer") or {}
+    added = tokenizer.get("added_tokens") or []
+    return (model.get("type") == "BPE" and not model.get("dropout") and not model.get("continuing_subword_prefix")
+            and not model.get("end_of_word_suffix") and not tokenizer.get("normalizer")
+            and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True)
+            and not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or any(c.isspace() for c in t["content"]) for t in added))
+
+
 class Encoder:
-    """Encodes texts with a tokenizers file, word by word.
+    """Encodes texts with a tokenizers file, word by word where that gives the same ids.
 
     A byte-level BPE with the usual splitting pattern never joins what stands
     before a single space with what follows, so a text's ids are those of its
     words (each with the space before it).  Words are encoded by the library
-    once and kept, up to a bound, for all tasks of a Python worker.
+    once and kept, up to a bound, for all tasks of a Python worker.  With any
+    other tokenizer (``splits_at_spaces``) whole texts go to the library.  Texts
+    are never truncated or padded, whatever the file says.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        with open(path, encoding="utf-8") as file:
+            self.by_words = splits_at_spaces(json.load(file))
 
     def _learn(self, words: list[str]) -> None:
         if len(self.known) + len(words) > _CACHE:
@@ -188,6 +208,8 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
+        if not self.by_words:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if _ODD.search(text):
             words = _CUT.split(text)
         else:

@@ -12,7 +12,9 @@ import duckdb
 import numpy as np
 import pytest
 
-from mercato.llm import embedding_neardup, filter_audit, html_wrapper, langid, onebit_search, turn_repair
+from mercato.llm import (
+    decontaminate, embedding_neardup, filter_audit, html_wrapper, langid, onebit_search, token_planes, turn_repair,
+)
 from mercato.llm.common import ship_package
 from mercato.llm.queries import ORACLES, QUERIES
 
@@ -387,3 +389,40 @@ def test_language_vectors_of_a_long_text_in_bounded_memory():
     letters = langid.Letters(p).rows(codes)
     by_hand = sum(np.prod([np.roll(letters[i + p.order - 1 - k].astype(np.int64), k) for k in range(p.order)], axis=0) for i in range(len(codes) - p.order + 1))
     assert (small[1] == by_hand).all()
+
+
+def test_item_of_many_words_in_bounded_memory():
+    """An item of 6000 words that occurs whole in a longer document: found at its place, without a matrix of hits by words."""
+    import tracemalloc
+
+    rng = random.Random(4)
+    item = [f"w{rng.randrange(4000)}" for _ in range(6000)]
+    text = " ".join([f"x{i}" for i in range(3000)] + item + [f"y{i}" for i in range(3000)])
+    words = decontaminate._Words()
+    items = decontaminate.Items([(7, " ".join(item))], decontaminate.Params(), 1, {})
+    codes = decontaminate.word_codes(text, words)
+    tracemalloc.start()
+    found = items.matches(codes)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(i, round(v, 9), s) for i, v, s in found] == [(7, 1.0, 3000)] and peak < 100e6
+
+
+def test_a_large_benchmark_is_refused(spark):
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
+    with pytest.raises(ValueError, match="benchmark"):
+        decontaminate.annotate(docs, bench, p=decontaminate.Params(most_bytes=10))
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_any_tokenizers_file_gives_the_library_s_ids(name):
+    import os
+
+    from tokenizers import Tokenizer
+
+    path = os.path.join("/opt/tokenizers", name)
+    encoder, plain = token_planes.Encoder(path), Tokenizer.from_file(path)
+    assert encoder.by_words == (name == "byte_bpe_50k.json")
+    for text in ("It's  a Test, isn't it?\n\n So\tWHAT 123 4", " leading", "trailing ", "Ünïcode é <|endoftext|> x", "a" * 3000, "."):
+        assert encoder.encode(text) == np.array(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
