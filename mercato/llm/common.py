@@ -111,16 +111,19 @@ def numbered(df: DataFrame, group: list[str], order: list, weight: str | None =
     return out.drop("_row", "_part", "_p", "_first", "_n0", "_w0", *[f"_g{i}" for i in range(len(group))])
 
 
-def chunk_pairs(rows: DataFrame, keys: list[str], id_col: str, chunk: int) -> DataFrame:
+def chunk_pairs(rows: DataFrame, keys: list[str], id_col: str, chunk: int, weight: tuple[str, int] | None = None) -> DataFrame:
     """Cut large groups so that all pairs of a group still meet, in groups of bounded size.
 
     A group of at most ``chunk`` rows stays one.  A larger one is cut into
     chunks by a hash of ``id_col``, and every pair of chunks becomes a group:
     (keys, lo, hi), with ``side`` telling a row's chunk.  Where lo < hi, only
-    pairs across the two chunks are that group's business.
+    pairs across the two chunks are that group's business.  With ``weight``, a
+    column and a bound, a chunk also holds about as much of it at most.
     """
-    large = (rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > chunk)
-             .select(*keys, F.ceil(F.col("_n") / chunk).cast("int").alias("_chunks")))
+    need = F.ceil(F.count(F.lit(1)) / chunk)
+    if weight:
+        need = F.greatest(need, F.least(F.ceil(F.sum(weight[0]) / weight[1]), F.count(F.lit(1))))
+    large = rows.groupBy(*keys).agg(need.cast("int").alias("_chunks")).where(F.col("_chunks") > 1)
     return (rows.join(large, keys, "left").withColumn("_chunks", F.coalesce("_chunks", F.lit(1)))
             .withColumn("side", F.pmod(F.xxhash64(id_col), F.col("_chunks")).cast("int"))
             .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))

@@ -13,10 +13,19 @@ everything is compared with the bucket's first member (so a bucket of n rows
 gives n candidates, not n^2), and links are confirmed on full sets.  Members of
 a bucket that this leaves in different components are then compared with each
 other too, so no link between components is lost; that step sees only the few
-buckets still split, drops members whose sketches put them far below the
-threshold with all others, and compares the rest inside tasks, in chunks of
-bounded size that return a link per member, never the pairs.  Bands are chosen so that a pair at the threshold meets in none with
-a probability below 1e-7.
+buckets still split.  One of more than ``chunk`` members (documents round a
+passage that many share) is cut finer first: its members meet again only by
+the rarest fifth of their shingles, one of which any two linked sets share, so
+a common passage no longer brings them together and no link is lost.  Groups
+are then laid out as pairs of chunks of bounded rows and shingles; in each,
+members whose sketches put them far below the threshold with all others drop
+out and the rest are compared inside a task, which returns a link per member,
+never the pairs.
+
+Recall: bands are chosen so that a pair at the threshold meets in none with a
+probability below 1e-7; the sketches drop a pair at the threshold with one
+below 1e-7 too (5.5 standard deviations).  Work is linear but for members of
+one group whose rarest shingles are also common to all of them.
 """
 
 from __future__ import annotations
@@ -45,7 +54,9 @@ class Params:
     sketch_words: int = 8     # 4 bits of each of the first 16 coordinates, of the next 16, ...
     #: Pairs whose sketches agree less than a pair at the threshold does by this many standard deviations are no links.
     slack: float = 5.5
-    chunk: int = 500          # documents of a bucket that one group of the second pass takes
+    chunk: int = 500          # documents of a bucket that one half of a group of the second pass takes
+    chunk_shingles: int = 2_000_000  # ... and their shingles (one document may hold more)
+    slots: int = 1 << 18      # counters by which shingles are told common from rare; their number is fixed
 
     @property
     def coordinates(self) -> int:
@@ -175,6 +186,38 @@ def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, p: Params
     return wanted.mapInArrow(build, "id long, set array<long>")
 
 
+def _finer(big: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
+    """Members of large buckets laid out anew: a row for each of a document's rarest shingles that another part holds too.
+
+    Two sets linked at t share t of either, so if both are ordered alike, with
+    |s| - ceil(t |s|) + 1 first shingles taken of each, the first ones meet.
+    The order is by how common a shingle is among the members (counted in
+    ``slots`` counters, the only thing sent out: 8 bytes each) and then by its
+    value, so that a shared passage comes last.
+    """
+    own = likely_among(sets, ["id"], big, ["id"]).join(big.select("id"), "id", "left_semi")
+    counters = np.zeros(p.slots, np.int64)
+    for slot, n in (own.select(F.explode("set").alias("x")).groupBy(F.col("x").bitwiseAND(F.lit(p.slots - 1)).alias("slot"))
+                    .agg(F.count(F.lit(1)).alias("n")).toLocalIterator()):
+        counters[slot] = n
+    common = big.sparkSession.sparkContext.broadcast(counters)
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first = []
+            for values in batch.column(1):
+                x = values.values.to_numpy()
+                order = np.lexsort((x, common.value[x & (p.slots - 1)]))
+                first.append(x[order[:len(x) - -(-p.percent * len(x) // 100) + 1]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(first, pa.list_(pa.int64()))], names=["id", "first"])
+
+    rows = stored(own.mapInArrow(rarest, "id long, first array<long>")
+                  .join(big.select("id", "part"), "id").select("id", "part", F.explode("first").alias("value")), "rarest")
+    met = rows.groupBy("value").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("value")
+    kept = likely_among(rows, ["value"], met, ["value"]).join(met, "value", "left_semi")
+    return kept.join(big, ["id", "part"]).select(F.lit(-1).alias("band"), "value", "id", "n", "sketch", "part")
+
+
 def _links_of(pdf: pd.DataFrame, p: Params) -> pd.DataFrame:
     """Links between the rows of a group that are in different parts: one for each row that has any, to the least id it reaches."""
     ids, part, side = (pdf[c].to_numpy(np.int64) for c in ("id", "part", "side"))
@@ -232,17 +275,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     split = (placed.groupBy("band", "value").agg(F.min("part").alias("low"), F.max("part").alias("high"))
              .where("low <> high").select("band", "value"))
     placed = stored(placed.join(split, ["band", "value"]).where("id <> first").drop("first"), "split")
-    other = placed.select("band", "value", F.col("n").alias("n2"), F.col("part").alias("part2"), F.col("sketch").alias("sketch2"))
+    large = placed.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > p.chunk).select(*key)
+    if not large.isEmpty():
+        big = stored(placed.join(large, key, "left_semi").select("id", "n", "sketch", "part").distinct(), "big")
+        placed = stored(placed.join(large, key, "left_anti").unionByName(_finer(big, sets, p)), "finer")
+    met = stored(chunk_pairs(placed, key, "id", p.chunk, ("n", p.chunk_shingles)), "met")
+    group = [*key, "lo", "hi"]
+    other = met.select(*(F.col(c).alias(f"{c}2") for c in [*group, "n", "part", "side", "sketch"]))
     differ = sum((F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("sketch2")[i])) for i in range(p.sketch_words)), F.lit(0))
-    near = (placed.join(other, (placed["band"] == other["band"]) & (placed["value"] == other["value"])
-                        & (F.col("part") != F.col("part2"))
-                        & (100 * F.least("n", "n2") >= p.percent * F.greatest("n", "n2"))
-                        & (F.lit(64 * p.sketch_words) - differ >= F.lit(p.least_agreeing_bits)), "left_semi")
-            .select("band", "value", "id", "part"))
+    same = F.lit(True)
+    for c in group:
+        same = same & (F.col(c) == F.col(f"{c}2"))
+    near = met.join(other, same & (F.col("part") != F.col("part2")) & ((F.col("lo") == F.col("hi")) | (F.col("side") != F.col("side2")))
+                    & (100 * F.least("n", "n2") >= p.percent * F.greatest("n", "n2"))
+                    & (F.lit(64 * p.sketch_words) - differ >= F.lit(p.least_agreeing_bits)), "left_semi").select(*group, "id", "part", "side")
     near = stored(near, "near")
     if not near.isEmpty():
         # All of them were members in the first pass, so their sets are there.
-        met = chunk_pairs(near, key, "id", p.chunk).join(likely_among(sets, ["id"], near, ["id"]), "id")
+        met = near.join(likely_among(sets, ["id"], near, ["id"]), "id")
         more = met.groupBy("band", "value", "lo", "hi").applyInPandas(lambda pdf: _links_of(pdf, p), "a long, b long")
         more = stored(more, "more")
         if not more.isEmpty():

@@ -66,9 +66,22 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-@pytest.mark.parametrize("width", [2, 5])
-def test_minhash_matches_all_pairs(spark, width):
-    rows = documents()
+def round_a_passage(n, seed=9):
+    """Documents that share 60 words and have 40 of their own, some with a near copy; long ones among them."""
+    rng = random.Random(seed)
+    passage = words(rng, 60, 10 ** 6)
+    texts = [f"{words(rng, 20, 10 ** 6)} {passage} {words(rng, 20, 10 ** 6)}" for _ in range(n)]
+    for i in range(0, n, 10):
+        parts = texts[i].split()
+        parts[rng.randrange(20)] = "changed"
+        texts.append(" ".join(parts))
+    return list(enumerate(texts))
+
+
+@pytest.mark.parametrize("width, chunk, source", [
+    (2, 500, documents), (5, 500, documents), (2, 3, documents), (5, 3, documents), (2, 8, lambda: round_a_passage(150))])
+def test_minhash_matches_all_pairs(spark, width, chunk, source):
+    rows = source()
     sets = {}
     for i, t in rows:
         w = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())
@@ -76,13 +89,33 @@ def test_minhash_matches_all_pairs(spark, width):
     links = [(a, b) for a, b in combinations(sets, 2)
              if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     label = reach(sets, links)
-    got = {r["id"]: r for r in minhash.near_duplicates(frame(spark, rows), p=minhash.Params(width=width)).collect()}
+    got = {r["id"]: r for r in minhash.near_duplicates(
+        frame(spark, rows), p=minhash.Params(width=width, chunk=chunk, chunk_shingles=400 * chunk)).collect()}
     assert len(links) > 12
     assert {i: r["n_shingles"] for i, r in got.items()} == {i: len(s) for i, s in sets.items()}
     assert {i: r["component_id"] for i, r in got.items()} == label
     assert all(r["kept"] == (i == label[i]) for i, r in got.items())
 
 
+def test_a_common_passage_costs_rows_and_not_pairs(spark, monkeypatch):
+    laid = {}
+    stored = minhash.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        laid[name] = out.count() if name in ("split", "met", "near") else 0
+        return out
+
+    monkeypatch.setattr(minhash, "stored", counted)
+    for n in (300, 1200):
+        laid.clear()
+        found = minhash.near_duplicates(frame(spark, round_a_passage(n)), p=minhash.Params(width=2, chunk=20))
+        assert found.where("not kept").count() == n // 10
+        assert laid["split"] > n                                    # the passage does bring them together
+        # Chunk pairs of the buckets themselves would be over n / 20 rows for each; by rare shingles few meet at all.
+        assert laid["met"] < laid["split"] and laid["near"] < n
+
+
 def test_minhash_coordinates_are_shifts_of_one_permutation():
     p = minhash.Params()
     values = np.array([3, 99, 12345678901], np.uint64)
