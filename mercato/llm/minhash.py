@@ -17,15 +17,16 @@ buckets still split.  One of more than ``chunk`` members (documents round a
 passage that many share) is cut finer first: its members meet again only by
 the rarest fifth of their shingles, one of which any two linked sets share, so
 a common passage no longer brings them together and no link is lost.  Groups
-are then laid out as pairs of chunks of bounded rows and shingles; in each,
-members whose sketches put them far below the threshold with all others drop
+are then laid out as pairs of chunks of bounded rows and shingles, members of
+a group's largest component meeting only the others; in each pair, members whose sketches put them far below the threshold with all others drop
 out and the rest are compared inside a task, which returns a link per member,
 never the pairs.
 
 Recall: bands are chosen so that a pair at the threshold meets in none with a
 probability below 1e-7; the sketches drop a pair at the threshold with one
-below 1e-7 too (5.5 standard deviations).  Work is linear but for members of
-one group whose rarest shingles are also common to all of them.
+below 1e-7 too (5.5 standard deviations).  Work is linear but for groups whose
+members hold their rarest shingles in common too and yet are not linked: there
+it is the members times those outside the largest component.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mercato.llm.common import chunk_pairs, likely_among, stored
+from mercato.llm.common import likely_among, stored
 from mercato.llm.components import components, least_names
 
 
@@ -218,6 +219,32 @@ def _finer(big: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
     return kept.join(big, ["id", "part"]).select(F.lit(-1).alias("band"), "value", "id", "n", "sketch", "part")
 
 
+def _across(rows: DataFrame, key: list[str], p: Params) -> DataFrame:
+    """Lay out groups so that members of different parts meet, in pieces of bounded size: (key, lo, hi), ``side`` a row's chunk.
+
+    Members of a group's largest part have each other's company already, so
+    they only meet the others: with m others in c chunks, the n of that part go
+    into c rows each and the others into one more for every chunk of the n.
+    Where lo < hi, only pairs across the two chunks are that piece's business.
+    """
+    def chunks(count, shingles):
+        return F.greatest(F.ceil(count / p.chunk), F.least(F.ceil(shingles / p.chunk_shingles), count), F.lit(1)).cast("int")
+
+    sizes = rows.groupBy(*key, "part").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("w"))
+    large = (sizes.groupBy(*key).agg(F.max(F.struct("k", "part", "w")).alias("main"), F.sum("k").alias("k"), F.sum("w").alias("w"))
+             .where(chunks(F.col("k"), F.col("w")) > 1)
+             .select(*key, F.col("main.part").alias("_main"), chunks(F.col("main.k"), F.col("main.w")).alias("_n"),
+                     chunks(F.col("k") - F.col("main.k"), F.col("w") - F.col("main.w")).alias("_m")))
+    of_main, h = F.col("part") == F.col("_main"), F.xxhash64("id")
+    return (rows.join(large, key, "left")
+            .withColumn("side", F.when(F.col("_main").isNull(), 0).when(of_main, F.col("_m") + F.pmod(h, "_n"))
+                        .otherwise(F.pmod(h, "_m")).cast("int"))
+            .withColumn("_other", F.explode(F.sequence(F.lit(0), F.when(F.col("_main").isNull(), 0).when(of_main, F.col("_m") - 1)
+                                                       .otherwise(F.col("_m") + F.col("_n") - 1).cast("int"))))
+            .withColumn("lo", F.least("side", "_other")).withColumn("hi", F.greatest("side", "_other"))
+            .drop("_main", "_n", "_m", "_other"))
+
+
 def _links_of(pdf: pd.DataFrame, p: Params) -> pd.DataFrame:
     """Links between the rows of a group that are in different parts: one for each row that has any, to the least id it reaches."""
     ids, part, side = (pdf[c].to_numpy(np.int64) for c in ("id", "part", "side"))
@@ -279,7 +306,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not large.isEmpty():
         big = stored(placed.join(large, key, "left_semi").select("id", "n", "sketch", "part").distinct(), "big")
         placed = stored(placed.join(large, key, "left_anti").unionByName(_finer(big, sets, p)), "finer")
-    met = stored(chunk_pairs(placed, key, "id", p.chunk, ("n", p.chunk_shingles)), "met")
+    met = stored(_across(placed, key, p), "met")
     group = [*key, "lo", "hi"]
     other = met.select(*(F.col(c).alias(f"{c}2") for c in [*group, "n", "part", "side", "sketch"]))
     differ = sum((F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("sketch2")[i])) for i in range(p.sketch_words)), F.lit(0))
