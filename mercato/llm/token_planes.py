@@ -20,7 +20,9 @@ twice, leaves at most a file that nobody reads.
 from __future__ import annotations
 
 import json
+import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -160,11 +162,23 @@ class Reader:
 
 
 # Where splitting a text changes nothing: before a single space between two characters that are not white space.
-_ODD = re.compile(r" \s|\s |^ | $")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
+_WHITE = "".join(c for c in map(chr, range(1 << 16)) if c.isspace() and c != " ")
+# The splitting pattern of a byte-level BPE, as it reads text of ASCII and of Latin and Cyrillic letters alone.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0400-\u0481"
+_PLAIN = re.compile(f"[\\x00-\\x7f{_LETTERS}]*")
+_PARTS = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[0-9]+| ?[^\\s{_LETTERS}0-9]+|\\s+(?!\\S)|\\s+", re.ASCII)
+# The letters by which it names bytes: printing ones of Latin-1 are themselves, the rest follow U+0100 in their order.
+_BYTES = {b: chr(256 + i) for i, b in enumerate([*range(33), *range(127, 161), 173])}
 _CACHE = 1_200_000
 
 
+def _odd(text: str) -> bool:
+    """Whether a space of the text is its first or last character or has white space beside it."""
+    return (text[0] == " " or text[-1] == " " or "  " in text
+            or any(c in text and (" " + c in text or c + " " in text) for c in _WHITE))
+
+
 def splits_at_spaces(tokenizer: dict) -> bool:
     """Whether a tokenizers file is known to encode a text as its words, each with the single space before it.
 
@@ -185,56 +199,73 @@ class Encoder:
     A byte-level BPE with the usual splitting pattern never joins what stands
     before a single space with what follows, so a text's ids are those of its
     words (each with the space before it).  Words are encoded by the library
-    once and kept, up to a bound, for all tasks of a Python worker.  With any
-    other tokenizer (``splits_at_spaces``) whole texts go to the library.  Texts
-    are never truncated or padded, whatever the file says.
+    once and kept, up to a bound, for all tasks of a Python worker: words of
+    ASCII, Latin and Cyrillic letters part by part by its model alone, as the
+    pattern splits them, all others, and those that hold an added token, by all
+    of it.  With any other
+    tokenizer (``splits_at_spaces``) whole texts go to the library.  Texts are
+    never truncated or padded, whatever the file says.
     """
 
     def __init__(self, path: str):
+        # One text at a time leaves its threads nothing to share: they only wait, which costs as much again.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         with open(path, encoding="utf-8") as file:
-            self.by_words = splits_at_spaces(json.load(file))
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > _CACHE:
-            self.known.clear()
-        for word, got in zip(words, self.tokenizer.encode_batch(words, add_special_tokens=False)):
-            self.known[word] = np.array(got.ids, "<u4").tobytes()
+            said = json.load(file)
+        self.by_words, self.model = splits_at_spaces(said), self.tokenizer.model
+        self.added = [t["content"] for t in said.get("added_tokens") or []]
+        self.known: dict[str, bytes] = {}         # words and parts that a space precedes, without it
+        self.known_bare: dict[str, bytes] = {}    # parts that none precedes
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _part(self, part: str) -> bytes:
+        known, key = (self.known, part[1:]) if part[0] == " " else (self.known_bare, part)
+        got = known.get(key)
+        if got is None:
+            named = part.encode().decode("latin-1").translate(_BYTES)
+            ids = [t.id for t in self.model.tokenize(named)]
+            got = known[key] = struct.pack(f"<{len(ids)}I", *ids)
+        return got
+
+    def _word(self, word: str) -> bytes:
+        if not _PLAIN.fullmatch(word) or any(a in word for a in self.added):
+            return self._whole(word)
+        bare = word[word[:1] == " ":]
+        if bare.isalpha():
+            return self._part(word)
+        if bare[-1:] in (".", ",") and bare[:-1].isalpha():
+            return self._part(word[:-1]) + self._part(word[-1])
+        return b"".join([self._part(x) for x in _PARTS.findall(word)])
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
         if not self.by_words:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if _ODD.search(text):
-            words = _CUT.split(text)
+            return self._whole(text)
+        if _odd(text):
+            head, *rest = _CUT.split(text)
+            rest = [w[1:] for w in rest]
         else:
             head, *rest = text.split(" ")
-            words = [head, *[" " + w for w in rest]]
+        if len(self.known) + len(self.known_bare) > _CACHE:
+            self.known.clear()
+            self.known_bare.clear()
         known = self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            new = {w for w in words if w not in known}
-            # A mark at a word's end is a token of its own: with the bare word known, nothing is left to encode.
-            for w in [w for w in new if len(w) > 2 and w[-1] in ".," and w[-2].isalpha()]:
-                new.discard(w)
-                new |= {x for x in (w[:-1], w[-1]) if x not in known}
-            self._learn(sorted(new))
-            known = self.known
-            out = []
-            for w in words:
-                got = known.get(w)
-                if got is None and len(w) > 2 and w[-1] in ".," and w[:-1] in known and w[-1] in known:
-                    got = known[w] = known[w[:-1]] + known[w[-1]]
-                if got is None:                   # the store was emptied meanwhile
-                    got = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
-                out.append(got)
-            return b"".join(out)
+        out = list(map(known.get, rest))
+        if None in out:
+            for i, got in enumerate(out):
+                if got is None:
+                    word = rest[i]
+                    got = known.get(word)
+                    out[i] = known[word] = self._word(" " + word) if got is None else got
+        return self._word(head) + b"".join(out)
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -548,3 +548,17 @@ def test_pipeline_counts_rows_with_null_and_repeated_ids(spark):
     assert clean.count() == kept.count()
     mixed = corpus_pipeline.mix_sources(spark, kept, "")
     assert corpus_pipeline.shard(spark, mixed, "").count() == mixed.count() > 0
+
+
+def test_planes_plain_words_go_to_the_model_part_by_part(monkeypatch):
+    """Parts are encoded once each, whatever marks stand beside them; the ids stay those of the whole text."""
+    import public_tokenizers
+
+    e = token_planes.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["Straße, straße. it's 42% done\nÉtude_x  y\t z ", " Жар ×2 don't--stop", "a\x1f b \x7f­ c 中文 <|endoftext|>x d", "'S 'll \x85 e"]
+    expected = [e._whole(t) for t in texts]
+    assert [e.encode(t) for t in texts] == expected
+    plain = "Straße, the straße. the\nit's 42% done"
+    whole = e._whole(plain)
+    monkeypatch.setattr(token_planes.Encoder, "_whole", lambda self, text: pytest.fail(f"whole library for {text!r}"))
+    assert e.encode(plain) == whole
