@@ -105,6 +105,9 @@ def densify(df: DataFrame, grid_keys: Sequence[str], day_col: str, start: date,
 
     The days that a key has are one bit each in a partial aggregate of a few
     longs, whatever the number of rows; the missing ones are exploded from it.
+    A key's row is a few bytes and becomes a whole calendar, so the keys are
+    first dealt over as many tasks as the session's shuffles have: read in
+    partitions merged by their bytes, a task would make millions of rows.
     Observations pass through as they are: no join, no window, no shuffle of
     them.  Columns: grid keys, day, then the others, as the join form has them.
     """
@@ -116,7 +119,8 @@ def densify(df: DataFrame, grid_keys: Sequence[str], day_col: str, start: date,
     words = range(-(-days // 63))
     bit = [F.when(seen & (F.floor(at / 63) == w), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 63).cast("int")))
            .otherwise(F.lit(0).cast("long")) for w in words]
-    held = df.groupBy(*grid_keys).agg(*[F.bit_or(b).alias(f"__days{w}") for w, b in zip(words, bit)])
+    held = (df.groupBy(*grid_keys).agg(*[F.bit_or(b).alias(f"__days{w}") for w, b in zip(words, bit)])
+            .repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
     def missing(i: Column) -> Column:
         word = F.coalesce(*[F.when(F.floor(i / 63) == w, F.col(f"__days{w}")) for w in words])

@@ -235,3 +235,15 @@ def test_densify_equals_join_densify(spark):
         by_bits = densify(df, GRID_KEYS, "stock_date", d(-back), TODAY)
         assert by_join.columns == by_bits.columns
         assert _norm([tuple(r) for r in by_join.collect()]) == _norm([tuple(r) for r in by_bits.collect()])
+
+
+def test_densify_makes_missing_days_in_as_many_tasks_as_a_shuffle_has(spark):
+    """A key is a few bytes and becomes a calendar: merged by bytes, one task would make all of them."""
+    days = [date(2024, 1, 1), date(2024, 1, 31)]
+    rows = spark.range(200).select(F.col("id").alias("a"), (F.col("id") % 3).alias("b"), F.lit(days[0]).alias("d"),
+                                   F.lit(1.0).alias("v"))
+    gaps = densify(rows, ["a", "b"], "d", *days).where("v is null")
+    made = gaps.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert sum(r["count"] for r in made) == 200 * 30
+    assert len(made) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert max(r["count"] for r in made) < 200 * 30 / 2
