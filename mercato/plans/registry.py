@@ -115,12 +115,20 @@ def q_snapshot_refresh(spark, sf_dir):
     return store.refresh("sales", lambda: q_sales_extract(spark, sf_dir))
 
 
+def _landed(spark, rows: DataFrame, name: str) -> DataFrame:
+    """Rows written below the scratch folder, as a table of their own."""
+    path = unique_path(spark, "landed", name)
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def q_snapshot_incremental(spark, sf_dir):
     """The sales snapshot of earlier sources, refreshed by the months that have changed since."""
     store = _snapshot_store(spark)
     roles = S.filtered_sales_roles(_tables(spark, sf_dir))
-    roles["line"] = roles["line"].join(roles["header"].select("order_id", "load_part"), "order_id")
-    roles["party"] = roles["party"].join(roles["header"].select("order_id", "load_part"), "order_id")
+    # Tables of a lake, which hold their load month: joined to it once, not again by each step that reads them.
+    months = roles["header"].select("order_id", "load_part")
+    roles |= {t: _landed(spark, roles[t].join(months, "order_id"), t) for t in ("line", "party")}
     late = F.col("load_part") >= "2001-05"
     earlier = {**roles, "header": roles["header"].where(~(F.col("load_part") > "2001-06")),
                "line": roles["line"].where(~late | (F.col("sku") % 3 != 0)),

@@ -127,3 +127,22 @@ def test_parts_are_pruned_by_day(spark, store):
     cut = days(snapshot, date(2024, 3, 1), date(2024, 3, 31))
     assert "PartitionFilters: [isnotnull(snapshot_day" in cut._jdf.queryExecution().executedPlan().toString()
     assert cut.count() == snapshot.where(F.month("sales_date") == 3).count() > 0
+
+
+def test_incremental_query_joins_the_load_month_once(spark, monkeypatch):
+    """Each step that reads lines or parties reads them as tables, without joining them to all headers again."""
+    from mercato.plans import registry
+
+    header = spark.createDataFrame([(1, "2001-04"), (2, "2001-06"), (2, "2001-07"), (3, None)], "order_id long, load_part string")
+    line = spark.createDataFrame([(1, 3), (2, 4), (2, 4), (3, 5), (None, 6), (9, 7)], "order_id long, sku long")
+    party = spark.createDataFrame([(1, "A"), (2, None)], "order_id long, uf_target string")
+    seen = []
+    monkeypatch.setattr(registry, "_tables", lambda *_: None)
+    monkeypatch.setattr(registry.S, "filtered_sales_roles", lambda _: {"header": header, "line": line, "party": party})
+    monkeypatch.setattr(registry, "refresh_sales", lambda store, name, roles, *_, **__: seen.append(roles))
+    registry.q_snapshot_incremental(spark, "none")
+    for roles in seen:
+        for t in ("line", "party"):
+            assert "Join" not in roles[t]._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted(map(str, (tuple(r) for r in seen[1]["line"].select("order_id", "sku", "load_part").collect())))
+    assert got == sorted(map(str, [(1, 3, "2001-04"), *[(2, 4, m) for m in ("2001-06", "2001-07")] * 2, (3, 5, None)]))
