@@ -168,7 +168,6 @@ def suffix_order(t: np.ndarray, symbols: int, depth: int, memory: int = MEMORY)
                 rank[order] = np.cumsum(np.append(0, pair[order][1:] != pair[order][:-1]))
                 kinds = int(rank[order[-1]]) + 1
                 step, covered = step * 2, covered * 2
-            order = np.argsort(rank, kind="stable")
         pieces = lms[order]
     return induce(t, up, pieces, symbols, memory)
 

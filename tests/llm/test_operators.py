@@ -167,6 +167,84 @@ def test_suffix_dedup_matches_all_windows(spark):
     assert {r["id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == brute_repeats(rows, 50)
 
 
+def test_suffix_dedup_blocks_hold_their_anchors(tmp_path, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "_SLICE", 64)
+    rng, p = np.random.default_rng(5), suffix_dedup.Params()
+    texts = [bytes(rng.integers(97, 97 + letters, n, np.uint8)) for letters, n in ((3, 400), (26, 50), (26, 49), (1, 300), (4, 51))]
+    path = tmp_path / "block"
+    path.write_bytes(suffix_dedup.zstandard.ZstdCompressor().compress(suffix_dedup.Block.packed([7, 5, 9, 1, 2], texts, p)))
+    block = suffix_dedup.Block.read(path.as_uri())
+    assert block.ids.tolist() == [7, 5, 9, 1, 2] and block.data == b"".join(texts)
+    data, seen = block.data, {}
+    h = suffix_dedup._hash_grams(suffix_dedup._words(data), slice(len(data) - p.gram + 1), p)
+    h = h >> np.uint64((64 + p.length).bit_length())
+    want = []                                      # (document, first window, one past the last, anchor)
+    for d, end in enumerate(block.ends.tolist()):
+        for s in range(end - len(texts[d]), end - p.length + 1):
+            anchor = s + int(np.argmin(h[s:s + p.length - p.gram + 1]))
+            if want and want[-1][0] == d and want[-1][3] == anchor:
+                want[-1][2] = s + 1
+            else:
+                want.append([d, s, s + 1, anchor])
+    grams, doc, lo, many = block.anchors(p)
+    assert [[a, b, b + c] for a, b, c in zip(doc.tolist(), lo.tolist(), many.tolist())] == [w[:3] for w in want]
+    for gram, (_, _, _, anchor) in zip(grams.tolist(), want):
+        assert seen.setdefault(data[anchor:anchor + p.gram], gram) == gram
+    assert len(set(seen.values())) == len(seen)
+
+
+class Grouped:
+    """Stands for a frame; hands out the function that is to run on each group."""
+
+    def groupBy(self, *keys):
+        return self
+
+    def applyInPandas(self, run, schema):
+        return run
+
+
+def test_suffix_dedup_sorts_only_pieces_with_rivals(monkeypatch):
+    import pandas as pd
+
+    zip_, p = suffix_dedup.zstandard.ZstdCompressor(), suffix_dedup.Params()
+    alone, left, right = (bytes(range(a, a + 60)) for a in (10, 100, 102))   # left and right share 58 bytes
+    sent = [[(alone, 4, 1), (left, 8, 2)], [(alone, 3, 1), (right, 6, 2), (right, 7, 2)]]
+    pdf = pd.DataFrame([{
+        "shard": 0, "block": i, "places": str(i), "sizes": np.array([len(x) for x, _, _ in held], "<i4").tobytes(),
+        "docs": np.array([d for _, d, _ in held], "<i8").tobytes(), "grams": np.array([g for _, _, g in held], "<u8").tobytes(),
+        "pieces": zip_.compress(b"".join(x for x, _, _ in held))} for i, held in enumerate(sent)])
+    order, sorted_ = suffix_dedup.suffix_order, []
+    monkeypatch.setattr(suffix_dedup, "suffix_order", lambda t, *rest: sorted_.append(len(t)) or order(t, *rest))
+    out = suffix_dedup._judge(Grouped(), p)(pdf)
+    assert sorted_ == [2 * 61 + 1]
+    unzip = suffix_dedup.zstandard.ZstdDecompressor()
+    got = [(row["block"], np.frombuffer(row["counts"], "<i4").tolist(), np.frombuffer(unzip.decompress(row["runs"]), "<i4").tolist(),
+            np.frombuffer(unzip.decompress(row["docs"]), "<i8").tolist()) for row in out.to_dict("records")]
+    assert got == [(0, [1, 2], [11, 2, 9], [3, 8, 6]), (1, [1, 1, 1], [11, 11, 11], [3, 6, 6])]
+
+
+def test_suffix_dedup_pieces_of_one_hash_stay_apart(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "_K", np.uint64(0))      # every piece of a size gets the same hash
+    pieces = [b"a" * 60, b"b" * 60, b"a" * 60, b"a" * 60, b"a" * 61]
+    sizes = np.array([len(x) for x in pieces])
+    order, first = suffix_dedup._distinct(b"".join(pieces), np.cumsum(sizes) - sizes, sizes, np.ones(5, np.uint64))
+    groups = [{pieces[i] for i in g} for g in np.split(order, first[1:])]
+    assert all(len(g) == 1 for g in groups) and set().union(*groups) == set(pieces)
+
+
+def test_suffix_dedup_long_texts_and_a_common_line(spark):
+    rng = np.random.default_rng(11)
+    words = ["".join(chr(97 + c) for c in rng.integers(0, 26, 5)) for _ in range(400)]
+    line = "all rights reserved by the makers of this page and by nobody else at all"
+    text = lambda n: " ".join(words[i] for i in rng.integers(0, 400, n))
+    rows = [(1, text(7000)), (2, None), (3, "x" * 500)]
+    rows += [(i, f"{text(30)} {line} {text(30)}") for i in range(10, 60)]
+    rows += [(70, rows[0][1][500:40_000] + text(20)), (71, rows[5][1]), (-5, rows[8][1][20:]), (72, "x" * 499), (73, line)]
+    p = suffix_dedup.Params(block_bytes=9000, shard_bytes=1 << 14)
+    got = suffix_dedup.remove_repeats(frame(spark, rows), p=p).collect()
+    assert {r["id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == brute_repeats(rows, 50)
+
+
 def test_suffix_order_is_sorted():
     rng = np.random.default_rng(3)
     for symbols, n in ((2, 300), (4, 2000), (200, 500)):
