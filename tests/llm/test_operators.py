@@ -255,6 +255,17 @@ def test_suffix_order_is_sorted():
             assert order.tolist() == sorted(range(n + 1), key=lambda i: data[i:])
 
 
+def test_suffix_order_of_many_kinds_of_pieces():
+    rng = np.random.default_rng(4)
+    t = rng.integers(1, 201, 30_000)
+    t = np.append(np.concatenate([t, t[500:9000], t[700:9000]]), 0).astype(np.uint16)   # over 4096 kinds: ranks are doubled
+    order = suffix_sort.suffix_order(t, 201, 50)
+    assert sorted(order.tolist()) == list(range(len(t)))
+    data = t.tolist()
+    heads = [data[i:i + 50] for i in order.tolist()]
+    assert heads == sorted(heads)
+
+
 @pytest.mark.parametrize("planes", ["byte", "bit"])
 def test_plane_files_round_trip(spark, planes):
     import public_tokenizers
