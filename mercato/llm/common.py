@@ -49,6 +49,19 @@ def stored(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def reclaim(spark: SparkSession, *paths: str) -> None:
+    """Remove these folders of finished steps, and let go of the shuffle files that nothing needs any more.
+
+    Spark deletes a shuffle's files once the driver's JVM has collected the plan
+    they belong to, which it may put off for half an hour.
+    """
+    jvm = spark._jvm
+    for path in paths:
+        path = jvm.org.apache.hadoop.fs.Path(path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    jvm.System.gc()
+
+
 def likely_among(rows: DataFrame, key: list, wanted: DataFrame, wanted_key: list, slots: int = 1 << 20) -> DataFrame:
     """``rows`` without most of those whose key is not among the keys of ``wanted``; none that is there is lost.
 

@@ -5,6 +5,7 @@ import json
 import math
 import random
 import zlib
+from collections import Counter
 from functools import lru_cache
 from itertools import permutations
 
@@ -133,6 +134,57 @@ def test_cells_of_a_vector_do_not_grow_with_the_table(spark):
     assert abs(rows_per_vector(500) - rows_per_vector(4000)) < 0.5 and rows_per_vector(1000) < 15
 
 
+def test_vectors_of_a_crowded_cell_are_laid_out_once_a_block(spark):
+    """Rows and packs of a block grow with the vectors, however many share a cell."""
+    rng = np.random.default_rng(11)
+    p, n = embedding_neardup.Params(chunk=40), 900
+    near = rng.standard_normal(64) + rng.standard_normal((n, 64)) * 0.3
+    classes = spark.createDataFrame([(i, 1, v.astype("<f4").tobytes()) for i, v in enumerate(near)], "cid long, count long, raw binary")
+    assert embedding_neardup._cells(classes, "<f4", p).count() == 4 * n
+    laid = embedding_neardup._cells(classes, "<f4", p, 2).repartitionByRange(2, "width", "cell", "cid")
+    packs = embedding_neardup._packs(laid, "<f4", 2, p.chunk, p).collect()
+    cids = [np.frombuffer(r["cids"], "<i8") for r in packs]
+    assert sorted(np.concatenate(cids)) == list(range(n)) and max(map(len, cids)) == 40 and len(packs) <= n // 40 + 4
+    assert all(len(r["raws"]) == 256 * len(r["cids"]) // 8 for r in packs)
+
+
+def test_links_between_many_packs(spark):
+    """Clusters over many packs, far from the origin and tight, of two lengths, against all pairs."""
+    rng = np.random.default_rng(12)
+    centres = rng.standard_normal((3, 64))
+    wide = np.concatenate([rng.standard_normal((150, 64)), *(c + rng.standard_normal((50, 64)) * f for c, f in zip(centres, (0.02, 0.15, 0.23))),
+                           3 + rng.standard_normal((60, 64))])
+    short = 1 + rng.standard_normal((80, 3))
+    rows = [(i, v) for i, v in enumerate([*wide, *short, *wide[150:160] * 4])]
+    good = [np.array(v) / np.linalg.norm(v) for _, v in rows]
+    links = {(i, j) for i in range(len(rows)) for j in range(i) if len(good[i]) == len(good[j]) and good[i] @ good[j] >= 0.95}
+    least = list(range(len(rows)))
+    while True:
+        new = list(least)
+        for i, j in links:
+            new[i] = new[j] = min(new[i], new[j])
+        if new == least:
+            break
+        least = new
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<double>")
+    found = embedding_neardup.near_duplicates(df, p=embedding_neardup.Params(chunk=30, leaf=4)).collect()
+    degree = Counter(i for link in links for i in link)
+    assert len(links) > 2000
+    assert sorted((r["id"], r["n_links"], r["component_id"]) for r in found) == [(i, degree[i], least[i]) for i, _ in rows]
+
+
+def test_tree_meets_all_pairs_within_reach():
+    rng = np.random.default_rng(13)
+    for spread, leaf in ((1.0, 16), (0.1, 128), (0.0, 4)):
+        a, b = ((rng.standard_normal((700, 16)) * spread + 0.01 * rng.standard_normal((700, 16))).astype(np.float32) for _ in range(2))
+        square = ((a[:, None].astype(float) - b[None]) ** 2).sum(axis=2)
+        within = float(np.quantile(square, 0.01))
+        pairs = [pair for i, j in embedding_neardup.Tree(a, leaf).meet(b, within) for pair in zip(i.tolist(), j.tolist())]
+        assert len(pairs) == len(set(pairs))
+        assert set(zip(*(x.tolist() for x in np.nonzero(square <= within * 0.999 - 1e-6)))) <= set(pairs)
+        assert all(square[pair] <= within * 1.001 + 1e-5 for pair in pairs)
+
+
 # ------------------------------------------------------------------ 12: conversations
 
 CONV = "conv_id long, turn long, role string, text string, seg string, no string, kind string, w string, pos string"
