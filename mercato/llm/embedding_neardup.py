@@ -48,14 +48,14 @@ class Params:
     cosine: float = 0.95
     block_dims: int = 16      # of a block, at least
     most_blocks: int = 4      # every block is a layout of its own
-    chunk: int = 32768        # vectors of a pack, at most
-    pack_bytes: int = 8 << 20
-    part_bytes: int = 64 << 20  # of a partition of packs
+    chunk: int = 16384        # vectors of a pack, at most
+    pack_bytes: int = 4 << 20
+    part_bytes: int = 48 << 20  # of a partition of packs; a task holds one and streams another
     leaf: int = 128           # vectors of a leaf of a pack's tree
     seed: int = 5
 
 
-_WIDTHS = 100                 # lengths of vectors whose spread is measured
+_WIDTHS = 10                  # lengths of vectors whose spread is measured
 
 
 def scaled(x: np.ndarray) -> np.ndarray:
@@ -149,19 +149,20 @@ def _spread(classes: DataFrame, dtype: str, p: Params) -> tuple[int, int, dict]:
                 n, one, two = sums.get(x.shape[1], (0, 0, 0))
                 sums[x.shape[1]] = n + len(y), one + y.sum(axis=0), two + (y * y).sum(axis=0)
         for d, (n, one, two) in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([d]), pa.array([n]), pa.array([one.tolist()], pa.list_(pa.float64())),
-                                              pa.array([two.tolist()], pa.list_(pa.float64()))], names=["d", "n", "one", "two"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(one), d)), pa.array(np.arange(len(one))), pa.array(np.full(len(one), n)),
+                                              pa.array(one), pa.array(two)], names=["d", "i", "n", "one", "two"])
 
     step = np.dtype(dtype).itemsize
     sizes = (classes.groupBy((F.length("raw") / step).cast("int").alias("d")).agg(F.count(F.lit(1)).alias("n")))
     total = sizes.agg(F.sum("n"), F.max("d")).first()
     common = [r["d"] for r in sizes.orderBy(F.desc("n"), "d").limit(_WIDTHS).collect()]
-    sums = {}
-    for r in classes.where((F.length("raw") / step).cast("int").isin(common)).select("raw").mapInArrow(
-            add, "d long, n long, one array<double>, two array<double>").collect():
-        n, one, two = sums.get(r["d"], (0, 0, 0))
-        sums[r["d"]] = n + r["n"], one + np.array(r["one"]), two + np.array(r["two"])
-    spread = {d: (one / n, np.sqrt(np.maximum(two / n - (one / n) ** 2, 1e-12))) for d, (n, one, two) in sums.items()}
+    rows = (classes.where((F.length("raw") / step).cast("int").isin(common)).select("raw")
+            .mapInArrow(add, "d long, i long, n long, one double, two double")
+            .groupBy("d", "i").agg(*[F.sum(c).alias(c) for c in ("n", "one", "two")]).orderBy("d", "i").collect())
+    spread = {}
+    for d in {r["d"] for r in rows}:
+        n, one, two = (np.array([r[c] for r in rows if r["d"] == d], np.float64) for c in ("n", "one", "two"))
+        spread[d] = one / n, np.sqrt(np.maximum(two / n - (one / n) ** 2, 1e-12))
     return total[0] or 0, total[1] or 0, spread
 
 
@@ -489,7 +490,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         order = ["width", "cell", "cid"]
         laid = (_cells(classes, dtype, p, block, spread).repartitionByRange(parts, *order).coalesce(parts).sortWithinPartitions(*order))
         folder = shared_folder(spark, "packs")
-        _packs(laid, dtype, block, size, p).write.parquet(folder)
+        # A row group for each pack: a reader holds one at a time.
+        (_packs(laid, dtype, block, size, p).write.option("parquet.block.row.count.limit", 1).option("parquet.block.size", p.pack_bytes)
+         .option("parquet.page.size.row.check.min", 1).option("parquet.enable.dictionary", "false").parquet(folder))
         packs = spark.read.parquet(folder)
         part = stored(_met(packs, dtype, block, parts, p), "met")
         met = part if met is None else met.unionByName(part)
