@@ -22,9 +22,9 @@ vectors connected, never the pairs.
 
 How much the boxes select depends on the vectors.  A block's radius is 1.26
 times the spread of a coordinate of 64 random dimensions, whatever the blocks,
-so such vectors reach many boxes: work on them stays a share of all pairs, one
-that falls as the table grows.  Vectors that lie in clusters or close to fewer
-dimensions meet few others.
+so such vectors reach many boxes: work on them stays a share of all pairs and
+grows with the square of the table (README has figures).  Vectors that lie in
+clusters or close to fewer dimensions meet fewer others.
 """
 
 from __future__ import annotations
